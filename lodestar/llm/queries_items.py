@@ -1,4 +1,4 @@
-"""Queries of problems 1, 2 and 3."""
+"""Queries of problems 1 to 4."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.conversations import rebuild_graphs, rebuild_sessions
+from lodestar.llm.neighbours import neighbours
 from lodestar.llm.ranking import Score, borda_rank
 from lodestar.llm.splitting import split_oversized
 from lodestar.tables import load
@@ -70,7 +71,22 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(docs, "text", "size", "overlap").select("ns", "id", "ord", "piece", "piece_bytes", "n_pieces")
 
 
-QUERIES = {f.__name__: f for f in (p1_ranking, p1_found, p2_found, p2_turns, p2_clocks, p3_found, p3_pieces)}
+def p4_similar(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar other chunks of every usable chunk."""
+    return neighbours(load(spark, d, "chunks"), "id", "vec", k=10, dims=64)
+
+
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return p4_similar(spark, d).select("id", "other", "rank")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of chunks with cosine 0.95 or more among the ten most similar."""
+    near = p4_similar(spark, d).where(F.col("cosine") >= 0.95)
+    return near.select(F.least("id", "other").alias("chunk_a"), F.greatest("id", "other").alias("chunk_b")).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_ranking, p1_found, p2_found, p2_turns, p2_clocks, p3_found, p3_pieces, p4_found, p4_neighbours)}
 
 _P1 = """WITH r AS (SELECT query_id, id, arg_max({'bm25': bm25, 'cosine': cosine, 'score': score}, (logged_at, bm25, cosine, score)) AS s
         FROM search_results GROUP BY ALL),
@@ -80,6 +96,8 @@ _P1 = """WITH r AS (SELECT query_id, id, arg_max({'bm25': bm25, 'cosine': cosine
         CASE WHEN b IS NULL THEN 0 ELSE rank() OVER (PARTITION BY query_id ORDER BY b NULLS LAST) END AS rb, count(*) OVER (PARTITION BY query_id, b) AS tb,
         CASE WHEN c IS NULL THEN 0 ELSE rank() OVER (PARTITION BY query_id ORDER BY c NULLS LAST) END AS rc, count(*) OVER (PARTITION BY query_id, c) AS tc FROM u)"""
 
+_P4 = """WITH u AS (SELECT id, CAST(vec AS DOUBLE[]) AS v FROM chunks WHERE len(vec) = 64 AND len(list_filter(vec, lambda x: x IS NULL)) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0)"""
+
 ORACLE = {
     "p1_found": _P1 + " SELECT query_id, id FROM k WHERE ra BETWEEN 1 AND 5 AND rb BETWEEN 1 AND 5 AND rc BETWEEN 1 AND 5",
     "p1_ranking": _P1 + """, p AS (SELECT *, round(
@@ -89,6 +107,11 @@ ORACLE = {
             CAST(ra AS INTEGER) AS rank_bm25, CAST(rb AS INTEGER) AS rank_cosine, CAST(rc AS INTEGER) AS rank_score FROM p""",
     "p3_found": r"""SELECT c.id AS chunk_id FROM chunks c JOIN ns_config n ON c.ns = n.name
         WHERE octet_length(encode(regexp_replace(c.text, '^\s+|\s+$', '', 'g'))) > n.chunk_size""",
+    "p4_found": _P4 + """ SELECT a.id AS chunk_a, b.id AS chunk_b FROM u a JOIN u b ON a.id < b.id
+        WHERE list_cosine_similarity(a.v, b.v) >= 0.95""",
+    "p4_neighbours": _P4 + """, s AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.id <> b.id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, other) AS rank FROM s)
+        SELECT id, other, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""",
     "p2_found": r"""WITH rec AS (SELECT coalesce(nullif(conversation_id, ''), id) AS k, arg_max(rec_id, (exported_at, rec_id)) AS rec_id FROM chatgpt_convs GROUP BY 1),
         nd AS (SELECT r.k, e.key AS id, nullif(e.value.parent, '') AS parent, e.value.message AS m
             FROM (SELECT rec_id, unnest(map_entries(mapping)) AS e FROM chatgpt_convs) c JOIN rec r USING (rec_id)),
