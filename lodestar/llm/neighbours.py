@@ -14,7 +14,7 @@ afterwards, so many copies do not flood the lists.
 Defined results:
 * null, wrong-length, all-zero vectors and vectors with a null or non-finite
   element are neither queries nor answers;
-* equal similarities are ordered by id; repeated ids are kept apart only by
+* similarities have six decimals, equal ones are ordered by id; repeated ids are kept apart only by
   their vectors (an id is never its own neighbour);
 * with fewer than ``k`` other vectors, all of them come out;
 * empty tables give empty tables; other columns are not carried.
@@ -39,8 +39,8 @@ def quantise(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     scale = np.abs(u).max(1, keepdims=True) / np.float32(127)
     q = np.rint(u / scale).astype(np.int8)
     back = q.astype(np.float32) * scale
-    # the float32 product itself rounds: a small allowance on top
-    return back, np.linalg.norm(u - back, axis=1) + np.float32(2e-6)
+    # the float32 product and the six decimals round: a small allowance on top
+    return back, np.linalg.norm(u - back, axis=1) + np.float32(4e-6)
 
 
 def _merge(ids: np.ndarray, sims: np.ndarray, rows: np.ndarray, new_ids: np.ndarray, new_sims: np.ndarray, k: int) -> None:
@@ -90,6 +90,7 @@ def tile_top_k(ai: np.ndarray, a: np.ndarray, bi: np.ndarray, b: np.ndarray, k:
             for h in range(0, len(rows), 200_000):
                 s = slice(h, h + 200_000)
                 exact[s] = np.einsum("ij,ij->i", x[rows[s]].astype(np.float64), y[cols[s]].astype(np.float64))
+            exact = np.round(exact, 6)
             good = exact >= sims[rows, -1]
             _merge(ids, sims, rows[good], yi[cols[good]], exact[good], k)
     return out_i, out_s

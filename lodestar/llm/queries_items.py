@@ -109,7 +109,7 @@ ORACLE = {
         WHERE octet_length(encode(regexp_replace(c.text, '^\s+|\s+$', '', 'g'))) > n.chunk_size""",
     "p4_found": _P4 + """ SELECT a.id AS chunk_a, b.id AS chunk_b FROM u a JOIN u b ON a.id < b.id
         WHERE list_cosine_similarity(a.v, b.v) >= 0.95""",
-    "p4_neighbours": _P4 + """, s AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.id <> b.id),
+    "p4_neighbours": _P4 + """, s AS (SELECT a.id, b.id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS c FROM u a JOIN u b ON a.id <> b.id),
         r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, other) AS rank FROM s)
         SELECT id, other, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""",
     "p2_found": r"""WITH rec AS (SELECT coalesce(nullif(conversation_id, ''), id) AS k, arg_max(rec_id, (exported_at, rec_id)) AS rec_id FROM chatgpt_convs GROUP BY 1),
