@@ -1,4 +1,4 @@
-"""Queries of problems 7 and 8."""
+"""Queries of problems 7 to 10."""
 
 from __future__ import annotations
 
@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.leakage import find_leaks
+from lodestar.llm.mixing import count_tokens, draw, mix_report
 from lodestar.llm.near_duplicates import all_pairs, classes, near_duplicates
+from lodestar.llm.sources import clean_source
+from lodestar.llm.toxicity import labelled_sample, score_toxicity, train
+from lodestar.session import cut
 from lodestar.tables import load
 
 # TESTDATA.md: three consecutive words, similarity 0.6 or more
@@ -44,7 +48,58 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_classes, p7_chunk_classes, p8_found, p8_leaks, p8_items)}
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    return cut(count_tokens(load(spark, d, "documents"), "doc_id", "text", "source"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Every drawn document of every mix with its number of copies."""
+    return draw(_tokens(spark, d), load(spark, d, "mix_targets")).withColumnRenamed("id", "doc_id")
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual shares per mix and source."""
+    return mix_report(_tokens(spark, d), load(spark, d, "mix_targets"))
+
+
+#: At most so many reviewed documents fit the classifiers.
+MAX_LABELLED = 2000
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents")
+    labelled = labelled_sample(docs, "doc_id", "text", load(spark, d, "review_labels"), MAX_LABELLED)
+    return score_toxicity(docs.select("doc_id", "source", "text"), "text", train(labelled))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).drop("text", "source")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where("flagged").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Share of flagged documents per source, and the mean score."""
+    return (
+        _scored(spark, d)
+        .groupBy(clean_source(F.col("source")).alias("source"))
+        .agg(
+            F.count("*").alias("n_docs"),
+            F.sum(F.col("flagged").cast("bigint")).alias("n_flagged"),
+            F.avg(F.col("flagged").cast("double")).alias("rate"),
+            F.avg("score").alias("mean_score"),
+        )
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p7_found, p7_classes, p7_chunk_classes, p8_found, p8_leaks, p8_items, p9_mix, p9_report, p10_found, p10_scores, p10_rates,
+    )
+}
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 ORACLE = {
