@@ -27,10 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS, COLS = 16_384, 65_536
+from lodestar.session import cut
+
+ROWS, COLS = 32_768, 131_072
 SUB_ROWS, SUB_COLS = 512, 4_096
 
 
@@ -96,32 +99,42 @@ def tile_top_k(ai: np.ndarray, a: np.ndarray, bi: np.ndarray, b: np.ndarray, k:
     return out_i, out_s
 
 
+def unit_rows(ids: np.ndarray, vectors: list, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, float32 unit vectors) of the usable vectors of a batch."""
+    right = [k for k, v in enumerate(vectors) if v is not None and len(v) == dims]
+    if not right:
+        return ids[:0], np.empty((0, dims), np.float32)
+    x = np.array([vectors[k] for k in right], dtype=np.float64)  # null elements become NaN
+    top = np.abs(x).max(1)
+    good = np.isfinite(x).all(1) & (top > 0)
+    x = x[good] / top[good, None]
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    return ids[np.array(right)[good]], x.astype(np.float32)
+
+
 def usable(df: DataFrame, ident: str, vector: str, dims: int) -> DataFrame:
-    """``id, u`` (unit vectors as float arrays) of the usable rows."""
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    top = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    scaled = F.transform("v", lambda x: x / F.col("top"))
-    norm = F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x))
-    return (
-        df.select(F.col(ident).cast("bigint").alias("id"), v.alias("v"), bad.alias("bad"))
-        .where((F.size("v") == dims) & ~F.col("bad") & F.col("id").isNotNull())
-        .select("id", "v", top.alias("top"))
-        .where(F.col("top") > 0)
-        .select("id", scaled.alias("w"))
-        .select("id", "w", norm.alias("norm"))
-        .select("id", F.transform("w", lambda x: (x / F.col("norm")).cast("float")).alias("u"))
-    )
+    """``id, u, h1, h2``: unit vectors as bytes, and a hash of the direction to
+    six decimals."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids, u = unit_rows(b["id"].to_numpy("i8"), list(b["v"]), dims)
+            rounded = [r.tobytes() for r in np.round(u.astype(np.float64), 6) + 0.0]
+            h = [[xxhash.xxh64_intdigest(r, seed) - 2**63 for r in rounded] for seed in (1, 2)]
+            yield pd.DataFrame({"id": ids, "u": [r.tobytes() for r in u], "h1": h[0], "h2": h[1]})
+
+    rows = df.where(F.col(ident).isNotNull()).select(F.col(ident).cast("bigint").alias("id"), F.col(vector).alias("v"))
+    return rows.mapInPandas(run, "id bigint, u binary, h1 bigint, h2 bigint")
 
 
-def _pack(df: DataFrame, dims: int) -> DataFrame:
+def _pack(df: DataFrame) -> DataFrame:
     """(block, ids, vectors) as bytes: one row per block and input batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for block, g in b.groupby("block"):
-                u = np.stack(g["u"].to_numpy()).astype("<f4")
-                yield pd.DataFrame({"block": [block], "ids": [g["id"].to_numpy("<i8").tobytes()], "vecs": [u.tobytes()]})
+                ids = g["id"].to_numpy("<i8").tobytes()
+                yield pd.DataFrame({"block": [block], "ids": [ids], "vecs": [b"".join(g["u"])]})
 
     return df.mapInPandas(run, "block int, ids binary, vecs binary")
 
@@ -129,14 +142,16 @@ def _pack(df: DataFrame, dims: int) -> DataFrame:
 def neighbours(df: DataFrame, ident: str, vector: str, k: int = 10, dims: int = 64) -> DataFrame:
     """``id, other, cosine, rank``: the ``k`` most similar others of every
     usable vector."""
-    units = usable(df, ident, vector, dims)
-    direction = F.transform("u", lambda x: F.round(x.cast("double"), 6) + 0.0)
-    keyed = units.select("id", "u", F.xxhash64(direction).alias("h1"), F.hash(direction).alias("h2"))
-    groups = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("u", "id").alias("u"), F.count_distinct("id").alias("n"))
-    n = groups.count()
+    units = cut(usable(df, ident, vector, dims))
+    keyed = units.select("id", "h1", "h2")
+    groups = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where(F.col("n") > 1)
+    copies = cut(keyed.join(groups, ["h1", "h2"]).select("id", "rep").distinct())
+    others = copies.where(F.col("id") != F.col("rep")).select("id")
+    heads = units.select("id", "u").join(others, "id", "left_anti")
+    n = units.count()
     n_cols, n_rows = math.ceil(n / COLS) or 1, math.ceil(n / ROWS) or 1
-    block = F.pmod(F.xxhash64("rep"), F.lit(n_rows)).cast("int")
-    packed = _pack(groups.select(F.col("rep").alias("id"), "u", block.alias("block")), dims)
+    block = F.pmod(F.xxhash64("id"), F.lit(n_rows)).cast("int")
+    packed = _pack(heads.select("id", "u", block.alias("block")))
     column = F.pmod("block", F.lit(n_cols)).cast("int")
     # a row block meets every column block; column blocks are unions of row blocks
     as_rows = packed.select(F.col("block").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(n_cols - 1))).alias("c"), F.lit(0).alias("side"), "ids", "vecs")
@@ -148,6 +163,9 @@ def neighbours(df: DataFrame, ident: str, vector: str, k: int = 10, dims: int =
             return pd.DataFrame({"id": [], "other": [], "cosine": []})
         ids = [np.frombuffer(b"".join(p["ids"]), "<i8") for p in part]
         vecs = [np.frombuffer(b"".join(p["vecs"]), "<f4").reshape(-1, dims) for p in part]
+        for side in (0, 1):  # repeated rows of one id
+            ids[side], first = np.unique(ids[side], return_index=True)
+            vecs[side] = vecs[side][first]
         i, s = tile_top_k(ids[0], vecs[0], ids[1], vecs[1], k)
         real = s.ravel() > -np.inf
         return pd.DataFrame({"id": np.repeat(ids[0], k)[real], "other": i.ravel()[real], "cosine": s.ravel()[real]})
@@ -156,7 +174,6 @@ def neighbours(df: DataFrame, ident: str, vector: str, k: int = 10, dims: int =
     best = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other")
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
     # copies of one direction: the k + 1 least ids stand for the rest as answers
-    copies = keyed.join(groups.where(F.col("n") > 1).select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep").distinct()
     few = copies.withColumn("o", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("o") <= k + 1)
     members = few.select(F.col("id").alias("m"), F.col("rep").alias("mrep"))
     answers = found.join(members, F.col("other") == F.col("mrep"), "left").select(
