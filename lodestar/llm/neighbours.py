@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 
 from lodestar.session import cut
 
-ROWS, COLS = 32_768, 131_072
+#: Vectors of a tile's sides: every vector is shipped once per tile of its row
+#: or column, so larger tiles ship less; a side takes 0.5 KB a vector.
+ROWS, COLS = 65_536, 131_072
 SUB_ROWS, SUB_COLS = 512, 4_096
 
 
@@ -172,7 +174,6 @@ def neighbours(df: DataFrame, ident: str, vector: str, k: int = 10, dims: int =
 
     found = as_rows.unionByName(as_cols).groupBy("r", "c").applyInPandas(tile, "id bigint, other bigint, cosine double")
     best = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other")
-    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
     # copies of one direction: the k + 1 least ids stand for the rest as answers
     few = copies.withColumn("o", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("o") <= k + 1)
     members = few.select(F.col("id").alias("m"), F.col("rep").alias("mrep"))
