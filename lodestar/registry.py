@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar import queries_records
+from lodestar import queries_records, queries_search
 
-QUERIES = {**queries_records.QUERIES}
-ORACLE = {**queries_records.ORACLE}
+QUERIES = {**queries_search.QUERIES, **queries_records.QUERIES}
+ORACLE = {**queries_search.ORACLE, **queries_records.ORACLE}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return QUERIES["p6_readings"](spark, folder)
+    """BM25 top ten documents."""
+    return QUERIES["bm25_top10"](spark, folder)
