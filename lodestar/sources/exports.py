@@ -7,6 +7,7 @@ not parse is dropped by ``DROPMALFORMED`` reading or kept apart by the caller.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,8 +59,6 @@ def walk_order(ids: list[str], parents: list, children: list) -> list[int]:
 
 
 def _order_udf():
-    import pandas as pd
-
     @F.pandas_udf(_ORDER)
     def order(nodes: pd.Series) -> pd.Series:
         return pd.Series(
@@ -144,8 +143,6 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     a file is read by one task, as its lines are numbered in order."""
 
     def split(batches):
-        import pandas as pd
-
         for b in batches:
             for p, content in zip(b["path"], b["content"]):
                 lines = content.decode("utf-8", "replace").split("\n")
