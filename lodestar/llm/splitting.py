@@ -63,11 +63,13 @@ def split_text(text: str, size: int, overlap: int) -> list[str]:
         if limit >= len(data):
             pieces.append(data[start:])
             break
+        reach = limit  # white space that is trimmed off may reach over the limit
+        while reach < len(data) and data[reach] in b" \t\r\n\f\v":
+            reach += 1
         best = 0
         for floor in (max(done, start + size // 2), done):
             for at in cuts:
-                i = bisect_right(at, limit) - 1
-                # white space after the last word may reach over the limit
+                i = bisect_right(at, reach) - 1
                 if i >= 0 and at[i] > floor:
                     best = at[i]
                     break

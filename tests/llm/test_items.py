@@ -1,0 +1,190 @@
+import itertools
+import json
+import random
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lodestar.llm.conversations import judge_graph, judge_sessions, rebuild_graphs, rebuild_sessions, solve_offset
+from lodestar.llm.neighbours import neighbours, quantise, tile_top_k
+from lodestar.llm.ranking import Score, borda_rank
+from lodestar.llm.splitting import split_oversized, split_text
+
+SCORES = [Score("a"), Score("b", higher=False, weight=2.0)]
+
+
+def brute_borda(rows):
+    out = {}
+    for q in {r[0] for r in rows}:
+        items = {r[1]: r[2:] for r in rows if r[0] == q}
+        n, total = len(items), dict.fromkeys((i for i in items), 0.0)
+        for k, (sign, w) in enumerate(((-1, 1.0), (1, 2.0))):
+            vals = {i: sign * v[k] for i, v in items.items() if v[k] is not None and v[k] == v[k]}
+            for i in items:
+                if i in vals:
+                    less, same = sum(v < vals[i] for v in vals.values()), sum(v == vals[i] for v in vals.values())
+                    rank = less + (same + 1) / 2
+                else:
+                    rank = (n + 1) / 2
+                total[i] += w * (n - rank)
+        for pos, i in enumerate(sorted(total, key=lambda i: (-total[i], i)), 1):
+            out[(q, i)] = (round(total[i], 6), pos)
+    return out
+
+
+def test_borda_against_brute_force(spark):
+    rng = random.Random(3)
+    pool = [None, float("nan"), 1.0, 2.0, -3.5, 1e300, -1e300, 0.0, 7.25, float("inf")]
+    rows = [(q, f"i{k:02d}", rng.choice(pool), rng.choice(pool)) for q in (1, 2, 3) for k in range(25)]
+    df = spark.createDataFrame(rows + rows[:10], "q int, i string, a double, b double")
+    got = {(r["q"], r["i"]): (round(r["points"], 6), r["position"]) for r in borda_rank(df, "q", "i", SCORES).collect()}
+    assert got == brute_borda(rows)
+
+
+def test_borda_nulls_and_empty(spark):
+    df = spark.createDataFrame([(None, "x", 1.0, None), (None, "y", 2.0, None), (1, None, None, None)], "q int, i string, a double, b double")
+    got = {(r["q"], r["i"]): (r["position"], r["rank_a"], r["rank_b"]) for r in borda_rank(df, "q", "i", SCORES).collect()}
+    assert got == {(None, "y"): (1, 1, 0), (None, "x"): (2, 2, 0), (1, None): (1, 0, 0)}
+    assert borda_rank(df.limit(0), "q", "i", SCORES).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab .\n#é日。!"), max_size=300), st.integers(4, 60), st.integers(0, 20))
+def test_split_limits_and_keeps(text, size, overlap):
+    got = split_text(text, size, overlap)
+    assert all(len(p.encode()) <= size and p.strip() == p and p for p in got)
+    strip = lambda s: "".join(s.split())
+    if overlap == 0:
+        assert strip("".join(got)) == strip(text)
+    else:  # with overlap every character still comes out, in order
+        rest, have = strip(text), strip("".join(got))
+        it = iter(have)
+        assert all(c in it for c in rest)
+
+
+def test_split_boundaries():
+    text = "# One\n\nfirst para here.\n\n# Two\n\nsecond para is a bit longer. It has sentences."
+    got = split_text(text, 40, 0)
+    assert got[0] == "# One\n\nfirst para here." and all(len(p) <= 40 for p in got)
+    words = " ".join(f"w{i}" for i in range(100))
+    pieces = split_text(words, 50, 12)
+    for a, b in itertools.pairwise(pieces):
+        shared = next(n for n in range(min(len(a), 12), -1, -1) if b.startswith(a[len(a) - n :].strip()) and a[len(a) - n :].strip())
+        assert 0 < shared <= 12
+    assert split_text("日" * 5, 2, 0) == ["日"] * 5
+    assert len(split_text("x" * 1_000_000, 1000, 100)) > 1000
+
+
+def test_split_frame(spark):
+    df = spark.createDataFrame([(1, "aa bb cc", 5, 0, "old"), (1, "aa bb cc", 5, 0, "old"), (2, None, 5, 0, ""), (3, " \n", 5, 0, ""), (4, " ok ", None, None, ""), (5, "x" * 20, 5, 9, "")], "id int, piece string, size int, over int, ord string")
+    got = split_oversized(df, "piece", "size", "over").collect()
+    assert [r["piece"] for r in got if r["id"] == 1] == ["aa bb", "cc"] * 2
+    assert {r["id"] for r in got} == {1, 4, 5} and {r["ord_in"] for r in got if r["id"] == 1} == {"old"}
+    assert [(r["piece"], r["oversized"]) for r in got if r["id"] == 4] == [("ok", False)]
+    assert split_oversized(df.limit(0), "piece", "size", "over").count() == 0
+
+
+def test_graph_verdicts():
+    U, A = "user", "assistant"
+    judge = lambda p, r, v, t=None: judge_graph(list("abcd")[: len(p)], p, r, v, t or [None] * len(p))
+    assert judge([None, "a", "b"], [None, U, A], [False, True, True])[0] == ""
+    assert judge([None, "a"], [U, A], [True, False])[0] == "unanswered"
+    assert judge([None, "zz"], [U, A], [True, True])[0] == "broken"
+    assert judge(["b", "a", None], [U, A, U], [True, True, True])[0] == "broken"
+    assert judge(["a"], [U], [True])[0] == "broken"
+    assert judge([None], [U], [False])[0] == "empty" and judge([], [], [])[0] == "empty"
+    assert judge(["", "a", "a", "c"], [U, A, U, A], [True] * 4)[0] == ""
+    # the user's clock is 100 behind: corrected so that the answer is not older
+    reason, offset, ok, order = judge([None, "a", "b", "c"], [U, A, U, A], [True] * 4, [1000.0, 950.0, 1100.0, 1060.0])
+    assert (reason, ok, order) == ("", True, [0, 1, 2, 3]) and offset == -50.0
+    assert solve_offset(10, -10) == (0.0, False) and solve_offset(float("-inf"), float("inf")) == (0.0, True)
+    deep = 5000
+    ids = [str(i) for i in range(deep)]
+    assert judge_graph(ids, [None, *ids[:-1]], [U, A] * (deep // 2), [True] * deep, [None] * deep)[0] == ""
+
+
+LINES = (
+    "line_id bigint, file_path string, line_no int, line_type string, uuid string, leaf_uuid string, session_id string, stamp string, "
+    "is_meta boolean, is_sidechain boolean, message struct<role: string, content: string>, device_id string, ingested_at timestamp"
+)
+
+
+def line(n, f, k, role, text, **o):
+    return (n, f"p/{f}.jsonl", k, o.get("type", role), o.get("uuid", f"{f}{k}"), o.get("leaf"), o.get("session"), o.get("stamp"), o.get("meta"), o.get("side"), (role, o.get("raw", json.dumps(text))), None, None)
+
+
+def test_sessions(spark):
+    rows = [
+        line(1, "ok", 1, "user", "q"), line(2, "ok", 2, "assistant", [{"type": "thinking", "thinking": "t"}], session="ok"), line(3, "ok", 2, "assistant", "again"),
+        line(4, "none", 1, "user", " "), line(5, "meta", 1, "user", "x", meta=True), line(6, "cut", 1, "user", "q"), line(7, "cut", 2, "assistant", "a"), line(8, "cut", 3, "user", "", raw='"cu'),
+        line(9, "leaf", 1, "user", "q"), line(10, "leaf", 2, "assistant", "a"), line(11, "leaf", 3, None, None, type="summary", leaf="zz", raw=None),
+        line(12, "late", 1, "assistant", "a"), line(13, "open", 1, "user", "q"), line(14, "side", 1, "user", "q"), line(15, "side", 2, "assistant", "a", side=True), line(16, "side", 3, "assistant", "a"),
+    ]
+    df = spark.createDataFrame(rows, LINES)
+    got = {r["conv_key"]: r["reason"] for r in judge_sessions(df).collect()}
+    assert got == {"ok": "", "none": "empty", "meta": "empty", "cut": "broken", "leaf": "broken", "late": "unanswered", "open": "unanswered", "side": ""}
+    turns = [(r["conv_key"], r["turn_index"], r["role"], r["text"]) for r in rebuild_sessions(df)[1].orderBy("conv_key", "turn_index").collect()]
+    assert turns == [("ok", 0, "user", "q"), ("ok", 1, "assistant", "t"), ("side", 0, "user", "q"), ("side", 1, "subagent", "a"), ("side", 2, "assistant", "a")]
+    assert judge_sessions(df.limit(0)).count() == 0 and rebuild_sessions(df.limit(0))[1].count() == 0
+
+
+def test_graph_frames(spark):
+    schema = (
+        "rec_id bigint, conversation_id string, id string, device_id string, exported_at timestamp, mapping map<string, struct<message: struct<id: string, "
+        "author: struct<role: string>, create_time: string, content: struct<content_type: string, parts: array<string>, text: string, user_profile: string, "
+        "user_instructions: string>, metadata: map<string, string>>, parent: string, children: array<string>>>"
+    )
+    msg = lambda role, part, parent, **md: ((None, (role,), None, ("text", [part], None, None, None), md or None), parent, None)
+    import datetime as dt
+
+    old, new = dt.datetime(2025, 1, 1), dt.datetime(2025, 2, 1)
+    rows = [
+        (1, "c", None, None, old, {"a": msg("user", '"q"', None)}),
+        (2, "c", None, None, new, {"a": msg("user", '"q"', None), "b": msg("assistant", '{"text": "r"}', "a")}),
+        (3, "", "d", None, new, None), (4, None, "e", None, None, {"a": None}),
+        (5, "f", None, None, new, {"a": msg("user", '" "', None), "b": msg("assistant", '"x"', "a", is_visually_hidden_from_conversation="true")}),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    verdicts, turns = rebuild_graphs(df)
+    assert {r["conv_key"]: r["reason"] for r in verdicts.collect()} == {"c": "", "d": "empty", "e": "empty", "f": "empty"}
+    assert [(r["turn_index"], r["role"], r["text"]) for r in turns.orderBy("turn_index").collect()] == [(0, "user", "q"), (1, "assistant", "r")]
+    assert rebuild_graphs(df.limit(0))[0].count() == 0
+
+
+def test_tiles_against_brute_force():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((1500, 16))
+    x[700:720] = x[0]  # a group of copies larger than k
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ids = np.arange(1500)
+    got, sims = tile_top_k(ids, x, ids, x, 10)
+    s = np.round(x.astype(float) @ x.T.astype(float), 6)
+    np.fill_diagonal(s, -9)
+    for i in range(1500):
+        want = sorted(range(1500), key=lambda j: (-s[i, j], j))[:10]
+        assert list(got[i]) == want and np.allclose(sims[i], s[i, want])
+    back, err = quantise(x)
+    assert (np.abs(x @ x.T - back @ back.T) <= err[:, None] + err[None, :] * (1 + err[:, None]) + 1e-6).all()
+
+
+def test_neighbours_frame(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((60, 8))
+    x[30:50] = x[3]
+    x[50] = x[4] * 7.5
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    bad = [(100, None), (101, [0.0] * 8), (102, [1.0]), (103, [float("nan")] * 8), (104, [None] + [1.0] * 7), (None, [1.0] * 8)]
+    df = spark.createDataFrame(rows + bad + rows[:2], "id bigint, vec array<float>")
+    got = {}
+    for r in neighbours(df, "id", "vec", k=5, dims=8).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["other"])
+    assert set(got) == set(range(60)) and all(len(set(o)) == 5 and i not in o for i, o in got.items())
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    for i in range(60):
+        best = sorted((-s[i, j], j) for j in range(60) if j != i)[:5]
+        assert np.allclose(sorted(-s[i, j] for j in got[i]), [b[0] for b in best], atol=2e-6)
+    assert neighbours(df.limit(0), "id", "vec", k=5, dims=8).count() == 0
+    few = neighbours(df.where("id in (0, 3, 7)"), "id", "vec", k=5, dims=8).collect()
+    assert len(few) == 6
