@@ -28,6 +28,12 @@ def shield(df: DataFrame, reserved: Iterable[str]) -> DataFrame:
     return df.toDF(*out)
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that the optimizer may neither repeat nor merge: a
+    generator of one row stands between them and whatever uses them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def bucket_of(value: Column, per_octave: int = 64) -> Column:
     """A monotone integer bucket of a finite double: equal or larger values
     never get a smaller bucket, whatever the scale of the data."""

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.columns import shield
+from lodestar.columns import once, shield
 
 OUT = ("utc_ms", "reading", "posterior", "ambiguous", "canonical")
 
@@ -149,18 +149,12 @@ def readings(stamp: Column, tz: Column) -> dict[str, Column]:
     return {"text": t, "zone": zone, "shape": shape, "parts": F.split(parts, r"\|")}
 
 
-def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Adds columns that the optimizer may neither repeat nor merge: a
-    generator of one row stands between them and whatever uses them."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def parse_readings(df: DataFrame, stamp: str, tz: str | None) -> DataFrame:
     """Adds ``__shape``, ``__dmy`` and ``__mdy`` (milliseconds, null: no such
     reading). Shapes with one reading have it in both columns."""
     r = readings(F.col(stamp), F.col(tz) if tz else F.lit(None).cast("string"))
-    df = _once(df, {"__t": r["text"], "__zone": r["zone"], "__shape": r["shape"]})
-    df = _once(df, {"__p": r["parts"]})
+    df = once(df, {"__t": r["text"], "__zone": r["zone"], "__shape": r["shape"]})
+    df = once(df, {"__p": r["parts"]})
     p, name = F.col("__p"), F.lower(F.substring(F.col("__p")[1], 1, 3))
     found = F.instr(F.lit(_MONTHS), name)
     by_name = F.when((found > 0) & (found % 3 == 1), ((found + 2) / 3).cast("int"))
@@ -171,7 +165,7 @@ def parse_readings(df: DataFrame, stamp: str, tz: str | None) -> DataFrame:
         "__wd": _wall(_int(p[0]), F.when(two, other).when(named, by_name).otherwise(one), F.when(two, one).otherwise(other), p),
         "__wm": F.when(two, _wall(_int(p[0]), one, other, p)),
     }
-    df = _once(df, walls)
+    df = once(df, walls)
     number = F.when(F.col("__shape") == "number", F.col("__t").try_cast("decimal(38,9)"))
     as_ms = (
         F.when(number <= 0, F.lit(None))
@@ -182,8 +176,8 @@ def parse_readings(df: DataFrame, stamp: str, tz: str | None) -> DataFrame:
     )
     dmy = F.coalesce(as_ms, _instant(F.col("__wd"), p, F.col("__zone")))
     mdy = F.when(two, _instant(F.col("__wm"), p, F.col("__zone"))).otherwise(F.col("__dmy"))
-    df = _once(df, {"__dmy": dmy})
-    return _once(df, {"__mdy": mdy}).drop("__t", "__zone", "__p", "__wd", "__wm")
+    df = once(df, {"__dmy": dmy})
+    return once(df, {"__mdy": mdy}).drop("__t", "__zone", "__p", "__wd", "__wm")
 
 
 def instant_ms(df: DataFrame, stamp: str, tz: str | None, out: str) -> DataFrame:

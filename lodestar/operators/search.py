@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.columns import once
 from lodestar.functions.text import index_tokens, plain_tokens, porter_tokens, query_terms
 
 K1, B = 1.2, 0.75
@@ -50,7 +51,7 @@ def bm25(chunks: DataFrame, query: str, tokenizer: str = "porter") -> DataFrame:
         tokens = plain_tokens(F.col("text"))
     if not phrases:
         return chunks.select("doc_id", "chunk_id", "text", F.lit(0.0).alias("bm25")).limit(0)
-    counted = chunks.where(F.col("text").isNotNull()).select("doc_id", "chunk_id", "text", tokens.alias("__t"))
+    counted = once(chunks.where(F.col("text").isNotNull()).select("doc_id", "chunk_id", "text"), {"__t": tokens})
     counted = counted.select(
         "doc_id", "chunk_id", "text", F.size("__t").alias("len"), *[_occurrences(F.col("__t"), p).alias(f"f{i}") for i, p in enumerate(phrases)]
     )

@@ -49,7 +49,7 @@ def walk_order(ids: list[str], parents: list, children: list) -> list[int]:
                 continue
             seen.add(i)
             out.append(i)
-            stack.extend(at[c] for c in reversed(children[i] or []) if c in at)
+            stack.extend(at[c] for c in reversed(children[i] if children[i] is not None else []) if c in at)
 
     for group in (lambda p: not p, lambda p: p and p not in at, lambda p: True):
         for i in by_id:
