@@ -91,9 +91,10 @@ def _wall(year: Column, month: Column, day: Column, p: Column) -> Column:
     )
 
 
-def known_zone(tz: Column) -> Column:
+def known_zone(column: str) -> Column:
     """The zone name, or UTC where it is null or no IANA zone."""
-    return F.when(tz.isin(sorted(zoneinfo.available_timezones())), tz).otherwise(F.lit("UTC"))
+    names = ", ".join(f"'{z}'" for z in sorted(zoneinfo.available_timezones()))
+    return F.expr(f"CASE WHEN {column} IN ({names}) THEN {column} ELSE 'UTC' END")
 
 
 def _instant(wall: Column, p: Column, tz: Column) -> Column:
@@ -107,12 +108,8 @@ def _instant(wall: Column, p: Column, tz: Column) -> Column:
         F.coalesce(_int(F.substring(digits, 1, 2)), F.lit(0)) * 60
         + F.coalesce(_int(F.substring(digits, 3, 2)), F.lit(0))
     )
-    letters = F.create_map(
-        *[
-            x
-            for k, v in ZONE_LETTERS.items()
-            for x in (F.lit(k), F.array(*[F.lit(int(h * 60)) for h in v]))
-        ]
+    letters = F.expr(
+        "map(" + ", ".join(f"'{k}', array({', '.join(str(int(h * 60)) for h in v)})" for k, v in ZONE_LETTERS.items()) + ")"
     )
     own = ((wall_ms - local_ms) / 60000).cast("int")
     nearest = F.array_min(
@@ -130,12 +127,10 @@ def _instant(wall: Column, p: Column, tz: Column) -> Column:
     return utc + frac
 
 
-def readings(stamp: Column, tz: Column) -> dict[str, Column]:
-    """Column expressions of one stamp: its ``shape``, and ``dmy``/``mdy``
-    instants (equal unless day and month are both numbers of a dotted or
-    slashed date)."""
+def readings(stamp: Column) -> dict[str, Column]:
+    """Column expressions of one stamp: its trimmed ``text``, its ``shape``
+    and, given that in ``__shape``, its ``parts``."""
     t = F.regexp_replace(stamp, r"(?U)^\s+|\s+\z", "")
-    zone = known_zone(tz)
     shape = reduce(
         lambda acc, kv: acc.when(t.rlike(kv[1][0]), F.lit(kv[0])),
         list(SHAPES.items())[1:],
@@ -146,14 +141,15 @@ def readings(stamp: Column, tz: Column) -> dict[str, Column]:
         list(SHAPES.items())[1:],
         F.when(F.col("__shape") == "iso", F.regexp_replace(t, *SHAPES["iso"])),
     )
-    return {"text": t, "zone": zone, "shape": shape, "parts": F.split(parts, r"\|")}
+    return {"text": t, "shape": shape, "parts": F.split(parts, r"\|")}
 
 
 def parse_readings(df: DataFrame, stamp: str, tz: str | None) -> DataFrame:
     """Adds ``__shape``, ``__dmy`` and ``__mdy`` (milliseconds, null: no such
     reading). Shapes with one reading have it in both columns."""
-    r = readings(F.col(stamp), F.col(tz) if tz else F.lit(None).cast("string"))
-    df = once(df, {"__t": r["text"], "__zone": r["zone"], "__shape": r["shape"]})
+    r = readings(F.col(stamp))
+    df = df.withColumn("__tz", F.col(tz) if tz else F.lit(None).cast("string"))
+    df = once(df, {"__t": r["text"], "__zone": known_zone("__tz"), "__shape": r["shape"]}).drop("__tz")
     df = once(df, {"__p": r["parts"]})
     p, name = F.col("__p"), F.lower(F.substring(F.col("__p")[1], 1, 3))
     found = F.instr(F.lit(_MONTHS), name)
