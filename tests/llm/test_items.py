@@ -98,7 +98,11 @@ def test_graph_verdicts():
     # the user's clock is 100 behind: corrected so that the answer is not older
     reason, offset, ok, order = judge([None, "a", "b", "c"], [U, A, U, A], [True] * 4, [1000.0, 950.0, 1100.0, 1060.0])
     assert (reason, ok, order) == ("", True, [0, 1, 2, 3]) and offset == -50.0
-    assert solve_offset(10, -10) == (0.0, False) and solve_offset(float("-inf"), float("inf")) == (0.0, True)
+    assert solve_offset([10], [-10]) == (0.0, False) and solve_offset([], []) == (0.0, True)
+    lows, highs = [5.0, 9.0, -3.0, 7.5], [1.0, 2.0, 4.0, 30.0]
+    cost = lambda d: sum(max(0, d - h) ** 2 for h in highs) + sum(max(0, x - d) ** 2 for x in lows)
+    best = min((cost(d / 1000), d / 1000) for d in range(0, 10_000))[1]
+    assert abs(solve_offset(lows, highs)[0] - best) <= 0.002
     deep = 5000
     ids = [str(i) for i in range(deep)]
     assert judge_graph(ids, [None, *ids[:-1]], [U, A] * (deep // 2), [True] * deep, [None] * deep)[0] == ""
