@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.words import shingles
-from lodestar.session import cut
+from lodestar.session import cut, shared_path
 
 DEEPEST = 12
 BITS = 320
@@ -149,23 +149,73 @@ def all_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return across.unionByName(within)
 
 
-def classes(pairs: DataFrame, members: DataFrame, rounds: int = 30) -> DataFrame:
-    """``id, class_id, n_links``: connected components by least-label
-    propagation with pointer jumping; ``n_links`` counts a class
-    representative's links to other sets."""
-    both = pairs.select(F.col("rep_a").alias("s"), F.col("rep_b").alias("t"))
-    links = cut(both.unionByName(both.select(F.col("t").alias("s"), F.col("s").alias("t"))))
-    label = cut(links.groupBy(F.col("s").alias("v")).agg(F.least(F.min("t"), F.col("s")).alias("c"), F.count("*").alias("deg")))
-    for _ in range(rounds):
-        near = links.join(label.select(F.col("v").alias("t"), "c"), "t").groupBy("s").agg(F.min("c").alias("m"))
-        step = label.join(near, F.col("v") == F.col("s")).select("v", F.least("c", "m").alias("c"), "deg", F.col("c").alias("old"))
-        jump = step.select(F.col("v").alias("jv"), F.col("c").alias("jc"))
-        step = step.join(jump, F.col("c") == F.col("jv"), "left")
-        step = cut(step.select("v", F.least("c", F.coalesce("jc", "c")).alias("c"), "deg", "old"))
-        changed = step.where(F.col("c") != F.col("old")).limit(1).count()
-        label = step.select("v", "c", "deg")
-        if not changed:
-            break
+class _Rounds:
+    """Tables of the rounds of a loop, in the shared checkpoint folder. The size
+    estimate of a checkpoint is the product over all joins before it, a number
+    whose digits double with each round; a table read again has its true size."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.spark, self.paths = df.sparkSession, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = shared_path(self.spark, "classes")
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self.paths = []
+
+
+def _roots(parent: DataFrame, rounds: _Rounds) -> DataFrame:
+    """``v, p`` with every parent replaced by the root of its tree, by pointer
+    doubling; a root is its own parent."""
+    while True:
+        up = parent.select(F.col("v").alias("p"), F.col("p").alias("q"))
+        step = rounds.keep(parent.join(up, "p").select("v", F.col("q").alias("p"), F.col("p").alias("old")))
+        parent = step.select("v", "p")
+        if step.where(F.col("p") != F.col("old")).isEmpty():
+            return parent
+
+
+def _contract(links: DataFrame, label: DataFrame, rounds: _Rounds) -> tuple[DataFrame, DataFrame]:
+    """One round: every class with a link picks its least one, ordered by (lower
+    label, higher label), so picks form trees whose only cycle is the one link
+    that both its ends picked; the lower of them is the root and the least label
+    of its tree. Each tree becomes one class."""
+    least = F.min(F.struct(F.least("s", "t").alias("lo"), F.greatest("s", "t").alias("hi")))
+    pick = links.groupBy(F.col("s").alias("v")).agg(least.alias("e"))
+    pick = rounds.keep(pick.select("v", F.when(F.col("e.lo") == F.col("v"), F.col("e.hi")).otherwise(F.col("e.lo")).alias("p")))
+    back = pick.select(F.col("v").alias("p"), F.col("p").alias("q"))
+    met = F.when(F.col("q") == F.col("v"), F.least("v", "p")).otherwise(F.col("p"))
+    root = _roots(rounds.keep(pick.join(back, "p").select("v", met.alias("p"))), rounds)
+    label = label.join(root.select(F.col("v").alias("c"), "p"), "c", "left")
+    label = rounds.keep(label.select("v", F.coalesce("p", "c").alias("c"), "deg"))
+    links = links.join(root.select(F.col("v").alias("s"), F.col("p").alias("ps")), "s").join(
+        root.select(F.col("v").alias("t"), F.col("p").alias("pt")), "t"
+    )
+    links = links.where(F.col("ps") != F.col("pt")).select(F.col("ps").alias("s"), F.col("pt").alias("t")).distinct()
+    return rounds.keep(links), label
+
+
+def classes(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """``id, class_id, n_links``: connected components by contraction, until no
+    link between different classes is left; every round at least halves the
+    classes that still have links, whatever the graph looks like. ``n_links``
+    counts a class representative's links to other sets."""
+    rounds = _Rounds(pairs)
+    both = rounds.keep(pairs.select(F.col("rep_a").alias("s"), F.col("rep_b").alias("t")))
+    links = rounds.keep(both.unionByName(both.select(F.col("t").alias("s"), F.col("s").alias("t"))))
+    label = rounds.keep(links.groupBy(F.col("s").alias("v")).agg(F.count("*").alias("deg")).withColumn("c", F.col("v")))
+    try:
+        while not links.isEmpty():
+            links, label = _contract(links, label, rounds)
+        label = cut(label)
+    finally:
+        rounds.drop()
     return members.join(label, F.col("rep") == F.col("v"), "left").select(
         "id", F.coalesce("c", "rep").alias("class_id"), F.coalesce("deg", F.lit(0)).alias("n_links")
     )

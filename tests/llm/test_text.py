@@ -61,6 +61,18 @@ def test_near_duplicates_against_brute_force(spark):
     assert again[1].count() == 3
 
 
+def test_a_long_chain_is_one_class(spark):
+    """Each text is near its two neighbours alone (0.73; 0.52 to the next)."""
+    rng = random.Random(7)
+    ids = [f"t{k:03d}" for k in range(400)]
+    rng.shuffle(ids)
+    docs = [(i, " ".join(f"w{x}" for x in range(6 * k, 6 * k + 40))) for k, i in enumerate(ids)]
+    df = spark.createDataFrame([*docs, ("z1", "quite another text here"), ("z2", "quite another text here")], "id string, text string")
+    rows = {r["id"]: (r["class_id"], r["n_links"]) for r in classes(*near_duplicates(df, "id", "text", words=3, threshold=0.6)).collect()}
+    want = {i: ("t000", 1 if k in (0, 399) else 2) for k, i in enumerate(ids)}
+    assert rows == want | {"z1": ("z1", 0), "z2": ("z1", 0)}
+
+
 def test_depth_meets_the_target():
     for s, trees in ((0.6, 64), (0.8, 64), (0.8, 16), (0.3, 8)):
         d = depth_for(s, trees, 0.99)
