@@ -22,6 +22,15 @@ READERS = {
 }
 
 
+EXPORTS = {"chatgpt": exports.CHATGPT, "claude": exports.CLAUDE}
+
+
+def _warn_of_bad(spark: SparkSession, path: str, schema: str) -> None:
+    bad = exports.export_elements(spark, path, schema).where(F.col("error").isNotNull()).count()
+    if bad:
+        print(f"warning: {path}: {bad} elements could not be read and were skipped", file=sys.stderr)
+
+
 def import_documents(spark: SparkSession, path: str, kind: str | None = None, per: str = "turn") -> DataFrame:
     """``id, text, attrs`` of whatever lies at ``path``: an export, transcripts
     or text files; a document per turn or per conversation."""
@@ -30,6 +39,8 @@ def import_documents(spark: SparkSession, path: str, kind: str | None = None, pe
         return read_ndjson(spark, path).where(F.col("error").isNull()).select("id", "text", "attrs")
     if kind == "files":
         return files.file_documents(spark, path)
+    if kind in EXPORTS:
+        _warn_of_bad(spark, path, EXPORTS[kind])
     turns = READERS[kind](spark, path)
     if per == "turn":
         return turn_documents(turns)

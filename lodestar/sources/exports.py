@@ -1,12 +1,15 @@
 """Chat exports and agent transcripts as rows of turns.
 
 All readers give ``source, session, title, pos, turn_id, role, text, created``;
-blank turns are left out. JSON is read with explicit schemas; a record that does
-not parse is dropped by ``DROPMALFORMED`` reading or kept apart by the caller.
+blank turns are left out. JSON is read with explicit schemas; of an export, the
+elements that do not parse are kept apart by ``export_elements`` and skipped by
+the readers, each alone.
 """
 
 from __future__ import annotations
 
+import io
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,10 +17,11 @@ from pyspark.sql import types as T
 
 from lodestar.columns import has_text, trim_unicode
 from lodestar.functions.scalars import epoch_time, first_non_empty, flexible_time, normalize_time, one_line, truncate
+from lodestar.sources.files import array_elements
 
 CHATGPT = (
-    "conversation_id string, id string, title string, create_time double, mapping map<string, struct<message: struct<id: string, "
-    "author: struct<role: string>, create_time: double, content: struct<content_type: string, parts: array<string>, text: string, "
+    "conversation_id string, id string, title string, create_time string, mapping map<string, struct<message: struct<id: string, "
+    "author: struct<role: string>, create_time: string, content: struct<content_type: string, parts: array<string>, text: string, "
     "user_profile: string, user_instructions: string>, metadata: map<string, string>>, parent: string, children: array<string>>>"
 )
 CLAUDE = (
@@ -31,6 +35,9 @@ CC_LINE = (
 )
 CODEX_LINE = "timestamp string, type string, payload struct<id: string, timestamp: string, cwd: string, type: string, message: string>"
 
+#: Characters of raw elements that are handed on together.
+BATCH = 1 << 22
+
 _ORDER = T.ArrayType(T.IntegerType())
 
 
@@ -99,8 +106,35 @@ def chatgpt_turns(convs: DataFrame) -> DataFrame:
     return out.where(~F.col("h") & has_text(F.col("text"))).drop("h")
 
 
+def export_elements(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """``element_no, raw, value, error``: every element of an export's array;
+    ``error`` is null where the element is of the schema."""
+
+    def split(batches):
+        for b in batches:
+            for content in b["content"]:
+                rows, held = [], 0
+                for k, (raw, error) in enumerate(array_elements(io.BytesIO(content))):
+                    rows.append((k, raw, error))
+                    held += len(raw or "")
+                    if held > BATCH:
+                        yield pd.DataFrame(rows, columns=["element_no", "raw", "error"])
+                        rows, held = [], 0
+                yield pd.DataFrame(rows, columns=["element_no", "raw", "error"])
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    rows = files.mapInPandas(split, "element_no int, raw string, error string")
+    value = F.from_json("raw", f"{schema}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    rows = rows.withColumn("value", value)
+    return rows.withColumn("error", F.coalesce("error", F.when(F.col("value.__bad").isNotNull(), "not of the schema")))
+
+
+def _good(elements: DataFrame) -> DataFrame:
+    return elements.where(F.col("error").isNull()).select("element_no", "value.*").drop("__bad")
+
+
 def read_chatgpt(spark: SparkSession, path: str) -> DataFrame:
-    return chatgpt_turns(spark.read.schema(CHATGPT).option("multiLine", True).option("mode", "DROPMALFORMED").json(path))
+    return chatgpt_turns(_good(export_elements(spark, path, CHATGPT)))
 
 
 def claude_turns(convs: DataFrame) -> DataFrame:
@@ -124,12 +158,12 @@ def claude_turns(convs: DataFrame) -> DataFrame:
 
 
 def read_claude(spark: SparkSession, path: str) -> DataFrame:
-    return claude_turns(spark.read.schema(CLAUDE).option("multiLine", True).option("mode", "DROPMALFORMED").json(path))
+    return claude_turns(_good(export_elements(spark, path, CLAUDE)))
 
 
 def read_claude_projects(spark: SparkSession, path: str) -> DataFrame:
     """``id, text, name, created``: a document per description and file."""
-    p = spark.read.schema(CLAUDE_PROJECTS).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    p = _good(export_elements(spark, path, CLAUDE_PROJECTS))
     about = p.select(F.concat(F.lit("claude:project:"), "uuid").alias("id"), F.col("description").alias("text"), F.lit("description").alias("name"), normalize_time(F.col("created_at")).alias("created"))
     docs = p.select("uuid", F.posexplode("docs").alias("j", "d")).select(
         F.concat(F.lit("claude:project:"), "uuid", F.lit(":"), first_non_empty(F.coalesce("d.uuid", F.lit("")), F.concat(F.lit("doc"), F.col("j").cast("string")))).alias("id"),

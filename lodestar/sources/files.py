@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import codecs
 import io
 import json
 import os
 import zipfile
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +62,60 @@ def file_documents(spark: SparkSession, path: str, extensions: tuple[str, ...] =
     return rows.select("id", "text", attrs.alias("attrs"))
 
 
+def array_elements(stream: BinaryIO, chunk: int = 1 << 20) -> Iterator[tuple[str | None, str | None]]:
+    """``(raw, error)`` of every element of a JSON array, read piece by piece;
+    after a syntax error nothing can be told apart, so it ends the elements
+    with one ``(None, error)``."""
+    decoder, text, at, ended = codecs.getincrementaldecoder("utf-8-sig")("replace"), "", 0, False
+
+    def more() -> None:
+        # an element that does not fit is decoded anew: twice the text each time
+        nonlocal text, at, ended
+        data = stream.read(max(chunk, len(text) - at))
+        ended = not data
+        text, at = text[at:] + decoder.decode(data, ended), 0
+
+    def peek() -> str:
+        """The next character that is no white space; empty at the end."""
+        nonlocal at
+        while True:
+            while at < len(text) and text[at] in " \t\r\n":
+                at += 1
+            if at < len(text) or ended:
+                return text[at : at + 1]
+            more()
+
+    if peek() != "[":
+        yield None, "not a JSON array"
+        return
+    at += 1
+    if peek() == "]":
+        return
+    opened = True
+    while opened:
+        peek()
+        try:
+            _, end = json.JSONDecoder().raw_decode(text, at)
+            whole = end < len(text) or ended
+        except ValueError:
+            whole, end = False, -1
+        except RecursionError:
+            yield None, "nested too deep"
+            return
+        if not whole and not ended:
+            more()
+            continue
+        if end < 0:
+            yield None, "malformed JSON"
+            return
+        raw, at = text[at:end], end
+        yield raw, None
+        opened = peek() == ","
+        if not opened and peek() != "]":
+            yield None, "malformed JSON"
+        at += 1
+
+
 def sniff_export(head: str) -> str:
     """chatgpt or claude, by the first element of a JSON array."""
     text = head.lstrip()
