@@ -25,10 +25,10 @@ READERS = {
 EXPORTS = {"chatgpt": exports.CHATGPT, "claude": exports.CLAUDE}
 
 
-def _warn_of_bad(spark: SparkSession, path: str, schema: str) -> None:
-    bad = exports.export_elements(spark, path, schema).where(F.col("error").isNotNull()).count()
+def _warn_of_bad(spark: SparkSession, path: str, schema: str, base: str = "conversations.json") -> None:
+    bad = exports.export_elements(spark, path, schema, base).where(F.col("error").isNotNull()).count()
     if bad:
-        print(f"warning: {path}: {bad} elements could not be read and were skipped", file=sys.stderr)
+        print(f"warning: {path}: {bad} elements of {base} could not be read and were skipped", file=sys.stderr)
 
 
 def import_documents(spark: SparkSession, path: str, kind: str | None = None, per: str = "turn") -> DataFrame:
@@ -41,7 +41,23 @@ def import_documents(spark: SparkSession, path: str, kind: str | None = None, pe
         return files.file_documents(spark, path)
     if kind in EXPORTS:
         _warn_of_bad(spark, path, EXPORTS[kind])
-    turns = READERS[kind](spark, path)
+    more = _project_documents(spark, path) if kind == "claude" else None
+    docs = _conversations(READERS[kind](spark, path), per)
+    return docs if more is None else docs.unionByName(more)
+
+
+def _project_documents(spark: SparkSession, path: str) -> DataFrame | None:
+    """The project files beside the conversations of an export, if any."""
+    if not os.path.exists(path) or files.shallowest(files.names_in(path), "projects.json") is None:
+        return None
+    _warn_of_bad(spark, path, exports.CLAUDE_PROJECTS, "projects.json")
+    p = exports.read_claude_projects(spark, path)
+    created = F.when(F.col("created") != "", F.col("created")).alias("created")
+    attrs = F.struct(created, F.lit("project_doc").alias("kind"), "name", "project", "session", F.lit("claude").alias("source"))
+    return p.select("id", "text", F.to_json(attrs).alias("attrs"))
+
+
+def _conversations(turns: DataFrame, per: str) -> DataFrame:
     if per == "turn":
         return turn_documents(turns)
     titles = turns.groupBy("source", "session").agg(F.max("title").alias("title"))

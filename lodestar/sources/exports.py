@@ -9,6 +9,7 @@ the readers, each alone.
 from __future__ import annotations
 
 import io
+import os
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 from lodestar.columns import has_text, trim_unicode
 from lodestar.functions.scalars import epoch_time, first_non_empty, flexible_time, normalize_time, one_line, truncate
-from lodestar.sources.files import array_elements
+from lodestar.sources.files import array_elements, is_zip, names_in, open_in, payload
 
 CHATGPT = (
     "conversation_id string, id string, title string, create_time string, mapping map<string, struct<message: struct<id: string, "
@@ -106,23 +107,40 @@ def chatgpt_turns(convs: DataFrame) -> DataFrame:
     return out.where(~F.col("h") & has_text(F.col("text"))).drop("h")
 
 
-def export_elements(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _named(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    return spark.createDataFrame([(path, n) for n in names], "path string, name string")
+
+
+def export_elements(spark: SparkSession, path: str, schema: str, base: str = "conversations.json") -> DataFrame:
     """``element_no, raw, value, error``: every element of an export's array;
-    ``error`` is null where the element is of the schema."""
+    ``error`` is null where the element is of the schema. ``path`` is a file, or
+    a directory or zip archive whose shallowest ``base`` is taken."""
+
+    def batches_of(stream):
+        rows, held = [], 0
+        for k, (raw, error) in enumerate(array_elements(stream)):
+            rows.append((k, raw, error))
+            held += len(raw or "")
+            if held > BATCH:
+                yield pd.DataFrame(rows, columns=["element_no", "raw", "error"])
+                rows, held = [], 0
+        yield pd.DataFrame(rows, columns=["element_no", "raw", "error"])
 
     def split(batches):
         for b in batches:
-            for content in b["content"]:
-                rows, held = [], 0
-                for k, (raw, error) in enumerate(array_elements(io.BytesIO(content))):
-                    rows.append((k, raw, error))
-                    held += len(raw or "")
-                    if held > BATCH:
-                        yield pd.DataFrame(rows, columns=["element_no", "raw", "error"])
-                        rows, held = [], 0
-                yield pd.DataFrame(rows, columns=["element_no", "raw", "error"])
-
-    files = spark.read.format("binaryFile").load(path).select("content")
+            if "content" in b:
+                for content in b["content"]:
+                    yield from batches_of(io.BytesIO(content))
+                continue
+            for p, n in zip(b["path"], b["name"]):
+                with open_in(p, n) as f:
+                    yield from batches_of(f)
+
+    local = path.removeprefix("file:")
+    name = payload(local, base) if os.path.exists(local) else None
+    if name is None and is_zip(local):
+        raise ValueError(f"{path}: no {base} in this archive")
+    files = spark.read.format("binaryFile").load(path).select("content") if name is None else _named(spark, local, [name])
     rows = files.mapInPandas(split, "element_no int, raw string, error string")
     value = F.from_json("raw", f"{schema}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
     rows = rows.withColumn("value", value)
@@ -162,28 +180,56 @@ def read_claude(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_claude_projects(spark: SparkSession, path: str) -> DataFrame:
-    """``id, text, name, created``: a document per description and file."""
-    p = _good(export_elements(spark, path, CLAUDE_PROJECTS))
-    about = p.select(F.concat(F.lit("claude:project:"), "uuid").alias("id"), F.col("description").alias("text"), F.lit("description").alias("name"), normalize_time(F.col("created_at")).alias("created"))
-    docs = p.select("uuid", F.posexplode("docs").alias("j", "d")).select(
-        F.concat(F.lit("claude:project:"), "uuid", F.lit(":"), first_non_empty(F.coalesce("d.uuid", F.lit("")), F.concat(F.lit("doc"), F.col("j").cast("string")))).alias("id"),
-        F.col("d.content").alias("text"), F.col("d.filename").alias("name"), normalize_time(F.col("d.created_at")).alias("created"),
+    """``id, text, name, created, project, session``: a document per description
+    and file."""
+    p = _good(export_elements(spark, path, CLAUDE_PROJECTS, "projects.json"))
+    p = p.withColumn("session", first_non_empty(F.coalesce("uuid", F.lit("")), F.concat(F.lit("project-"), F.col("element_no").cast("string"))))
+    head = F.concat(F.lit("claude:project:"), "session")
+    start = normalize_time(F.col("created_at"))
+    about = p.select(
+        head.alias("id"), trim_unicode(F.col("description")).alias("text"), F.lit("description").alias("name"), start.alias("created"),
+        F.col("name").alias("project"), "session",
+    )
+    docs = p.select("session", "name", start.alias("start"), F.posexplode("docs").alias("j", "d")).select(
+        F.concat(head, F.lit(":"), first_non_empty(F.coalesce("d.uuid", F.lit("")), F.concat(F.lit("doc"), F.col("j").cast("string")))).alias("id"),
+        trim_unicode(F.col("d.content")).alias("text"), F.col("d.filename").alias("name"),
+        first_non_empty(F.coalesce(normalize_time(F.col("d.created_at")), F.lit("")), F.coalesce("start", F.lit(""))).alias("created"),
+        F.col("name").alias("project"), "session",
     )
     return about.unionByName(docs).where(has_text(F.col("text")))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file_path, line_no, value``: every line with its number in its file;
-    a file is read by one task, as its lines are numbered in order."""
+    """``file_path, line_no, value``: every line with its number in its file,
+    also of the files of a zip archive (``archive.zip!/entry``); a file is read
+    by one task, as its lines are numbered in order."""
+
+    def numbered(p, stream):
+        lines, first, held = [], 1, 0
+        for line in stream:
+            lines.append(line.removesuffix(b"\n").decode("utf-8", "replace"))
+            held += len(line)
+            if held > BATCH:
+                yield pd.DataFrame({"file_path": p, "line_no": range(first, first + len(lines)), "value": lines})
+                lines, first, held = [], first + len(lines), 0
+        yield pd.DataFrame({"file_path": p, "line_no": range(first, first + len(lines)), "value": lines})
 
     def split(batches):
         for b in batches:
-            for p, content in zip(b["path"], b["content"]):
-                lines = content.decode("utf-8", "replace").split("\n")
-                yield pd.DataFrame({"file_path": p, "line_no": range(1, len(lines) + 1), "value": lines})
+            if "content" in b:
+                for p, content in zip(b["path"], b["content"]):
+                    yield from numbered(p, io.BytesIO(content))
+                continue
+            for p, n in zip(b["path"], b["name"]):
+                with open_in(p, n) as f:
+                    yield from numbered(f"{p}!/{n}" if is_zip(p) else f"{p}/{n}" if os.path.isdir(p) else p, f)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(path)
-    return files.select("path", "content").mapInPandas(split, "file_path string, line_no int, value string").where(F.trim("value") != "")
+    local = path.removeprefix("file:")
+    if os.path.exists(local):
+        files = _named(spark, local, [n for n in names_in(local) if n.lower().endswith(".jsonl")])
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(path).select("path", "content")
+    return files.mapInPandas(split, "file_path string, line_no int, value string").where(F.trim("value") != "")
 
 
 def block_text(content: Column) -> Column:
@@ -199,7 +245,7 @@ def block_text(content: Column) -> Column:
 def claude_code_turns(lines: DataFrame) -> DataFrame:
     """Turns of transcript lines (``file_path, line_no, type, uuid, sessionId,
     timestamp, isMeta, isSidechain, summary, aiTitle, message``)."""
-    base = F.regexp_replace(F.regexp_extract("file_path", r"([^/\\]*)$", 1), r"\.jsonl$", "")
+    base = F.regexp_replace(F.regexp_extract("file_path", r"([^/\\]*)$", 1), r"(?i)\.jsonl$", "")
     heads = lines.groupBy("file_path").agg(
         F.max_by("sessionId", F.when(F.coalesce("sessionId", F.lit("")) != "", F.col("line_no"))).alias("sid"),
         F.max_by("aiTitle", F.when(F.coalesce("aiTitle", F.lit("")) != "", F.col("line_no"))).alias("ai"),
@@ -236,7 +282,7 @@ def read_codex(spark: SparkSession, path: str) -> DataFrame:
         F.min_by(p["id"], meta).alias("sid"),
         F.min_by(p["message"], F.when(said & (p["type"] == "user_message"), F.col("line_no"))).alias("first"),
     )
-    base = F.regexp_replace(F.regexp_extract("file_path", r"([^/\\]*)$", 1), r"\.jsonl$", "")
+    base = F.regexp_replace(F.regexp_extract("file_path", r"([^/\\]*)$", 1), r"(?i)\.jsonl$", "")
     pos = F.row_number().over(Window.partitionBy("file_path").orderBy("line_no")) - 1
     return lines.where(said).join(heads, "file_path").select(
         F.lit("codex").alias("source"), F.coalesce("sid", base).alias("session"), F.coalesce(truncate(one_line(F.col("first")), 72), F.lit("")).alias("title"),

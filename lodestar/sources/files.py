@@ -8,6 +8,7 @@ import json
 import os
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import BinaryIO
 
 import pandas as pd
@@ -153,24 +154,54 @@ def shallowest(names: list[str], base: str) -> str | None:
     return min(found, key=lambda n: (n.count("/"), names.index(n)), default=None)
 
 
+def is_zip(path: str) -> bool:
+    return path.lower().endswith(".zip") and not os.path.isdir(path)
+
+
+def names_in(path: str) -> list[str]:
+    """Relative paths of all files of a directory or archive; the base name of
+    a file."""
+    if os.path.isdir(path):
+        return sorted(os.path.relpath(os.path.join(r, f), path) for r, _, fs in os.walk(path) for f in fs)
+    if is_zip(path):
+        with zipfile.ZipFile(path) as z:
+            return [i.filename for i in z.infolist() if not i.is_dir()]
+    return [os.path.basename(path)]
+
+
+@contextmanager
+def open_in(path: str, name: str) -> Iterator[BinaryIO]:
+    """One of ``names_in(path)`` as a stream of bytes, of any size."""
+    if is_zip(path):
+        with zipfile.ZipFile(path) as z, z.open(name) as f:
+            yield f
+    else:
+        with open(os.path.join(path, name) if os.path.isdir(path) else path, "rb") as f:
+            yield f
+
+
+def payload(path: str, base: str) -> str | None:
+    """The name in ``path`` of the export with this base name, or of its only
+    file where that is JSON."""
+    names = names_in(path)
+    only = names[0] if len(names) == 1 and (names[0].endswith(".json") or not (os.path.isdir(path) or is_zip(path))) else None
+    return shallowest(names, base) or only
+
+
 def detect(path: str) -> str:
     """The format of a directory, archive or file: chatgpt, claude,
     claude-code, codex or files."""
-    if os.path.isdir(path):
-        names = sorted(os.path.relpath(os.path.join(r, f), path) for r, _, fs in os.walk(path) for f in fs)
-        read = lambda n: open(os.path.join(path, n), encoding="utf-8", errors="replace").read(1 << 22)  # noqa: E731, SIM115
-    elif path.lower().endswith(".zip"):
-        z = zipfile.ZipFile(path)
-        names = [i.filename for i in z.infolist() if not i.is_dir()]
-        read = lambda n: z.read(n)[: 1 << 22].decode("utf-8", "replace")
-    else:
-        names = [os.path.basename(path)]
-        read = lambda n: open(path, encoding="utf-8", errors="replace").read(1 << 22)  # noqa: E731, SIM115
+    names = names_in(path)
+
+    def read(n: str) -> str:
+        with open_in(path, n) as f:
+            return f.read(1 << 22).decode("utf-8", "replace")
+
     export = shallowest(names, "conversations.json")
     if export is not None:
         return sniff_export(read(export))
     if len(names) == 1 and names[0].endswith(".json"):
         return sniff_export(read(names[0]))
-    lines = next((n for n in names if n.endswith(".jsonl")), None)
+    lines = next((n for n in names if n.lower().endswith(".jsonl")), None)
     kind = sniff_lines(read(lines).split("\n")) if lines else None
     return kind or "files"

@@ -57,7 +57,7 @@ def test_a_bad_element_costs_itself_alone(spark, tmp_path, capsys):
     assert exports.read_chatgpt(spark, str(p)).where("session = 'c4'").first()["created"] == "2024-01-01T00:00:00Z"
     got = exports.export_elements(spark, str(p), exports.CHATGPT).where("error is not null").orderBy("element_no").collect()
     assert [(r["element_no"], json.loads(r["raw"])) for r in got] == [(2, convs[2]), (3, convs[3]), (6, 5)]
-    assert import_documents(spark, str(p)).count() == 4 and ": 3 elements" in capsys.readouterr().err
+    assert import_documents(spark, str(p)).count() == 4 and ": 3 elements of conversations.json" in capsys.readouterr().err
     p.write_text(json.dumps(convs[:2])[:-1] + ', {"cut')
     assert [r["session"] for r in exports.read_chatgpt(spark, str(p)).orderBy("session").collect()] == ["c0", "c1"]
     p.write_text(json.dumps([{"uuid": "a", "chat_messages": [{"text": "x"}]}, {"uuid": "b", "chat_messages": "x"}]))
@@ -107,6 +107,29 @@ def test_claude_code_and_codex(spark, tmp_path):
     assert files.detect(str(tmp_path / "cx")) == "codex"
 
 
+def test_archives_and_nested_folders_are_read(spark, tmp_path):
+    big = [_conv(i) for i in range(3)]
+    big[0]["padding"] = "x" * (files.LARGEST + 1)
+    cc = "\n".join(json.dumps({"type": "user", "uuid": f"u{i}", "message": {"role": "user", "content": f"hi {i}"}}) for i in range(3))
+    claude = [{"uuid": "u", "name": "N", "chat_messages": [{"uuid": "m", "sender": "human", "text": "said"}]}]
+    projects = [{"uuid": "p", "name": "P", "description": " about ", "docs": [{"filename": "f.md", "content": "inside"}]}, {"docs": 1}]
+    holds = {
+        "gpt": {"x/conversations.json": json.dumps(big[1:] + big[:1]), "x/y/conversations.json": "[]"}, "cc": {"p/s.jsonl": cc, "T.JSONL": cc},
+        "claude": {"e/conversations.json": json.dumps(claude), "e/projects.json": json.dumps(projects)},
+    }
+    for name, entries in holds.items():
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            for n, text in entries.items():
+                z.writestr(n, text)
+                (tmp_path / name / n).parent.mkdir(parents=True, exist_ok=True)
+                (tmp_path / name / n).write_text(text)
+    for suffix in ("", ".zip"):
+        got = lambda name: sorted(r["id"] for r in import_documents(spark, str(tmp_path / name) + suffix).collect())  # noqa: B023, E731
+        assert got("gpt") == ["chatgpt:c0:n", "chatgpt:c1:n", "chatgpt:c2:n"]
+        assert got("cc") == [f"claude-code:{s}:u{i}" for s in ("T", "s") for i in range(3)]
+        assert got("claude") == ["claude:project:p", "claude:project:p:doc0", "claude:u:m"]
+
+
 def test_files_and_detection(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("notes/auth.md", "# Auth")
