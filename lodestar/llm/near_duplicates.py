@@ -1,10 +1,12 @@
-"""Near-duplicate records: MinHash LSH forest with exact verification.
+"""Near-duplicate records: banded MinHash LSH with exact verification.
 
 Every text becomes its set of word shingles; equal sets are one class member
-from then on. A signature has ``trees`` tries of min-hashes, each sorted by
-prefix. Two records are candidates if some trie has them under one prefix of
-the matching depth; the depth starts at the longest prefix and is shortened
-until a pair at the threshold is met with the target recall, 1-(1-s^d)^trees.
+from then on. A signature has ``trees`` bands of ``depth`` min-hashes, each
+folded into one key; two records are candidates if they share the key of some
+band. The depth is one for all records, computed before any is seen: the
+greatest that meets a pair at the threshold with the target recall,
+1-(1-s^d)^trees. This stands in for an LSH forest, whose prefixes would be kept
+sorted and shortened by the matches they find.
 Candidates are thinned by set size and by the agreement of one-bit min-hashes
 (five standard deviations below the expectation at the threshold), and what
 remains is verified by exact Jaccard similarity of the shingle sets.
