@@ -187,10 +187,14 @@ def _fit(pattern_counts: pd.DataFrame, prior: dict[str, float], rounds: int) ->
     """EM over the two orders for one source and shape.
 
     ``pattern_counts`` has one row per (pattern, n); pattern is the two
-    likelihoods of the day-first and the month-first reading."""
+    likelihoods of the day-first and the month-first reading. An unequal prior
+    is a convention: it counts in proportion to the rows, so that their number
+    never outweighs it."""
     lik = pattern_counts[["l_dmy", "l_mdy"]].to_numpy(float)
     n = pattern_counts["n"].to_numpy(float)[:, None]
     alpha = np.array([prior["dmy"], prior["mdy"]], float)
+    if alpha[0] != alpha[1]:
+        alpha *= max(n.sum(), 1.0)
     theta = alpha / alpha.sum()
     for _ in range(rounds):
         post = lik * theta
@@ -207,7 +211,8 @@ def _fit(pattern_counts: pd.DataFrame, prior: dict[str, float], rounds: int) ->
     return out
 
 
-#: Pseudo-counts of the readings before any value is seen.
+#: Pseudo-counts of the readings before any value is seen; unequal ones hold for
+#: every row of a source.
 CONVENTIONS = {"dotted": {"dmy": 1e6, "mdy": 1.0}, "slashed": {"dmy": 1.0, "mdy": 1e6}}
 NO_CONVENTIONS = {"dotted": {"dmy": 1.0, "mdy": 1.0}, "slashed": {"dmy": 1.0, "mdy": 1.0}}
 

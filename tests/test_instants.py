@@ -4,6 +4,8 @@ import datetime as dt
 import random
 from zoneinfo import ZoneInfo
 
+from pyspark.sql import functions as F
+
 from lodestar.operators.instants import CONVENTIONS, normalize_timestamps
 
 UTC = dt.timezone.utc
@@ -77,6 +79,15 @@ def test_mixture_decides_the_order_of_day_and_month(spark):
     assert [r["ambiguous"] for r in got if r["src"] == "odd"] == [True]
 
 
+def test_a_convention_holds_whatever_the_counts(spark):
+    """The agreed reading is 26 days after ``near``, the other one four before."""
+    near = _ms(dt.datetime(2025, 5, 10, tzinfo=UTC))
+    few = spark.createDataFrame([("few", "05.06.2025 10:00:00", near)] * 2, "src string, stamp string, near long")
+    hot = spark.range(20_000).select(F.lit("hot").alias("src"), F.lit("05.06.2025 10:00:00").alias("stamp"), F.lit(near).alias("near"))
+    got = normalize_timestamps(few.unionByName(hot), "stamp", source="src", conventions=CONVENTIONS, near_ms="near")
+    assert {(r["src"], r["reading"]) for r in got.select("src", "reading").distinct().collect()} == {("few", "dotted-dmy"), ("hot", "dotted-dmy")}
+
+
 def test_clashing_columns_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([("a", "1735690862", 7), ("a", "1735690862", 7)], "reading string, stamp string, UTC_MS int")
     got = normalize_timestamps(df, "stamp").collect()
