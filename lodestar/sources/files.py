@@ -192,16 +192,19 @@ def detect(path: str) -> str:
     """The format of a directory, archive or file: chatgpt, claude,
     claude-code, codex or files."""
     names = names_in(path)
-
-    def read(n: str) -> str:
-        with open_in(path, n) as f:
-            return f.read(1 << 22).decode("utf-8", "replace")
-
     export = shallowest(names, "conversations.json")
+    if export is None and len(names) == 1 and names[0].endswith(".json"):
+        export = names[0]
     if export is not None:
-        return sniff_export(read(export))
-    if len(names) == 1 and names[0].endswith(".json"):
-        return sniff_export(read(names[0]))
+        with open_in(path, export) as f:
+            # the first element whole, however large
+            raw, error = next(array_elements(f), (None, "no conversation in the export"))
+        if error:
+            raise ValueError(error)
+        return sniff_export(f"[{raw}]")
     lines = next((n for n in names if n.lower().endswith(".jsonl")), None)
-    kind = sniff_lines(read(lines).split("\n")) if lines else None
-    return kind or "files"
+    if lines is None:
+        return "files"
+    with open_in(path, lines) as f:
+        head = [f.readline().decode("utf-8", "replace") for _ in range(5)]
+    return sniff_lines(head) or "files"

@@ -130,6 +130,19 @@ def test_archives_and_nested_folders_are_read(spark, tmp_path):
         assert got("claude") == ["claude:project:p", "claude:project:p:doc0", "claude:u:m"]
 
 
+def test_detection_of_large_first_elements(tmp_path):
+    pad = "x" * (5 << 20)
+    for name, text, kind in (
+        ("conversations.json", json.dumps([{"title": pad, **_conv(0)}]), "chatgpt"), ("c.json", json.dumps([{"name": pad, "chat_messages": []}]), "claude"),
+        ("s.jsonl", json.dumps({"message": pad, "sessionId": "S"}), "claude-code"),
+    ):
+        (tmp_path / name).write_text(text)
+        assert files.detect(str(tmp_path / name)) == kind
+    (tmp_path / "conversations.json").write_text("[]")
+    with pytest.raises(ValueError):
+        files.detect(str(tmp_path))
+
+
 def test_files_and_detection(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("notes/auth.md", "# Auth")
