@@ -30,22 +30,33 @@ def word_spans(text: str) -> list[tuple[str, int, int]]:
     return [(m[0], back[m.start()], back[m.end() - 1] + 1) for m in WORD.finditer("".join(low))]
 
 
-def shingles(text: str | None, n: int, seen: dict[str, int]) -> np.ndarray:
-    """The distinct ``n``-word shingles as sorted 64-bit hashes. ``seen`` keeps
-    word hashes within a batch."""
-    hashes = []
-    for w in words(text):
-        h = seen.get(w)
-        if h is None:
-            h = seen[w] = xxhash.xxh64_intdigest(w)
-        hashes.append(h)
-    if len(hashes) < n:
-        return np.empty(0, np.uint64)
+def shingle_sets(texts: list, n: int, seen: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, 64-bit hashes) of the distinct ``n``-word shingles of every
+    text, sorted by row and hash. ``seen`` keeps word hashes between batches."""
+    if len(seen) > 500_000:
+        seen.clear()
+    hashes: list[int] = []
+    counts = np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        ws = words(t)
+        counts[i] = len(ws)
+        for w in ws:
+            h = seen.get(w)
+            if h is None:
+                h = seen[w] = xxhash.xxh64_intdigest(w)
+            hashes.append(h)
     w = np.array(hashes, np.uint64)
-    m = len(w) - n + 1
+    row = np.repeat(np.arange(len(texts)), counts)
+    m = max(len(w) - n + 1, 0)
+    whole = row[:m] == row[n - 1 : n - 1 + m]  # the shingle stays within its text
     with np.errstate(over="ignore"):
         out = np.zeros(m, np.uint64)
         for k in range(n):
             out = (out ^ w[k : k + m]) * _P[k % 3] + np.uint64(k + 1)
             out ^= out >> np.uint64(29)
-    return np.unique(out)
+    row, out = row[:m][whole], out[whole]
+    order = np.lexsort((out, row))
+    row, out = row[order], out[order]
+    new = np.ones(len(out), bool)
+    new[1:] = (row[1:] != row[:-1]) | (out[1:] != out[:-1])
+    return row[new], out[new]

@@ -1,8 +1,11 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from lodestar.llm import near_duplicates as nd
 from lodestar.llm import toxicity as tx
 from lodestar.llm.leakage import find_leaks
 from lodestar.llm.mixing import VOCABULARY, count_tokens, draw, encoding, mix_report
@@ -178,3 +181,61 @@ def test_toxicity_frame(spark):
     reviews = spark.createDataFrame([(1, 1, "a"), (1, 0, "b"), (2, 1, "a"), (5, 1, "a"), (3, None, "c")], "id int, abusive int, reviewer string")
     docs = spark.createDataFrame([(1, "x"), (2, None), (5, "y"), (5, "y"), (3, "z")], "id int, text string")
     assert tx.labelled_sample(docs, "id", "text", reviews, 10) == [("y", 1)]
+
+
+def _cut_by_hand(rows, most):
+    """The runs that a trie of these sorted rows must be cut into."""
+    out, stack = [], [(sorted(rows), 0)]
+    while stack:
+        part, level = stack.pop()
+        groups = {}
+        for r in part:
+            groups.setdefault((r[0], r[1] >> (8 * (nd.LEVELS - level))), []).append(r)
+        for g in groups.values():
+            if len(g) <= most or level == nd.LEVELS:
+                out.append((level, tuple(sorted(r[2] for r in g))))
+            else:
+                stack.append((g, level + 1))
+    return sorted(out)
+
+
+def test_tries_are_cut_alike_however_the_rows_arrive():
+    rng = random.Random(3)
+    rows = sorted((rng.randrange(6), rng.choice((0, 1, 0x20000, 0x20301)) + rng.randrange(3) * 256, i, 5) for i in range(900))
+    for most, step in ((4, 7), (4, 900), (50, 11), (1000, 64), (1, 3)):
+        trie, got = nd._Trie(most), {}
+        parts = [rows[i : i + step] for i in range(0, len(rows), step)]
+        for n, part in enumerate([*parts, None]):
+            cols = None if part is None else [np.array(c, t) for c, t in zip(zip(*part), (np.int64, np.int32, np.int64, np.int32))]
+            (_, _, rid, _), run, depth = trie.feed(cols)
+            for r, g, d in zip(rid, run, depth):
+                got.setdefault((n, g, int(d)), []).append(int(r))
+        assert sorted((k[2], tuple(sorted(v))) for k, v in got.items()) == _cut_by_hand(rows, most)
+
+
+def test_crowded_tries_keep_the_recall(spark):
+    """With runs of two records most prefixes are crowded; shortening brings the
+    recall back, and without it partners are lost."""
+    docs = _corpus()[:-6]
+    rng = random.Random(5)
+    base = [rng.choice(WORDS) for _ in range(60)]
+    docs += [(f"h{k:02d}", " ".join(base[: 44 + k % 3] + [f"u{k}x{j}" for j in range(12)])) for k in range(40)]
+    df = spark.createDataFrame(docs, "id string, text string")
+    sets = {i: _shingles(t, 3) for i, t in docs}
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    pairs, members = near_duplicates(df, "id", "text", words=3, threshold=0.6, run=2)
+    got = {(r["id_a"], r["id_b"]) for r in all_pairs(pairs, members).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want)
+    floor = depth_for(0.6, 40, 0.99)
+    heads = nd.signatures(df, "id", "text", 3, 40, floor).withColumn("rid", F.monotonically_increasing_id())
+    found = nd.matched(nd.trie_rows(heads, 40), 0.6, 2).cache()
+    before = found.where("b >= 0").select("a", "b").distinct().count()
+    assert found.where("b < 0").count() > 0
+    assert nd._candidates(found, 0.6, 40, floor, 0.99).count() > before
+
+
+def test_one_id_with_two_texts_is_one_record(spark):
+    rows = [("a", "one two three four"), ("a", "five six seven eight"), ("b", "one two three four"), ("b", "one two three four"), (None, "one two three four")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    pairs, members = near_duplicates(df, "id", "text", words=3, threshold=0.6)
+    assert pairs.count() == 0 and sorted(r["id"] for r in members.collect()) == ["a", "b"]
