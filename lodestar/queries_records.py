@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.operators.instants import CONVENTIONS, normalize_timestamps
-from lodestar.operators.nested import chat_export_tables, merged_json_schema, unfold_json
+from lodestar.operators.nested import chat_export_tables, chat_files, unfold_json
 from lodestar.tables import load
 
 
@@ -17,7 +17,7 @@ def _flat(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(spark, d)["files"].select("rec_id", "node_id", "file_id")
+    return chat_files(load(spark, d, "chatgpt_convs")).select("rec_id", "node_id", "file_id")
 
 
 def p5_conversations(spark: SparkSession, d: str) -> DataFrame:
