@@ -18,10 +18,17 @@ def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
     return borda_rank(load(spark, d, "search_results"), "query_id", "id", SCORES, latest="logged_at")
 
 
+#: Of three scores, a document among the first five by each stands among the
+#: first fifteen of the sum: whatever precedes it is among the first five of one.
+HEAD = 5 * len(SCORES)
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents among the first five of their query by every score."""
+    """Documents at the head of their query's combined ranking that every score
+    puts among the first five."""
     first = [F.col(f"rank_{s.column}").between(1, 5) for s in SCORES]
-    return p1_ranking(spark, d).where(first[0] & first[1] & first[2]).select("query_id", "id")
+    head = p1_ranking(spark, d).where(F.col("position") <= HEAD)
+    return head.where(first[0] & first[1] & first[2]).select("query_id", "id")
 
 
 def _conversations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -38,12 +38,16 @@ def test_borda_against_brute_force(spark):
     pool = [None, float("nan"), 1.0, 2.0, -3.5, 1e300, -1e300, 0.0, 7.25, float("inf")]
     rows = [(q, f"i{k:02d}", rng.choice(pool), rng.choice(pool)) for q in (1, 2, 3) for k in range(25)]
     df = spark.createDataFrame(rows + rows[:10], "q int, i string, a double, b double")
-    got = {(r["q"], r["i"]): (round(r["points"], 6), r["position"]) for r in borda_rank(df, "q", "i", SCORES).collect()}
-    assert got == brute_borda(rows)
+    want = brute_borda(rows)
+    for whole in (100_000, 5, 0):  # all queries in one task each, some, none
+        ranked = borda_rank(df, "q", "i", SCORES, whole=whole).collect()
+        assert {(r["q"], r["i"]): (round(r["points"], 6), r["position"]) for r in ranked} == want
 
 
 def test_borda_nulls_and_empty(spark):
     df = spark.createDataFrame([(None, "x", 1.0, None), (None, "y", 2.0, None), (1, None, None, None)], "q int, i string, a double, b double")
+    wide = {(r["q"], r["i"]): tuple(r) for r in borda_rank(df, "q", "i", SCORES, whole=0).collect()}
+    assert wide == {(r["q"], r["i"]): tuple(r) for r in borda_rank(df, "q", "i", SCORES).collect()}
     got = {(r["q"], r["i"]): (r["position"], r["rank_a"], r["rank_b"]) for r in borda_rank(df, "q", "i", SCORES).collect()}
     assert got == {(None, "y"): (1, 1, 0), (None, "x"): (2, 2, 0), (1, None): (1, 0, 0)}
     assert borda_rank(df.limit(0), "q", "i", SCORES).count() == 0
