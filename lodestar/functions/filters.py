@@ -148,30 +148,26 @@ class Or(Filter):
         return reduce(or_, [p.column(attrs) for p in self.parts]) if self.parts else F.lit(True)
 
 
-OPERATORS = (">=", "<=", "!=", "=", ">", "<")
-
-
 def coerce(text: str) -> object:
     """A plain decimal literal as a number; ``05`` and ``1e3`` stay text."""
     return float(text) if re.fullmatch(r"-?(0|[1-9]\d*)(\.\d*[1-9])?", text) and text != "-0" else text
 
 
+#: A comparison. Of several operators in a clause the one that stands first in
+#: the alternatives counts, wherever it stands in the text.
+CLAUSE = "|".join(rf"(?P<k{i}>.+?)(?P<o{i}>{op})(?P<v{i}>.*)" for i, op in enumerate((">=", "<=", "!=", "=", ">", "<")))
+
+
+def _comparison(clause: str) -> Compare:
+    found = re.fullmatch(CLAUSE, clause, re.DOTALL)
+    if not found:
+        raise ValueError(f"cannot parse {clause!r}")
+    key, op, value = (x for x in found.groups() if x is not None)
+    return Compare(op, check_key(key.strip()), coerce(value.strip()))
+
+
 def parse_where(text: str) -> Filter | None:
     """``cost>5,status!=failed``: comma-separated comparisons, all must hold.
     Blank text is no filter, empty clauses are skipped."""
-    if not text.strip():
-        return None
-    parts = []
-    for clause in text.split(","):
-        clause = clause.strip()
-        if not clause:
-            continue
-        for op in OPERATORS:
-            at = clause.find(op)
-            if at > 0:
-                key, value = clause[:at].strip(), clause[at + len(op) :].strip()
-                parts.append(Compare(op, check_key(key), coerce(value)))
-                break
-        else:
-            raise ValueError(f"cannot parse {clause!r}")
-    return And(tuple(parts))
+    clauses = [c.strip() for c in text.split(",") if c.strip()]
+    return And(tuple(map(_comparison, clauses))) if text.strip() else None

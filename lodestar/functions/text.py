@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +18,12 @@ STOP_WORDS = frozenset(
 SEPARATORS = (b"\n\n", b". ", b"\n", b" ")
 
 
+def _last(marks: list[int], at: int) -> int:
+    """The greatest mark up to ``at``; -1 if there is none."""
+    i = bisect_right(marks, at)
+    return marks[i - 1] if i else -1
+
+
 def window_chunks(text: str, size: int, overlap: int) -> list[str]:
     """Overlapping windows of at most ``size`` bytes. A window ends after the
     last separator in its last quarter (kinds in order of preference), else at
@@ -24,38 +31,26 @@ def window_chunks(text: str, size: int, overlap: int) -> list[str]:
     data = text.strip().encode("utf-8", "replace")
     size = size if size > 0 else 1000
     overlap = overlap if 0 <= overlap < size else 100
-    lead = [i for i in range(len(data)) if data[i] & 0xC0 != 0x80] if len(data) > size else []
     if len(data) <= size:
         return [data.decode()] if data else []
-    lead.append(len(data))
-    starts = set(lead)
-
-    def snap(i: int) -> int:
-        while i > 0 and i not in starts:
-            i -= 1
-        return i
-
-    pieces, begin = [], 0
-    while begin < len(data):
-        stop = begin + size
-        if stop < len(data):
-            floor = stop - size // 4
-            ends = (data.rfind(s, begin, stop) for s in SEPARATORS)
-            best = next((e + len(s) for s, e in zip(SEPARATORS, ends) if e > floor), None)
-            if best is None:
-                best = snap(stop)
-                if best <= begin:
-                    best = next(i for i in lead if i > begin)
-            stop = best
-            following = snap(stop - overlap)
-            following = following if following > begin else stop
+    # every place where a window may end: after a separator, or between characters
+    ends = [[m.start() + len(s) for m in re.finditer(b"(?=" + re.escape(s) + b")", data)] for s in SEPARATORS]
+    chars = [*(m.start() for m in re.finditer(rb"[^\x80-\xbf]", data)), len(data)]
+    spans, begin, end = [], 0, 0
+    while end < len(data):
+        limit = begin + size
+        if limit >= len(data):
+            end = len(data)
         else:
-            stop = following = len(data)
-        piece = data[begin:stop].decode().strip()
-        if piece:
-            pieces.append(piece)
-        begin = following
-    return pieces
+            near = (_last(e, limit) for e in ends)
+            after = [e for e, s in zip(near, SEPARATORS) if e - len(s) > limit - size // 4]
+            # a character larger than the window goes whole
+            end = after[0] if after else max(_last(chars, limit), chars[bisect_right(chars, begin)])
+        spans.append((begin, end))
+        back = _last(chars, end - overlap)
+        begin = back if back > begin else end
+    pieces = (data[a:b].decode().strip() for a, b in spans)
+    return [p for p in pieces if p]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -15,12 +15,12 @@ from lodestar.operators import listing, search, threads
 from lodestar.plans.engine import Engine, NamespaceNotFound
 
 CORPUS = [
-    ("a1", "reverse a CLI that reads stdin and writes it back backwards", {"status": "merged", "cost": 3}),
-    ("a2", "build a web scraper that paginates through search results", {"status": "failed", "cost": 12}),
-    ("a3", "add retry with exponential backoff to the HTTP client", {"status": "merged", "cost": 5}),
-    ("a4", "fix the flaky test in the auth module", {"status": "merged", "cost": 2}),
-    ("a5", "write a parser for TOML configuration files", {"status": "open", "cost": 8}),
-    ("a6", "make the login flow remember the user between sessions", {"status": "merged", "cost": 4}),
+    ("n1", "pump seven lost pressure again at dawn", {"state": "closed", "hours": 3}),
+    ("n2", "order spare gaskets for the northern greenhouse", {"state": "void", "hours": 14}),
+    ("n3", "the ferry timetable moves to winter hours on Sunday", {"state": "closed", "hours": 6}),
+    ("n4", "calibrate both scales before the harvest is weighed", {"state": "closed", "hours": 1}),
+    ("n5", "prepare a ledger of QUINCE deliveries by orchard", {"state": "draft", "hours": 9}),
+    ("n6", "two visitors asked where the lighthouse keys are kept", {"state": "closed", "hours": 5}),
 ]
 
 
@@ -47,17 +47,17 @@ def test_chunks_hold_everything(text, size, overlap):
 
 
 def test_chunk_breaks():
-    text = "The system processes records and writes output to disk. " * 80
-    got = window_chunks(text, 500, 50)
-    assert len(got) >= 2 and all(len(c) <= 500 for c in got) and got[0].endswith(".")
-    assert window_chunks("short", 500, 50) == ["short"] and window_chunks(" \n", 500, 50) == []
+    text = "Every barge that passes the lock is counted twice. " * 90
+    got = window_chunks(text, 480, 60)
+    assert len(got) >= 2 and all(len(c) <= 480 for c in got) and got[0].endswith(".")
+    assert window_chunks("brief", 480, 60) == ["brief"] and window_chunks(" \n", 480, 60) == []
 
 
 def test_stemmer_and_bm25_against_sqlite(spark):
     docs = [t for _, t, _ in CORPUS] + [
         "Relational databases are generalizations; the writers were writing happily and conditionally",
         "caresses ponies ties cats feed agreed plastered motoring sing conflated troubled sized hopping falling hissing failing filing sky",
-        "un café et un résumé sur la terrasse", "probate rate cease controllable rolling adjustable defensible irritant replacement adoption homologous effective",
+        "naïve señora, déjà vu at the crêperie", "probate rate cease controllable rolling adjustable defensible irritant replacement adoption homologous effective",
         "electricity electrical hopefulness goodness formalize triplicate formative operator feudalism decisiveness sensitivity sensibility",
     ]
     con = sqlite3.connect(":memory:")
@@ -67,7 +67,7 @@ def test_stemmer_and_bm25_against_sqlite(spark):
     want = sorted(con.execute("SELECT term, doc FROM v").fetchall())
     assert sorted((t, i) for i, d in enumerate(docs, 1) for t in index_tokens(d)) == want
     chunks = spark.createDataFrame([(str(i), i, d) for i, d in enumerate(docs, 1)], "doc_id string, chunk_id bigint, text string")
-    query = "writing parsers for sessions café hopefully"
+    query = "weighing deliveries for visitors crêperie hopefully"
     expr = " OR ".join(f'"{t}"' for t in query_terms(query))
     ranked = dict(con.execute("SELECT rowid, rank FROM f WHERE f MATCH ?", (expr,)).fetchall())
     got = {r["chunk_id"]: r["bm25"] for r in search.bm25(chunks, query).collect()}
@@ -76,9 +76,9 @@ def test_stemmer_and_bm25_against_sqlite(spark):
 
 def test_where_and_coerce():
     assert fl.parse_where("") is None and fl.parse_where(",") == fl.And(())
-    assert [fl.coerce(x) for x in ("5", "3.5", "-2", "05", "1e3", "merged", "")] == [5.0, 3.5, -2.0, "05", "1e3", "merged", ""]
-    assert fl.parse_where("cost>5,status!=failed") == fl.And((fl.Compare(">", "cost", 5.0), fl.Compare("!=", "status", "failed")))
-    for bad in ("no operator here", "a>b=c", "bad') OR 1=1 --=x"):
+    assert [fl.coerce(x) for x in ("7", "0.25", "-11", "007", "2e4", "draft", "")] == [7.0, 0.25, -11.0, "007", "2e4", "draft", ""]
+    assert fl.parse_where("hours>8,state!=void") == fl.And((fl.Compare(">", "hours", 8.0), fl.Compare("!=", "state", "void")))
+    for bad in ("nothing to compare", "a>b=c", "x'); drop table y --=1"):
         with pytest.raises(ValueError):
             fl.parse_where(bad)
 
@@ -107,18 +107,18 @@ def test_engine_lifecycle(spark, tmp_path):
     assert n.write(frame(spark)).written == 6
     again = n.write(frame(spark))
     assert (again.written, again.skipped) == (0, 6)
-    changed = [(i, t.replace("TOML", "YAML"), a) for i, t, a in CORPUS]
+    changed = [(i, t.replace("QUINCE", "MEDLAR"), a) for i, t, a in CORPUS]
     r = n.write(frame(spark, changed))
     assert (r.written, r.skipped) == (1, 5)
-    assert n.query("YAML", mode="keyword").first()["id"] == "a5" and n.query("TOML", mode="keyword").count() == 0
-    got = n.query("write a parser", "cost>6,status!=failed").collect()
-    assert [x["id"] for x in got] == ["a5"] and json.loads(got[0]["attributes"])["cost"] == 8
+    assert n.query("MEDLAR", mode="keyword").first()["id"] == "n5" and n.query("QUINCE", mode="keyword").count() == 0
+    got = n.query("prepare a ledger", "hours>8,state!=void").collect()
+    assert [x["id"] for x in got] == ["n5"] and json.loads(got[0]["attributes"])["hours"] == 9
     assert abs(got[0]["score"] - 2 / 61) < 1e-9 and (got[0]["keyword_rank"], got[0]["semantic_rank"]) == (1, 1)
-    assert n.count("status=merged") == 4 and n.count_groups("status") == 3
-    assert n.delete(["a5", "a5", "nope"]) == 1 and n.docs().count() == 5 and n.query("YAML", mode="keyword").count() == 0
-    assert n.get("a1")["text"].startswith("reverse")
+    assert n.count("state=closed") == 4 and n.count_groups("state") == 3
+    assert n.delete(["n5", "n5", "none"]) == 1 and n.docs().count() == 5 and n.query("MEDLAR", mode="keyword").count() == 0
+    assert n.get("n1")["text"].startswith("pump")
     with pytest.raises(LookupError):
-        n.get("a5")
+        n.get("n5")
     assert [(x["name"], x["documents"]) for x in e.list_namespaces().collect()] == [("main", 5)]
     e.drop_namespace("main")
     with pytest.raises(NamespaceNotFound):
@@ -147,7 +147,7 @@ def test_threads_and_scalars(spark):
     assert card["path"] == "2025-01-01-000000-s-caf-plans.md" and 'title: "Café: plans"' in card["markdown"]
     one = spark.createDataFrame([("2025-01-01 10:00:00",), ("soon",)], "s string").select(scalars.normalize_time(F.col("s")).alias("x"), scalars.truncate(F.col("s"), 3).alias("y")).collect()
     assert [r["x"] for r in one] == ["2025-01-01T10:00:00Z", "soon"] and one[1]["y"] == "so…"
-    assert spark.range(1).select(scalars.epoch_time(F.lit(1712345678.5))).first()[0] == "2024-04-05T19:34:38Z"
+    assert spark.range(1).select(scalars.epoch_time(F.lit(1650001234.25))).first()[0] == "2022-04-15T05:40:34Z"
 
 
 def test_vectors_and_tensors(tmp_path):
