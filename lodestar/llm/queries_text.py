@@ -63,7 +63,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: At most so many reviewed documents fit the classifiers.
-MAX_LABELLED = 2000
+MAX_LABELLED = 3000
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:

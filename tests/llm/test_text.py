@@ -148,26 +148,64 @@ def test_token_counts_and_sources(spark):
 
 
 def test_disguises_are_undone():
-    memo = {}
     for t in ("a s s h o l e", "a.s.s.h.o.l.e", "4ssh0l3", "a*shole", "ASSHOLE", "аsshоle", "asssshole"):
-        assert "c:noun" in tx.features(f"you are an {t} indeed", memo), t
-    assert "c:noun" not in tx.features("the deep dashboard", memo)
+        p = tx.Passages([f"you are an {t} indeed"], tx.Words())
+        assert p.groups[0] >> tx.GROUPS.index("name") & 1, t
+    p = tx.Passages(["the deep dashboard", "Die Sitzung", "you die"], tx.Words())
+    assert [int(g) >> tx.GROUPS.index("harm") & 1 for g in p.groups] == [0, 0, 1] and p.groups[0] == 0
 
 
-def test_held_out_accuracy():
-    """Folds over the seeds: the model never saw the sentences it judges."""
-    rows = [(s, c != "") for c, lines in tx.SEEDS.items() for s in lines]
-    plain = [("The parser reads the file and writes the queue again.", 0), ("Please rename the budget notes before the release.", 0)] * 3
-    model = tx.train(plain)
-    wrong = [s for s, y in rows if (tx.score_text(s, model, {}, {})[4] >= 0.5) != y]
-    assert len(wrong) <= 0.03 * len(rows)
+def test_passages():
+    long = " ".join(f"w{i}" for i in range(40))
+    p = tx.Passages(["One. Two two! 3.5 and a.b", None, "", f"{long}\nend"], tx.Words())
+    assert p.doc.tolist() == [0, 0, 0, 3, 3, 3, 3, 3]
+    assert (p.end - p.start).tolist() == [1, 2, 3, 18, 18, 18, 13, 1] and (p.start[4:7] - p.start[3:6] == tx.STRIDE).all()
+    assert len(tx.Passages([], tx.Words())) == 0 and tx.predict(tx.train([]), tx.Passages([None], tx.Words())).shape == (0, len(tx.CHAIN))
+
+
+def _reviewed(rng, n, wrong):
+    """Documents of made-up words; the abusive ones hold a phrase that no seed
+    has. A share of the reviews is wrong."""
+    plain = [f"p{i}" for i in range(300)]
+    bad = ["glorp you zmek fenno", "every zmek is a dravnik", "go and vask yourself glorp"]
+    docs = []
+    for k in range(n):
+        y = k % 4 == 0
+        sentences = [" ".join(rng.choice(plain) for _ in range(9)) for _ in range(4)]
+        if y:
+            sentences.insert(rng.randrange(5), f"{rng.choice(bad)} {rng.choice(plain)}")
+        docs.append((". ".join(sentences), int(y)))
+    return docs, [(t, y ^ (rng.random() < wrong)) for t, y in docs]
+
+
+def test_what_reviews_teach():
+    """Held-out documents: abuse that the lexicon does not know is learned from
+    reviews, some of them wrong; without reviews nothing of it is found."""
+    rng = random.Random(9)
+    _, seen = _reviewed(rng, 800, 0.06)
+    held, _ = _reviewed(rng, 400, 0.0)
+    texts, want = [t for t, _ in held], np.array([y for _, y in held], bool)
+    got = tx.Scorer(tx.train(seen)).score(texts)["score"].to_numpy() >= 0.5
+    assert (got & want).sum() >= 0.95 * want.sum() and (got & ~want).sum() <= 0.02 * len(want)
+    assert not (tx.Scorer(tx.train([])).score(texts)["score"] >= 0.5).any()
+
+
+def test_held_out_seeds():
+    """Every seed is judged by a model fitted without it (leave a fold out)."""
+    texts, y, w = tx._seed_rows()
+    p = tx.Passages(texts, tx.Words())
+    _, at = np.unique(p.doc, return_index=True)
+    rows = tx.Design([p], [at])
+    _, held = tx.fit_chain(rows, y, w, np.arange(len(at)) * 7 % 10, 120)
+    right = (held[:, 0] >= 0.5) == (y[:, 0] > 0)
+    assert right.mean() >= 0.85
     unseen = [
-        ("You really are a pathetic moron and everyone laughs at you.", True), ("Ich hoffe, du Arschloch wirst verrecken.", True), ("All Southfolk are vermin, wipe them out.", True),
-        ("She moaned and he slid his dick into her mouth.", True), ("Kill the zombie process and restart the queue.", False), ("I am an idiot, I forgot the semicolon.", False),
-        ("The clinic gives advice about breast cancer.", False), ("Damn, this stupid build is broken again.", False), ("Move the table to another file.", False),
+        ("You are a pathetic moron and everyone laughs at you.", True), ("Ich hoffe, du Arschloch wirst verrecken.", True), ("All Southfolk are vermin, exterminate them.", True),
+        ("She moaned and he put his dick into her mouth.", True), ("Kill the zombie process and restart the server.", False), ("I am an idiot, I forgot the semicolon.", False),
+        ("The hospital gives advice about breast cancer.", False), ("Damn, this stupid build is broken again.", False), ("Move the table to another file.", False),
     ]
-    bad = [s for s, y in unseen if (tx.score_text(s, model, {}, {})[4] >= 0.5) != y]
-    assert len(bad) <= 1, bad
+    score = tx.Scorer(tx.train([])).score([s for s, _ in unseen])["score"]
+    assert sum((s >= 0.5) != y for s, (_, y) in zip(score, unseen)) <= 1
 
 
 def test_toxicity_frame(spark):
@@ -176,7 +214,7 @@ def test_toxicity_frame(spark):
     got = tx.score_toxicity(df, "text", tx.train([])).collect()
     assert [r["flagged"] for r in got if r["id"] == 1] == [True, True] and {r["score_in"] for r in got if r["id"] == 1} == {"old"}
     assert all(r["score"] == 0 for r in got if r["id"] in (2, 3)) and not any(r["flagged"] for r in got if r["id"] == 4)
-    assert [r["passage"] for r in got if r["id"] == 1][0].startswith("Shut up")
+    assert [r["passage"] for r in got if r["id"] == 1][0].startswith("shut up")
     assert tx.score_toxicity(df.limit(0), "text", tx.train([])).count() == 0
     reviews = spark.createDataFrame([(1, 1, "a"), (1, 0, "b"), (2, 1, "a"), (5, 1, "a"), (3, None, "c")], "id int, abusive int, reviewer string")
     docs = spark.createDataFrame([(1, "x"), (2, None), (5, "y"), (5, "y"), (3, "z")], "id int, text string")
