@@ -66,10 +66,12 @@ def _limits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Stored chunks that have to be split under their namespace's limit."""
+    """Stored chunks that come out in more than one piece under their
+    namespace's limit (or in one that no cut can bring under it)."""
     chunks = load(spark, d, "chunks").select("id", "ns", "text").join(_limits(spark, d), "ns")
     pieces = split_oversized(chunks, "text", "size", "overlap")
-    return pieces.where(F.col("oversized") & (F.col("ord") == 0)).select(F.col("id").alias("chunk_id"))
+    cut = (F.col("n_pieces") > 1) | (F.col("piece_bytes") > F.col("size"))
+    return pieces.where(cut & (F.col("ord") == 0)).select(F.col("id").alias("chunk_id"))
 
 
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:

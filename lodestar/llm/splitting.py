@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.columns import has_text, shield, trim_unicode
+from lodestar.columns import has_text, once, shield, trim_unicode
 
 #: Cut positions are the ends of these matches, coarsest first.
 LEVELS = (
@@ -126,7 +126,8 @@ def split_oversized(df: DataFrame, text: str, size: str, overlap: str) -> DataFr
         F.when(has_text(F.col(text)), F.array(trimmed))
     )
     kept = [F.col(f"`{c}`") for c in df.columns if c != "__big"]
-    df = df.select(*kept, F.col("__big").alias("oversized"), pieces.alias("__pieces"))
+    df = df.select(*kept, F.col("__big").alias("oversized"), pieces.alias("__made"))
+    df = once(df, {"__pieces": F.col("__made")}).drop("__made")
     df = df.withColumn("n_pieces", F.coalesce(F.size("__pieces"), F.lit(0)))
     return df.select(
         *kept, F.posexplode("__pieces").alias("ord", "piece"), "n_pieces", "oversized"
