@@ -1,12 +1,14 @@
 """Most similar vectors for every vector: block matrix join.
 
-Unit vectors are cut into row blocks and column blocks; every (row block,
-column block) tile is one task. A tile multiplies int8-quantised vectors (exact
-in float32) and knows each vector's quantisation error, so a product plus its
-bound is never below the true cosine. Only pairs whose bound reaches the row's
-current k-th best are recomputed from the float vectors and merged into the
-row's list; the lists of a row's tiles are merged last. Nothing is lost, so
-recall is 1; the price is quadratic work, in BLAS.
+Unit vectors are cut into blocks; every pair of blocks is one tile, one task. A
+vector travels as int8 codes with a scale of its own (of a small set of scales)
+and an int16 remainder. A tile multiplies the codes: products of whole numbers,
+exact in single-precision BLAS. Vectors of one scale stand together, so a bound
+on the product is one number per row. A product plus both quantisation errors is
+never below the true cosine: only pairs that reach the current k-th best of either
+side are recomputed in float, from codes and remainders, and merged into both
+lists. The lists of a vector's tiles are merged last. Nothing is lost, so recall is
+1; the price is quadratic work, in BLAS, each product made once.
 
 Vectors of equal direction (to six decimals) are searched once and expanded
 afterwards, so many copies do not flood the lists.
@@ -31,74 +33,118 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.session import cut
+from lodestar.session import Kept
 
-#: Vectors of a tile's sides: every vector is shipped once per tile of its row
-#: or column, so larger tiles ship less; a side takes 0.5 KB a vector.
-ROWS, COLS = 65_536, 131_072
+#: A vector is shipped once per block. Few blocks ship little, many blocks give
+#: many tasks: about ``BLOCKS`` of them (that number of tiles squared and halved),
+#: of sides between the two sizes; a side takes about 0.5 KB a vector.
+BLOCKS, LEAST, MOST = 4, 8_192, 262_144
 SUB_ROWS, SUB_COLS = 512, 4_096
+#: Scales are powers of this ratio; codes reach 127 at the scale.
+STEP = 2.0 ** (1 / 8)
 
 
-def quantise(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(int8 vectors times their scale, as float32; error norm of each)."""
-    scale = np.abs(u).max(1, keepdims=True) / np.float32(127)
-    q = np.rint(u / scale).astype(np.int8)
-    back = q.astype(np.float32) * scale
-    # the float32 product and the six decimals round: a small allowance on top
-    return back, np.linalg.norm(u - back, axis=1) + np.float32(4e-6)
-
-
-def _merge(ids: np.ndarray, sims: np.ndarray, rows: np.ndarray, new_ids: np.ndarray, new_sims: np.ndarray, k: int) -> None:
-    """Merges found pairs into the sorted lists of their rows, in place."""
-    touched, at = np.unique(rows, return_inverse=True)
-    old = np.repeat(np.arange(len(touched)), k)
-    r = np.concatenate([old, at])
-    i = np.concatenate([ids[touched].ravel(), new_ids])
-    s = np.concatenate([sims[touched].ravel(), new_sims])
-    order = np.lexsort((i, -s, r))
-    r, i, s = r[order], i[order], s[order]
-    rank = np.arange(len(r)) - np.searchsorted(r, r)
-    keep = rank < k
-    ids[touched[r[keep]], rank[keep]] = i[keep]
-    sims[touched[r[keep]], rank[keep]] = s[keep]
-
-
-def tile_top_k(ai: np.ndarray, a: np.ndarray, bi: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, cosines) of the ``k`` best of ``b`` for every row of ``a``, best
-    first, padded with id -1 and -inf."""
-    out_i = np.full((len(a), k), -1, np.int64)
-    out_s = np.full((len(a), k), -np.inf, np.float64)
-    bq, be = quantise(b)
-    for r0 in range(0, len(a), SUB_ROWS):
-        x = a[r0 : r0 + SUB_ROWS]
-        xi = ai[r0 : r0 + SUB_ROWS]
-        xq, xe = quantise(x)
-        ids, sims = out_i[r0 : r0 + SUB_ROWS], out_s[r0 : r0 + SUB_ROWS]
-        for c0 in range(0, len(b), SUB_COLS):
-            y, yi = b[c0 : c0 + SUB_COLS], bi[c0 : c0 + SUB_COLS]
-            p = xq @ bq[c0 : c0 + SUB_COLS].T
-            worst = be[c0 : c0 + SUB_COLS].max()
-            eps = xe + worst * (1 + xe)
-            floor = sims[:, -1]
-            if c0 == 0:
-                # k + 1 products reach the (k+1)-th best product; one may be the row itself
-                n = min(k + 1, p.shape[1])
-                kth = -np.partition(-p, n - 1, axis=1)[:, n - 1]
-                floor = np.maximum(floor, kth - eps) if n == k + 1 else floor
-            hit = np.flatnonzero(p >= (floor - eps).astype(np.float32)[:, None])
-            rows, cols = np.divmod(hit, p.shape[1])
-            apart = xi[rows] != yi[cols]
+def quantise(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(int8 codes, int16 remainders, int8 exponents of the scales)."""
+    top = np.maximum(np.abs(u).max(1), 1e-30)
+    power = np.clip(np.ceil(np.log(top) / np.log(STEP) - 1e-9), -127, 127).astype(np.int8)
+    unit = (STEP ** power.astype(np.float64) / 127)[:, None]
+    q = np.clip(np.rint(u / unit), -127, 127)
+    r = np.clip(np.rint((u / unit - q) * 65534), -32767, 32767)
+    return q.astype(np.int8), r.astype(np.int16), power
+
+
+class Block:
+    """One side of a tile, ordered by scale: ``ids``, whole-number ``codes``, the
+    vectors ``u`` rebuilt from codes and remainders, and the codes' ``error``."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, r: np.ndarray, power: np.ndarray) -> None:
+        ids, first = np.unique(ids, return_index=True)  # repeated rows of one id
+        order = first[np.argsort(power[first], kind="stable")]
+        self.ids = np.asarray(ids)[np.argsort(power[first], kind="stable")]
+        self.power = power[order]
+        unit = (STEP ** self.power.astype(np.float64) / 127)[:, None]
+        self.codes = q[order].astype(np.float32)
+        self.u = ((q[order] + r[order] / 65534) * unit).astype(np.float32)
+        # rebuilding and the six decimals round: a small allowance on top
+        self.error = np.linalg.norm(self.u - self.codes * unit.astype(np.float32), axis=1) + np.float32(4e-6)
+
+    def segments(self, size: int) -> list[tuple[int, int, float]]:
+        """(from, to, scale), each of one scale, the largest first."""
+        edges = np.flatnonzero(np.diff(self.power)) + 1
+        out = []
+        for a, b in zip([0, *edges], [*edges, len(self.ids)]):
+            out += [(k, min(k + size, b), STEP ** float(self.power[a]) / 127) for k in range(a, b, size)]
+        return sorted(out, key=lambda x: (x[0] - x[1], x[0]))
+
+
+class Lists:
+    """The ``k`` best others of every vector so far, best first; id -1 and
+    -inf where there is none."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.ids = np.full((n, k), -1, np.int64)
+        self.sims = np.full((n, k), -np.inf)
+
+    def floors(self, a: int, b: int, products: np.ndarray, slack: np.ndarray) -> np.ndarray:
+        """What a product plus its error must reach, for the vectors ``a`` to
+        ``b``; ``products`` (a row each) stand in where a list is not full."""
+        floor = self.sims[a:b, -1]
+        k = self.sims.shape[1]
+        if np.isinf(floor).any() and products.shape[1] > k:
+            # one of the k + 1 best products may be the vector itself
+            kth = -np.partition(-products, k, axis=1)[:, k]
+            floor = np.maximum(floor, kth - slack)
+        return floor - slack
+
+    def merge(self, rows: np.ndarray, new_ids: np.ndarray, new_sims: np.ndarray) -> None:
+        k = self.sims.shape[1]
+        good = new_sims >= self.sims[rows, -1]
+        touched, at = np.unique(rows[good], return_inverse=True)
+        r = np.concatenate([np.repeat(np.arange(len(touched)), k), at])
+        i = np.concatenate([self.ids[touched].ravel(), new_ids[good]])
+        s = np.concatenate([self.sims[touched].ravel(), new_sims[good]])
+        order = np.lexsort((i, -s, r))
+        r, i, s = r[order], i[order], s[order]
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
+        keep = rank < k
+        self.ids[touched[r[keep]], rank[keep]] = i[keep]
+        self.sims[touched[r[keep]], rank[keep]] = s[keep]
+
+
+def tile_top_k(a: Block, b: Block | None, k: int) -> tuple[Lists, Lists | None]:
+    """The ``k`` best in ``b`` of every vector of ``a``, and the other way round;
+    without ``b``, the ``k`` best others within ``a``."""
+    other = a if b is None else b
+    mine, theirs = Lists(len(a.ids), k), None if b is None else Lists(len(b.ids), k)
+    columns = other.segments(SUB_COLS)
+    for r0, r1, rs in a.segments(SUB_ROWS):
+        xe = a.error[r0:r1]
+        for c0, c1, cs in columns:
+            ye = other.error[c0:c1]
+            scale = np.float32(rs * cs)
+            p = a.codes[r0:r1] @ other.codes[c0:c1].T
+            slack = xe + (1 + xe) * ye.max()
+            hit = p >= (mine.floors(r0, r1, p * scale if np.isinf(mine.sims[r0:r1, -1]).any() else p[:, :0], slack) / scale)[:, None]
+            if theirs is not None:
+                slack = ye + (1 + ye) * xe.max()
+                known = p.T * scale if np.isinf(theirs.sims[c0:c1, -1]).any() else p.T[:, :0]
+                hit |= p >= theirs.floors(c0, c1, known, slack) / scale
+            rows, cols = np.divmod(np.flatnonzero(hit), c1 - c0)
+            rows, cols = rows + r0, cols + c0
+            apart = a.ids[rows] != other.ids[cols]
             rows, cols = rows[apart], cols[apart]
             if not len(rows):
                 continue
             exact = np.empty(len(rows))
-            for h in range(0, len(rows), 200_000):
-                s = slice(h, h + 200_000)
-                exact[s] = np.einsum("ij,ij->i", x[rows[s]].astype(np.float64), y[cols[s]].astype(np.float64))
+            for h in range(0, len(rows), 100_000):
+                part = slice(h, h + 100_000)
+                exact[part] = np.einsum("ij,ij->i", a.u[rows[part]].astype(np.float64), other.u[cols[part]].astype(np.float64))
             exact = np.round(exact, 6)
-            good = exact >= sims[rows, -1]
-            _merge(ids, sims, rows[good], yi[cols[good]], exact[good], k)
-    return out_i, out_s
+            mine.merge(rows, other.ids[cols], exact)
+            if theirs is not None:
+                theirs.merge(cols, a.ids[rows], exact)
+    return mine, theirs
 
 
 def unit_rows(ids: np.ndarray, vectors: list, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,75 +161,111 @@ def unit_rows(ids: np.ndarray, vectors: list, dims: int) -> tuple[np.ndarray, np
 
 
 def usable(df: DataFrame, ident: str, vector: str, dims: int) -> DataFrame:
-    """``id, u, h1, h2``: unit vectors as bytes, and a hash of the direction to
-    six decimals."""
+    """``id, code, h1, h2``: the quantised unit vector (codes, remainders,
+    exponent) as bytes, and a hash of its direction to six decimals."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ids, u = unit_rows(b["id"].to_numpy("i8"), list(b["v"]), dims)
             rounded = [r.tobytes() for r in np.round(u.astype(np.float64), 6) + 0.0]
             h = [[xxhash.xxh64_intdigest(r, seed) - 2**63 for r in rounded] for seed in (1, 2)]
-            yield pd.DataFrame({"id": ids, "u": [r.tobytes() for r in u], "h1": h[0], "h2": h[1]})
+            q, r, power = quantise(u) if len(u) else (np.empty((0, dims), np.int8), np.empty((0, dims), np.int16), np.empty(0, np.int8))
+            code = np.concatenate([q.view(np.uint8), np.ascontiguousarray(r).view(np.uint8).reshape(len(u), 2 * dims), power.view(np.uint8)[:, None]], 1)
+            yield pd.DataFrame({"id": ids, "code": [c.tobytes() for c in code], "h1": h[0], "h2": h[1]})
 
     rows = df.where(F.col(ident).isNotNull()).select(F.col(ident).cast("bigint").alias("id"), F.col(vector).alias("v"))
-    return rows.mapInPandas(run, "id bigint, u binary, h1 bigint, h2 bigint")
+    return rows.mapInPandas(run, "id bigint, code binary, h1 bigint, h2 bigint")
 
 
 def _pack(df: DataFrame) -> DataFrame:
-    """(block, ids, vectors) as bytes: one row per block and input batch."""
+    """(block, ids, codes) as bytes: one row per block and input batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for block, g in b.groupby("block"):
                 ids = g["id"].to_numpy("<i8").tobytes()
-                yield pd.DataFrame({"block": [block], "ids": [ids], "vecs": [b"".join(g["u"])]})
+                yield pd.DataFrame({"block": [block], "ids": [ids], "codes": [b"".join(g["code"])]})
+
+    return df.mapInPandas(run, "block int, ids binary, codes binary")
 
-    return df.mapInPandas(run, "block int, ids binary, vecs binary")
+
+def _block(parts: list[pd.DataFrame], dims: int) -> Block:
+    ids = np.frombuffer(b"".join(x for p in parts for x in p["ids"]), "<i8")
+    raw = np.frombuffer(b"".join(x for p in parts for x in p["codes"]), np.uint8).reshape(-1, 3 * dims + 1)
+    r = np.ascontiguousarray(raw[:, dims : 3 * dims]).view(np.int16)
+    return Block(ids, raw[:, :dims].view(np.int8), r, np.ascontiguousarray(raw[:, -1]).view(np.int8))
+
+
+def tile_lists(heads: DataFrame, n: int, k: int, dims: int) -> DataFrame:
+    """``id, other, sim`` (millionths): the ``k`` best of every tile."""
+    blocks = math.ceil(n / min(max(math.ceil(n / BLOCKS), LEAST), MOST)) or 1
+    packed = _pack(heads.select("id", "code", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")))
+    met = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    both = packed.select("block", met.alias("met"), "ids", "codes")
+    low, high = F.least("block", "met"), F.greatest("block", "met")
+    # tile (low, high), numbered row by row: one partition each
+    tile = (low * blocks - (low * (low - 1) / 2).cast("int") + high - low).cast("int")
+    sides = both.select(tile.alias("tile"), (F.col("block") > F.col("met")).cast("int").alias("side"), "ids", "codes")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts: dict[int, list] = {}
+        diagonal = False
+        for b in batches:
+            for side, g in b.groupby("side"):
+                parts.setdefault(side, []).append(g)
+        if not parts:
+            return
+        sorted_sides = [_block(parts[s], dims) for s in sorted(parts)]
+        diagonal = len(sorted_sides) == 1
+        if diagonal and 1 in parts or diagonal and not _on_diagonal(int(parts[0][0]["tile"].iloc[0]), blocks):
+            return  # the tile's other block is empty
+        lists = tile_top_k(sorted_sides[0], None if diagonal else sorted_sides[1], k)
+        for block, found in zip(sorted_sides, lists):
+            for a in range(0, len(block.ids), 20_000):
+                i, s = found.ids[a : a + 20_000], found.sims[a : a + 20_000]
+                real = s.ravel() > -np.inf
+                sim = np.rint(s.ravel()[real] * 1e6).astype(np.int32)
+                yield pd.DataFrame({"id": np.repeat(block.ids[a : a + 20_000], k)[real], "other": i.ravel()[real], "sim": sim})
+
+    tiles = blocks * (blocks + 1) // 2
+    return sides.repartitionById(tiles, F.col("tile")).mapInPandas(run, "id bigint, other bigint, sim int")
+
+
+def _on_diagonal(tile: int, blocks: int) -> bool:
+    return tile in {low * blocks - low * (low - 1) // 2 for low in range(blocks)}
 
 
 def neighbours(df: DataFrame, ident: str, vector: str, k: int = 10, dims: int = 64) -> DataFrame:
     """``id, other, cosine, rank``: the ``k`` most similar others of every
     usable vector."""
-    units = cut(usable(df, ident, vector, dims))
+    kept = Kept(df.sparkSession)
+    units = kept.keep(usable(df, ident, vector, dims), "units")
     keyed = units.select("id", "h1", "h2")
     groups = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where(F.col("n") > 1)
-    copies = cut(keyed.join(groups, ["h1", "h2"]).select("id", "rep").distinct())
+    copies = kept.keep(keyed.join(groups, ["h1", "h2"]).select("id", "rep").distinct(), "copies")
     others = copies.where(F.col("id") != F.col("rep")).select("id")
-    heads = units.select("id", "u").join(others, "id", "left_anti")
-    n = units.count()
-    n_cols, n_rows = math.ceil(n / COLS) or 1, math.ceil(n / ROWS) or 1
-    block = F.pmod(F.xxhash64("id"), F.lit(n_rows)).cast("int")
-    packed = _pack(heads.select("id", "u", block.alias("block")))
-    column = F.pmod("block", F.lit(n_cols)).cast("int")
-    # a row block meets every column block; column blocks are unions of row blocks
-    as_rows = packed.select(F.col("block").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(n_cols - 1))).alias("c"), F.lit(0).alias("side"), "ids", "vecs")
-    as_cols = packed.select(F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("r"), column.alias("c"), F.lit(1).alias("side"), "ids", "vecs")
-
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = [pdf[pdf["side"] == s] for s in (0, 1)]
-        if not len(part[0]) or not len(part[1]):
-            return pd.DataFrame({"id": [], "other": [], "cosine": []})
-        ids = [np.frombuffer(b"".join(p["ids"]), "<i8") for p in part]
-        vecs = [np.frombuffer(b"".join(p["vecs"]), "<f4").reshape(-1, dims) for p in part]
-        for side in (0, 1):  # repeated rows of one id
-            ids[side], first = np.unique(ids[side], return_index=True)
-            vecs[side] = vecs[side][first]
-        i, s = tile_top_k(ids[0], vecs[0], ids[1], vecs[1], k)
-        real = s.ravel() > -np.inf
-        return pd.DataFrame({"id": np.repeat(ids[0], k)[real], "other": i.ravel()[real], "cosine": s.ravel()[real]})
-
-    found = as_rows.unionByName(as_cols).groupBy("r", "c").applyInPandas(tile, "id bigint, other bigint, cosine double")
-    best = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other")
+    rows = tile_lists(units.select("id", "code").join(others, "id", "left_anti"), units.count(), k, dims)
+    if not copies.isEmpty():
+        rows = _expanded(rows, copies, k)
+    best = Window.partitionBy("id").orderBy(F.col("sim").desc(), "other")
+    rows = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return rows.select("id", "other", (F.col("sim") / 1e6).alias("cosine"), "rank")
+
+
+def _expanded(found: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+    """The lists of representatives for all copies of them."""
     # copies of one direction: the k + 1 least ids stand for the rest as answers
     few = copies.withColumn("o", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("o") <= k + 1)
     members = few.select(F.col("id").alias("m"), F.col("rep").alias("mrep"))
+    # a list is cut to its best k before it is expanded
+    best = Window.partitionBy("id").orderBy(F.col("sim").desc(), "other")
+    found = found.withColumn("o", F.row_number().over(best)).where(F.col("o") <= k).drop("o")
     answers = found.join(members, F.col("other") == F.col("mrep"), "left").select(
-        F.col("id").alias("q"), F.coalesce("m", "other").alias("other"), "cosine"
+        F.col("id").alias("q"), F.coalesce("m", "other").alias("other"), "sim"
     )
     asked = copies.withColumnsRenamed({"id": "cid", "rep": "crep"})
-    rows = answers.join(asked, F.col("q") == F.col("crep"), "left").select(F.coalesce("cid", "q").alias("id"), "other", "cosine")
+    rows = answers.join(asked, F.col("q") == F.col("crep"), "left").select(F.coalesce("cid", "q").alias("id"), "other", "sim")
     own = copies.join(members, F.col("rep") == F.col("mrep")).where(F.col("id") != F.col("m")).select(
-        "id", F.col("m").alias("other"), F.lit(1.0).alias("cosine")
+        "id", F.col("m").alias("other"), F.lit(1_000_000).alias("sim")
     )
-    rows = rows.unionByName(own).withColumn("rank", F.row_number().over(best))
-    return rows.where(F.col("rank") <= k).select("id", "other", "cosine", "rank")
+    return rows.unionByName(own)

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestar.llm.conversations import judge_graph, judge_sessions, rebuild_graphs, rebuild_sessions, solve_offset
+from lodestar.llm import neighbours as nb
 from lodestar.llm.neighbours import neighbours, quantise, tile_top_k
 from lodestar.llm.ranking import Score, borda_rank
 from lodestar.llm.splitting import split_oversized, split_text
@@ -160,20 +161,66 @@ def test_graph_frames(spark):
     assert rebuild_graphs(df.limit(0))[0].count() == 0
 
 
+def _unit(rng, n, dims, spread):
+    x = rng.standard_normal((n, dims)) * rng.uniform(1, spread, (n, 1))
+    x[: n // 10, 0] *= 20  # other scales
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def _best(s, i, k):
+    return sorted((j for j in range(s.shape[1]) if s[i, j] > -9), key=lambda j: (-s[i, j], j))[:k]
+
+
 def test_tiles_against_brute_force():
     rng = np.random.default_rng(1)
-    x = rng.standard_normal((1500, 16))
-    x[700:720] = x[0]  # a group of copies larger than k
-    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    ids = np.arange(1500)
-    got, sims = tile_top_k(ids, x, ids, x, 10)
+    x = _unit(rng, 1500, 16, 3)
+    x[700:720] = x[300]  # a group of copies larger than k
+    side = lambda a, b: nb.Block(np.arange(a, b), *quantise(x[a:b]))
     s = np.round(x.astype(float) @ x.T.astype(float), 6)
     np.fill_diagonal(s, -9)
-    for i in range(1500):
-        want = sorted(range(1500), key=lambda j: (-s[i, j], j))[:10]
-        assert list(got[i]) == want and np.allclose(sims[i], s[i, want])
-    back, err = quantise(x)
-    assert (np.abs(x @ x.T - back @ back.T) <= err[:, None] + err[None, :] * (1 + err[:, None]) + 1e-6).all()
+
+    def check(block, lists, allowed):
+        t = np.where(allowed, s, -9)
+        for i, got, sims in zip(block.ids, lists.ids, lists.sims):
+            assert np.allclose(sims, t[i, _best(t, i, 10)], atol=1.1e-6)
+            assert np.allclose(sims, t[i, got], atol=1.1e-6)
+
+    whole = side(0, 1500)
+    check(whole, tile_top_k(whole, None, 10)[0], np.ones((1500, 1500), bool))
+    a, b = side(0, 900), side(900, 1500)
+    apart = np.zeros((1500, 1500), bool)
+    apart[:900, 900:] = apart[900:, :900] = True
+    for block, lists in zip((a, b), tile_top_k(a, b, 10)):
+        check(block, lists, apart)
+
+
+def test_codes_and_their_errors():
+    rng = np.random.default_rng(5)
+    x = _unit(rng, 400, 64, 2)
+    q, r, power = quantise(x)
+    assert np.abs(q).max() <= 127 and np.abs(x).max() <= nb.STEP ** float(power.max()) + 1e-6
+    block = nb.Block(np.arange(400), q, r, power)
+    assert (np.diff(block.power) >= 0).all() and np.abs(block.u - x[block.ids]).max() < 1e-7
+    p = block.codes @ block.codes.T
+    assert (p == np.rint(p)).all()  # products of whole numbers
+    unit = nb.STEP ** block.power.astype(float) / 127
+    gap = np.abs(block.u @ block.u.T - p * unit[:, None] * unit[None, :])
+    assert (gap <= block.error[:, None] + (1 + block.error[:, None]) * block.error[None, :]).all()
+
+
+def test_tiles_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nb, "LEAST", 50)
+    rng = np.random.default_rng(8)
+    x = _unit(rng, 300, 8, 2)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, vec array<float>")
+    s = np.round(x.astype(float) @ x.T.astype(float), 6)
+    np.fill_diagonal(s, -9)
+    got = {}
+    for r in neighbours(df, "id", "vec", k=7, dims=8).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = (r["other"], r["cosine"])
+    assert len(got) == 300
+    for i, found in got.items():
+        assert np.allclose([found[k][1] for k in range(1, 8)], s[i, _best(s, i, 7)], atol=1.1e-6)
 
 
 def test_neighbours_frame(spark):
