@@ -397,7 +397,7 @@ class Design:
         return _sigmoid(self.dot(w) + self.groups @ g + before @ c + b)
 
 
-def fit_chain(rows: Design, labels: np.ndarray, weight: np.ndarray, fold: np.ndarray, rounds: int = 80) -> tuple[dict, np.ndarray]:
+def fit_chain(rows: Design, labels: np.ndarray, weight: np.ndarray, fold: np.ndarray, rounds: int = 45) -> tuple[dict, np.ndarray]:
     """(model, out-of-fold probabilities). ``labels`` has a column per link of the
     chain; rows of one ``fold`` are predicted by the others' models."""
     before = np.zeros((rows.n, 0))
@@ -411,7 +411,7 @@ def fit_chain(rows: Design, labels: np.ndarray, weight: np.ndarray, fold: np.nda
         out = np.zeros(rows.n)
         for f in np.unique(fold):
             a, b = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            part = rows.part(a).fit(before[a], y[a], balance[a], rounds // 2) if len(a) else models[-1]
+            part = rows.part(a).fit(before[a], y[a], balance[a], rounds * 2 // 3) if len(a) else models[-1]
             out[b] = rows.part(b).apply(part, before[b])
         before = np.column_stack([before, out])
     single, double = np.zeros((SLOTS, len(models))), np.zeros((SLOTS, len(models)))
