@@ -60,8 +60,9 @@ class Block:
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, r: np.ndarray, power: np.ndarray) -> None:
         ids, first = np.unique(ids, return_index=True)  # repeated rows of one id
-        order = first[np.argsort(power[first], kind="stable")]
-        self.ids = np.asarray(ids)[np.argsort(power[first], kind="stable")]
+        self.place = np.argsort(power[first], kind="stable")  # among the ids in their order
+        self.sorted_ids, self.ids = ids, ids[self.place]
+        order = first[self.place]
         self.power = power[order]
         unit = (STEP ** self.power.astype(np.float64) / 127)[:, None]
         self.codes = q[order].astype(np.float32)
@@ -78,38 +79,55 @@ class Block:
         return sorted(out, key=lambda x: (x[0] - x[1], x[0]))
 
 
+#: A found pair is one number that sorts by similarity, then by id: millionths
+#: below 1, then the id's place among its block's ids.
+PLACE_BITS, PAIR_BITS = 18, 39
+NONE = np.int64(2**PAIR_BITS - 1)
+
+
 class Lists:
-    """The ``k`` best others of every vector so far, best first; id -1 and
-    -inf where there is none."""
+    """The ``k`` best others of every vector so far, best first. Found pairs
+    wait until ``settle`` merges them."""
 
     def __init__(self, n: int, k: int) -> None:
-        self.ids = np.full((n, k), -1, np.int64)
-        self.sims = np.full((n, k), -np.inf)
+        self.best = np.full((n, k), NONE)
+        self.last = np.full(n, -np.inf, np.float32)
+        self.waiting: list[np.ndarray] = []
 
-    def floors(self, a: int, b: int, products: np.ndarray, slack: np.ndarray) -> np.ndarray:
+    def floors(self, a: int, b: int, products: np.ndarray | None, slack: np.ndarray) -> np.ndarray:
         """What a product plus its error must reach, for the vectors ``a`` to
         ``b``; ``products`` (a row each) stand in where a list is not full."""
-        floor = self.sims[a:b, -1]
-        k = self.sims.shape[1]
-        if np.isinf(floor).any() and products.shape[1] > k:
+        floor, k = self.last[a:b], self.best.shape[1]
+        if products is not None and products.shape[1] > k:
             # one of the k + 1 best products may be the vector itself
             kth = -np.partition(-products, k, axis=1)[:, k]
             floor = np.maximum(floor, kth - slack)
         return floor - slack
 
-    def merge(self, rows: np.ndarray, new_ids: np.ndarray, new_sims: np.ndarray) -> None:
-        k = self.sims.shape[1]
-        good = new_sims >= self.sims[rows, -1]
-        touched, at = np.unique(rows[good], return_inverse=True)
-        r = np.concatenate([np.repeat(np.arange(len(touched)), k), at])
-        i = np.concatenate([self.ids[touched].ravel(), new_ids[good]])
-        s = np.concatenate([self.sims[touched].ravel(), new_sims[good]])
-        order = np.lexsort((i, -s, r))
-        r, i, s = r[order], i[order], s[order]
-        rank = np.arange(len(r)) - np.searchsorted(r, r)
-        keep = rank < k
-        self.ids[touched[r[keep]], rank[keep]] = i[keep]
-        self.sims[touched[r[keep]], rank[keep]] = s[keep]
+    def open(self, a: int, b: int) -> bool:
+        """Whether some list of the vectors ``a`` to ``b`` is not full."""
+        return bool(np.isinf(self.last[a:b]).any())
+
+    def add(self, rows: np.ndarray, places: np.ndarray, millionths: np.ndarray) -> None:
+        pair = (1_000_000 - millionths) << PLACE_BITS | places
+        good = pair < self.best[rows, -1]
+        self.waiting.append(rows[good] << PAIR_BITS | pair[good])
+
+    def settle(self) -> None:
+        new = np.concatenate(self.waiting) if self.waiting else np.empty(0, np.int64)
+        self.waiting = []
+        if not len(new):
+            return
+        k = self.best.shape[1]
+        touched = np.unique(new >> PAIR_BITS)
+        pairs = np.concatenate([((touched << PAIR_BITS)[:, None] | self.best[touched]).ravel(), new])
+        pairs.sort()
+        row = pairs >> PAIR_BITS
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        top = pairs[first[:, None] + np.arange(k)] & NONE
+        self.best[touched] = top
+        full = top[:, -1] != NONE
+        self.last[touched] = np.where(full, 1 - (top[:, -1] >> PLACE_BITS) / 1e6, -np.inf)
 
 
 def tile_top_k(a: Block, b: Block | None, k: int) -> tuple[Lists, Lists | None]:
@@ -118,18 +136,18 @@ def tile_top_k(a: Block, b: Block | None, k: int) -> tuple[Lists, Lists | None]:
     other = a if b is None else b
     mine, theirs = Lists(len(a.ids), k), None if b is None else Lists(len(b.ids), k)
     columns = other.segments(SUB_COLS)
-    for r0, r1, rs in a.segments(SUB_ROWS):
+    due = 1  # the columns' lists settle after 1, 2, 3, 4, 6, 9... strips of rows
+    for strip, (r0, r1, rs) in enumerate(a.segments(SUB_ROWS), 1):
         xe = a.error[r0:r1]
         for c0, c1, cs in columns:
             ye = other.error[c0:c1]
             scale = np.float32(rs * cs)
             p = a.codes[r0:r1] @ other.codes[c0:c1].T
             slack = xe + (1 + xe) * ye.max()
-            hit = p >= (mine.floors(r0, r1, p * scale if np.isinf(mine.sims[r0:r1, -1]).any() else p[:, :0], slack) / scale)[:, None]
+            hit = p >= (mine.floors(r0, r1, p * scale if mine.open(r0, r1) else None, slack) / scale)[:, None]
             if theirs is not None:
                 slack = ye + (1 + ye) * xe.max()
-                known = p.T * scale if np.isinf(theirs.sims[c0:c1, -1]).any() else p.T[:, :0]
-                hit |= p >= theirs.floors(c0, c1, known, slack) / scale
+                hit |= p >= theirs.floors(c0, c1, p.T * scale if theirs.open(c0, c1) else None, slack) / scale
             rows, cols = np.divmod(np.flatnonzero(hit), c1 - c0)
             rows, cols = rows + r0, cols + c0
             apart = a.ids[rows] != other.ids[cols]
@@ -137,13 +155,19 @@ def tile_top_k(a: Block, b: Block | None, k: int) -> tuple[Lists, Lists | None]:
             if not len(rows):
                 continue
             exact = np.empty(len(rows))
-            for h in range(0, len(rows), 100_000):
-                part = slice(h, h + 100_000)
-                exact[part] = np.einsum("ij,ij->i", a.u[rows[part]].astype(np.float64), other.u[cols[part]].astype(np.float64))
-            exact = np.round(exact, 6)
-            mine.merge(rows, other.ids[cols], exact)
+            for h in range(0, len(rows), 50_000):
+                part = slice(h, h + 50_000)
+                exact[part] = np.einsum("ij,ij->i", a.u[rows[part]], other.u[cols[part]], dtype=np.float64)
+            sim = np.rint(exact * 1e6).astype(np.int64)
+            mine.add(rows, other.place[cols], sim)
+            mine.settle()
             if theirs is not None:
-                theirs.merge(cols, a.ids[rows], exact)
+                theirs.add(cols, a.place[rows], sim)
+        if theirs is not None and strip >= due:
+            theirs.settle()
+            due = strip + max(strip // 2, 1)
+    if theirs is not None:
+        theirs.settle()
     return mine, theirs
 
 
@@ -220,12 +244,13 @@ def tile_lists(heads: DataFrame, n: int, k: int, dims: int) -> DataFrame:
         if diagonal and 1 in parts or diagonal and not _on_diagonal(int(parts[0][0]["tile"].iloc[0]), blocks):
             return  # the tile's other block is empty
         lists = tile_top_k(sorted_sides[0], None if diagonal else sorted_sides[1], k)
-        for block, found in zip(sorted_sides, lists):
+        for block, other, found in zip(sorted_sides, reversed(sorted_sides), lists):
             for a in range(0, len(block.ids), 20_000):
-                i, s = found.ids[a : a + 20_000], found.sims[a : a + 20_000]
-                real = s.ravel() > -np.inf
-                sim = np.rint(s.ravel()[real] * 1e6).astype(np.int32)
-                yield pd.DataFrame({"id": np.repeat(block.ids[a : a + 20_000], k)[real], "other": i.ravel()[real], "sim": sim})
+                pair = found.best[a : a + 20_000].ravel()
+                real = pair != NONE
+                met = other.sorted_ids[pair[real] & (2**PLACE_BITS - 1)]
+                sim = (1_000_000 - (pair[real] >> PLACE_BITS)).astype(np.int32)
+                yield pd.DataFrame({"id": np.repeat(block.ids[a : a + 20_000], k)[real], "other": met, "sim": sim})
 
     tiles = blocks * (blocks + 1) // 2
     return sides.repartitionById(tiles, F.col("tile")).mapInPandas(run, "id bigint, other bigint, sim int")

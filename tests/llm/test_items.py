@@ -179,19 +179,20 @@ def test_tiles_against_brute_force():
     s = np.round(x.astype(float) @ x.T.astype(float), 6)
     np.fill_diagonal(s, -9)
 
-    def check(block, lists, allowed):
+    def check(block, other, lists, allowed):
         t = np.where(allowed, s, -9)
-        for i, got, sims in zip(block.ids, lists.ids, lists.sims):
+        for i, best in zip(block.ids, lists.best):
+            got, sims = other.sorted_ids[best & (2**nb.PLACE_BITS - 1)], 1 - (best >> nb.PLACE_BITS) / 1e6
             assert np.allclose(sims, t[i, _best(t, i, 10)], atol=1.1e-6)
             assert np.allclose(sims, t[i, got], atol=1.1e-6)
 
     whole = side(0, 1500)
-    check(whole, tile_top_k(whole, None, 10)[0], np.ones((1500, 1500), bool))
+    check(whole, whole, tile_top_k(whole, None, 10)[0], np.ones((1500, 1500), bool))
     a, b = side(0, 900), side(900, 1500)
     apart = np.zeros((1500, 1500), bool)
     apart[:900, 900:] = apart[900:, :900] = True
-    for block, lists in zip((a, b), tile_top_k(a, b, 10)):
-        check(block, lists, apart)
+    for block, other, lists in zip((a, b), (b, a), tile_top_k(a, b, 10)):
+        check(block, other, lists, apart)
 
 
 def test_codes_and_their_errors():
