@@ -1,16 +1,23 @@
 """Mixed timestamp notations to one UTC instant in milliseconds.
 
-Every value is parsed under each notation that fits it, with built-in column
-expressions only. Where a value fits more than one reading (day first or month
-first) an expectation-maximisation over the readings of its source decides:
-values contribute their likelihood under each valid reading, the sufficient
-statistics are the counts of reading patterns per source (one partial
-aggregation), and the posterior picks the reading or marks it unresolved.
+Every value is parsed under each reading that fits it, with built-in column
+expressions only: a numeric day and month day first or month first, a plain number
+as seconds, milliseconds or microseconds, other notations in one way. A source is
+a mixture of readings. Expectation-maximisation finds their shares: a value
+contributes its likelihood under each valid reading (an instant before 1990, after
+2100 or after its arrival is unlikely), the sufficient statistics are the counts of
+likelihood patterns per source (one partial aggregation), and the posterior picks
+the reading or marks it unresolved.
+
+Where readings are agreed beforehand (``conventions``), the agreed one of a value
+is its only one if it is valid; what data then decide is the rest. Rows are parsed
+once and kept in the shared folder between counting and choosing.
 
 Defined results:
 * null, blank, zero, negative and unreadable stamps: ``utc_ms`` null,
   ``reading`` null;
 * impossible dates or times (30 February, hour 24, second 60): unreadable;
+* numbers that no reading puts before the year 10000: unreadable;
 * no zone: wall clock of ``tz`` (UTC where ``tz`` is null or unknown); a wall
   time that occurs twice is the first, one that is skipped counts with the
   offset before the change;
@@ -23,6 +30,7 @@ from __future__ import annotations
 
 import zoneinfo
 from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -30,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.columns import once, shield
+from lodestar.session import Kept
 
 OUT = ("utc_ms", "reading", "posterior", "ambiguous", "canonical")
 
@@ -64,8 +73,17 @@ SHAPES = {
 NUMBER = r"^\d{1,25}(?:\.\d+)?(?:[eE]\+?\d{1,2})?$"
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$"
 
-#: Readings of numeric day/month pairs: the first is day first.
-ORDERS = ("dmy", "mdy")
+#: The readings of a shape, in the order of their columns; other shapes have one.
+READINGS = {
+    "dotted": ("dotted-dmy", "dotted-mdy"), "slashed": ("slashed-dmy", "slashed-mdy"),
+    "number": ("number-s", "number-ms", "number-us"),
+}
+#: Conventions that may be agreed: of an order of day and month, or that a
+#: number's unit follows from its magnitude (under 10^11 seconds, under 10^14
+#: milliseconds, else microseconds).
+CONVENTIONS = {"dotted": "dmy", "slashed": "mdy", "number": "magnitude"}
+#: The last instant that counts as a date: the end of the year 9999.
+_LAST = 253_402_300_799_999
 
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
@@ -145,8 +163,8 @@ def readings(stamp: Column) -> dict[str, Column]:
 
 
 def parse_readings(df: DataFrame, stamp: str, tz: str | None) -> DataFrame:
-    """Adds ``__shape``, ``__dmy`` and ``__mdy`` (milliseconds, null: no such
-    reading). Shapes with one reading have it in both columns."""
+    """Adds ``__shape``, its readings ``__r0``, ``__r1``, ``__r2`` (milliseconds,
+    null: not valid) and ``__unit``, the reading that a number's magnitude says."""
     r = readings(F.col(stamp))
     df = df.withColumn("__tz", F.col(tz) if tz else F.lit(None).cast("string"))
     df = once(df, {"__t": r["text"], "__zone": known_zone("__tz"), "__shape": r["shape"]}).drop("__tz")
@@ -158,63 +176,67 @@ def parse_readings(df: DataFrame, stamp: str, tz: str | None) -> DataFrame:
     named = F.col("__shape").isin("named", "http")
     one, other = _int(p[1]), _int(p[2])
     walls = {
-        "__wd": _wall(_int(p[0]), F.when(two, other).when(named, by_name).otherwise(one), F.when(two, one).otherwise(other), p),
-        "__wm": F.when(two, _wall(_int(p[0]), one, other, p)),
+        "__w0": _wall(_int(p[0]), F.when(two, other).when(named, by_name).otherwise(one), F.when(two, one).otherwise(other), p),
+        "__w1": F.when(two, _wall(_int(p[0]), one, other, p)),
+        "__n": F.when(F.col("__shape") == "number", F.col("__t").try_cast("decimal(38,9)")),
     }
     df = once(df, walls)
-    number = F.when(F.col("__shape") == "number", F.col("__t").try_cast("decimal(38,9)"))
-    as_ms = (
-        F.when(number <= 0, F.lit(None))
-        .when(number < F.lit(10**11), F.floor(number * 1000))
-        .when(number < F.lit(10**14), F.floor(number))
-        .when(number < F.lit(10**17), F.floor(number / 1000))
-        .cast("bigint")
+    n = F.when(F.col("__n") > 0, F.col("__n"))
+    last = F.lit(_LAST)
+    as_ms = [
+        F.when(n < last / 1000, F.floor(n * 1000)), F.when(n <= last, F.floor(n)), F.when(n < F.lit(10**17), F.floor(n / 1000)),
+    ]
+    unit = F.when(n < F.lit(10**11), 0).when(n < F.lit(10**14), 1).when(n < F.lit(10**17), 2)
+    df = once(
+        df,
+        {
+            "__r0": F.coalesce(as_ms[0].cast("bigint"), _instant(F.col("__w0"), p, F.col("__zone"))),
+            "__r1": F.coalesce(as_ms[1].cast("bigint"), F.when(two, _instant(F.col("__w1"), p, F.col("__zone")))),
+            "__r2": as_ms[2].cast("bigint"),
+            "__unit": unit,
+        },
     )
-    dmy = F.coalesce(as_ms, _instant(F.col("__wd"), p, F.col("__zone")))
-    mdy = F.when(two, _instant(F.col("__wm"), p, F.col("__zone"))).otherwise(F.col("__dmy"))
-    df = once(df, {"__dmy": dmy})
-    return once(df, {"__mdy": mdy}).drop("__t", "__zone", "__p", "__wd", "__wm")
+    return df.drop("__t", "__zone", "__p", "__w0", "__w1", "__n")
 
 
 def instant_ms(df: DataFrame, stamp: str, tz: str | None, out: str) -> DataFrame:
     """Adds ``out``: the instant under the fixed conventions (dotted dates day
-    first, slashed dates month first), without the mixture model."""
-    ms = F.when(F.col("__shape") == "slashed", F.col("__mdy")).otherwise(F.col("__dmy"))
-    return parse_readings(df, stamp, tz).withColumn(out, ms).drop("__shape", "__dmy", "__mdy")
-
-
-def _fit(pattern_counts: pd.DataFrame, prior: dict[str, float], rounds: int) -> pd.DataFrame:
-    """EM over the two orders for one source and shape.
-
-    ``pattern_counts`` has one row per (pattern, n); pattern is the two
-    likelihoods of the day-first and the month-first reading. An unequal prior
-    is a convention: it counts in proportion to the rows, so that their number
-    never outweighs it."""
-    lik = pattern_counts[["l_dmy", "l_mdy"]].to_numpy(float)
-    n = pattern_counts["n"].to_numpy(float)[:, None]
-    alpha = np.array([prior["dmy"], prior["mdy"]], float)
-    if alpha[0] != alpha[1]:
-        alpha *= max(n.sum(), 1.0)
-    theta = alpha / alpha.sum()
+    first, slashed dates month first, numbers by magnitude), without the mixture."""
+    agreed = F.when(F.col("__shape") == "slashed", 1).otherwise(F.coalesce("__unit", F.lit(0)))
+    ms = F.get(F.array("__r0", "__r1", "__r2"), agreed)
+    return parse_readings(df, stamp, tz).withColumn(out, ms).drop("__shape", "__r0", "__r1", "__r2", "__unit")
+
+
+#: Likelihoods by level: not valid, unlikely, plain.
+_LEVELS = {"0": 0.0, "1": 1e-3, "2": 1.0}
+
+
+def fit_mixture(patterns: pd.DataFrame, rounds: int = 50) -> pd.DataFrame:
+    """EM over the readings of one source. ``patterns`` has a row per likelihood
+    pattern ``sig`` (shape and the levels of its readings) with its count ``n``;
+    added are the posteriors ``p0, p1, p2`` of the shape's readings. Shares have one
+    pseudo-count per reading."""
+    part = patterns["sig"].str.split(":", expand=True)
+    names: dict[str, int] = {}
+    at = np.full((len(part), 3), -1)
+    lik = np.zeros((len(part), 3))
+    for row, (shape, *levels) in enumerate(part.itertuples(index=False)):
+        for k, reading in enumerate(READINGS.get(shape, (shape,))):
+            at[row, k] = names.setdefault(reading, len(names))
+            lik[row, k] = _LEVELS[levels[k]]
+    n = patterns["n"].to_numpy(float)[:, None]
+    theta = np.full(len(names), 1.0 / len(names))
     for _ in range(rounds):
-        post = lik * theta
+        post = lik * theta[at]
         total = post.sum(1, keepdims=True)
         post = np.divide(post, total, out=np.zeros_like(post), where=total > 0)
-        new = (post * n).sum(0) + alpha
+        new = 1.0 + np.bincount(at[at >= 0], (post * n)[at >= 0], len(names))
         new /= new.sum()
-        if np.abs(new - theta).max() < 1e-12:
-            break
+        done = np.abs(new - theta).max() < 1e-12
         theta = new
-    out = pattern_counts.copy()
-    out["p_dmy"] = post[:, 0]
-    out["p_mdy"] = post[:, 1]
-    return out
-
-
-#: Pseudo-counts of the readings before any value is seen; unequal ones hold for
-#: every row of a source.
-CONVENTIONS = {"dotted": {"dmy": 1e6, "mdy": 1.0}, "slashed": {"dmy": 1.0, "mdy": 1e6}}
-NO_CONVENTIONS = {"dotted": {"dmy": 1.0, "mdy": 1.0}, "slashed": {"dmy": 1.0, "mdy": 1.0}}
+        if done:
+            break
+    return patterns.assign(p0=post[:, 0], p1=post[:, 1], p2=post[:, 2])
 
 
 def normalize_timestamps(
@@ -222,70 +244,67 @@ def normalize_timestamps(
     stamp: str,
     tz: str | None = None,
     source: str | None = None,
-    conventions: dict[str, dict[str, float]] | None = None,
+    conventions: dict[str, str] | None = None,
     near_ms: str | None = None,
     sure: float = 0.9,
     rounds: int = 50,
 ) -> DataFrame:
     """Adds ``utc_ms, reading, posterior, ambiguous, canonical`` to ``df``.
 
-    ``source`` names the column whose values share a mixture of notations (all
-    rows are one source without it). ``conventions`` are Dirichlet
-    pseudo-counts per shape; ``near_ms`` is an optional column with a reference
+    ``source`` names the column whose values share a mixture of readings (all
+    rows are one source without it). ``conventions`` agrees on readings by shape
+    (see ``CONVENTIONS``); ``near_ms`` is an optional column with a reference
     instant (arrival time): a reading after it, by more than a day, is 1000
-    times less likely. ``posterior`` below ``sure`` with two readings that give
-    different instants marks a row ``ambiguous``; it keeps its likelier reading.
+    times less likely. ``posterior`` below ``sure`` with readings that give
+    different instants marks a row ``ambiguous``; it keeps its likeliest reading.
     """
-    prior = conventions or NO_CONVENTIONS
+    agreed = conventions or {}
     df = shield(df, OUT) if stamp not in OUT else df.withColumnRenamed(stamp, f"{stamp}_in")
     stamp = stamp if stamp not in OUT else f"{stamp}_in"
     df = parse_readings(df, stamp, tz)
-    two = F.col("__shape").isin("dotted", "slashed")
     day = 86_400_000
-
-    def likelihood(ms: Column) -> Column:
-        plain = ms.between(0, 4_102_444_800_000)
+    values = [F.col("__r0"), F.col("__r1"), F.col("__r2")]
+    # the place of the agreed reading, null where none is agreed or it is not valid
+    place = F.lit(None).cast("int")
+    for shape, order in agreed.items():
+        here = F.col("__unit") if order == "magnitude" else F.lit(("dmy", "mdy").index(order))
+        place = F.when(F.col("__shape") == shape, here).otherwise(place)
+    place = F.when(F.get(F.array(*values), place).isNotNull(), place)
+
+    def level(k: int) -> Column:
+        ms = values[k]
+        plain = ms.between(631_152_000_000, 4_102_444_800_000)
         if near_ms:
             plain = plain & (F.col(near_ms).isNull() | (ms <= F.col(near_ms) + day))
-        return F.when(ms.isNull(), 0).when(plain, 2).otherwise(1).cast("int")
+        return F.when(ms.isNull() | (place != k), 0).when(plain, 2).otherwise(1).cast("int")
 
-    df = df.withColumns(
-        {
-            "__src": F.coalesce(F.col(source).cast("string"), F.lit("")) if source else F.lit(""),
-            "__sig": F.when(
-                two & (F.col("__dmy").isNotNull() | F.col("__mdy").isNotNull()),
-                F.concat_ws(":", F.col("__shape"), likelihood(F.col("__dmy")), likelihood(F.col("__mdy"))),
-            ),
-        }
-    )
+    some = F.coalesce(*values).isNotNull()
+    sig = F.when(some, F.concat_ws(":", "__shape", *[level(k) for k in range(3)]))
+    src = F.coalesce(F.col(source).cast("string"), F.lit("")) if source else F.lit("")
+    df = df.withColumns({"__src": src, "__sig": sig}).drop("__unit")
+    df = Kept(df.sparkSession).keep(df, "stamps")
     counts = df.where(F.col("__sig").isNotNull()).groupBy("__src", "__sig").agg(F.count("*").alias("n"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = pdf["__sig"].str.split(":", expand=True)
-        weight = {"0": 0.0, "1": 1e-3, "2": 1.0}
-        pdf = pdf.assign(shape=sig[0], l_dmy=sig[1].map(weight), l_mdy=sig[2].map(weight))
-        done = [_fit(g, prior[s], rounds) for s, g in pdf.groupby("shape")]
-        return pd.concat(done)[["__src", "__sig", "p_dmy", "p_mdy"]].rename(
-            columns={"__src": "__s", "__sig": "__g"}
-        )
+        done = fit_mixture(pdf.rename(columns={"__sig": "sig"}), rounds)
+        done.columns = [{"__src": "__s", "sig": "__g"}.get(c, f"__{c}") for c in done.columns]
+        return done[["__s", "__g", "__p0", "__p1", "__p2"]]
 
-    posts = counts.groupBy("__src").applyInPandas(
-        fit, "__s string, __g string, p_dmy double, p_mdy double"
-    )
-    posts = posts.withColumnsRenamed({"p_dmy": "__pd", "p_mdy": "__pm"})
+    posts = counts.groupBy("__src").applyInPandas(fit, "__s string, __g string, __p0 double, __p1 double, __p2 double")
     df = df.join(posts, (F.col("__src") == F.col("__s")) & (F.col("__sig") == F.col("__g")), "left")
-    mdy = two & (F.col("__pm") > F.col("__pd"))
-    ms = F.when(mdy, F.col("__mdy")).otherwise(F.col("__dmy"))
-    best = F.when(two, F.greatest("__pd", "__pm")).otherwise(F.lit(1.0))
-    both = two & F.col("__dmy").isNotNull() & F.col("__mdy").isNotNull() & (F.col("__dmy") != F.col("__mdy"))
-    order = F.when(mdy, F.lit("mdy")).otherwise(F.lit("dmy"))
-    reading = F.when(two, F.concat_ws("-", F.col("__shape"), order)).otherwise(F.col("__shape"))
+    best = F.greatest("__p0", "__p1", "__p2")
+    # of equal posteriors the first reading
+    at = F.when(F.col("__p0") == best, 0).when(F.col("__p1") == best, 1).when(F.col("__p2") == best, 2)
+    ms = F.get(F.array(*values), at)
+    names = F.expr("map(" + ", ".join(f"'{k}', array({', '.join(repr(x) for x in v)})" for k, v in READINGS.items()) + ")")
+    reading = F.coalesce(F.get(F.try_element_at(names, F.col("__shape")), at), F.col("__shape"))
+    other = reduce(or_, [(F.col(f"__p{k}") > 0) & values[k].isNotNull() & (values[k] != ms) for k in range(3)])
     return df.withColumns(
         {
             "utc_ms": ms,
             "reading": F.when(ms.isNotNull(), reading),
             "posterior": F.when(ms.isNotNull(), best),
-            "ambiguous": F.coalesce(both & (best < sure), F.lit(False)),
+            "ambiguous": F.coalesce(other & (best < sure), F.lit(False)),
             "canonical": F.coalesce(ms.isNotNull() & F.col(stamp).rlike(CANONICAL), F.lit(False)),
         }
-    ).drop("__shape", "__dmy", "__mdy", "__src", "__sig", "__s", "__g", "__pd", "__pm")
+    ).drop("__shape", "__r0", "__r1", "__r2", "__src", "__sig", "__s", "__g", "__p0", "__p1", "__p2")

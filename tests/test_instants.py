@@ -4,9 +4,10 @@ import datetime as dt
 import random
 from zoneinfo import ZoneInfo
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from lodestar.operators.instants import CONVENTIONS, normalize_timestamps
+from lodestar.operators.instants import CONVENTIONS, fit_mixture, normalize_timestamps
 
 UTC = dt.timezone.utc
 ZONES = ["Europe/Berlin", "America/New_York", "Asia/Kolkata", "Australia/Sydney", "America/Sao_Paulo", "UTC"]
@@ -94,3 +95,23 @@ def test_clashing_columns_repeated_rows_and_empty(spark):
     assert len(got) == 2 and {r["utc_ms"] for r in got} == {1735690862000}
     assert {r["UTC_MS_in"] for r in got} == {7} and {r["reading_in"] for r in got} == {"a"}
     assert normalize_timestamps(df.limit(0), "stamp").count() == 0
+
+
+def test_mixture_decides_the_unit_of_numbers(spark):
+    """Small numbers that fit as seconds and as milliseconds go with their source."""
+    day = 86_400_000
+    s = [("s", str(1_700_000_000 + k)) for k in range(40)] + [("s", "2600000000")]
+    ms = [("ms", str(1_700_000_000_000 + k)) for k in range(40)] + [("ms", "700000000000")]
+    us = [("us", str((1_700_000_000_000 + k) * 1000)) for k in range(40)]
+    near = 2_600_000_000_000 - 2 * day  # arrival before the last value of the first source
+    df = spark.createDataFrame([(a, b, near) for a, b in s + ms + us], "src string, stamp string, near long")
+    got = normalize_timestamps(df, "stamp", source="src", near_ms="near").collect()
+    assert {(r["src"], r["reading"]) for r in got} == {(x, f"number-{x}") for x in ("s", "ms", "us")}
+    assert {r["reading"] for r in normalize_timestamps(df.limit(0).unionByName(df.where("stamp = '700000000000'")), "stamp", conventions=CONVENTIONS).collect()} == {"number-ms"}
+
+
+def test_shares_follow_the_data():
+    """EM against the closed form of a mixture that two kinds of values decide."""
+    p = pd.DataFrame({"sig": ["slashed:2:2:0", "slashed:0:2:0", "slashed:2:0:0", "iso:2:0:0"], "n": [100, 90, 10, 500]})
+    got = fit_mixture(p, 2000)
+    assert abs(got["p1"][0] - 0.9) < 0.01 and got["p0"][3] == 1 and got["p1"][1] == 1 and got["p0"][2] == 1
