@@ -14,33 +14,52 @@ from lodestar.columns import has_text, trim_unicode
 from lodestar.functions.scalars import first_words, normalize_time, yaml_string
 
 
+#: What the readers know of a whole conversation besides its title.
+WHOLE = ("started", "project", "cwd", "branch", "forked_from")
+
+
+def _known(df: DataFrame, name: str) -> Column:
+    """A text column, null where the frame lacks it or it is empty."""
+    return F.when(F.col(name) != "", F.col(name)) if name in df.columns else F.lit(None).cast("string")
+
+
 def turn_documents(turns: DataFrame) -> DataFrame:
     """``id, text, attrs``: a document per turn; an id that repeats within its
-    conversation gets ``#<position>``."""
+    conversation gets ``#<position>``. Attributes that are not known are left
+    out; a turn without time has its conversation's."""
     base = F.concat_ws(":", "source", "session", "turn_id")
     w = Window.partitionBy("source", "session", "turn_id").orderBy("pos")
     rows = turns.withColumn("__again", F.row_number().over(w) > 1)
     ident = F.when(F.col("__again"), F.concat(base, F.lit("#"), F.col("pos").cast("string"))).otherwise(base)
     created = normalize_time(F.col("created"))
-    attrs = F.to_json(
-        F.struct(
-            F.when(created != "", created).alias("created"), F.col("pos").alias("index"), F.lit("message").alias("kind"), "role", "session", "source"
-        )
-    )
+    known = {n: _known(turns, n) for n in (*WHOLE, "title")}
+    known |= {
+        "created": F.coalesce(F.when(created != "", created), known.pop("started")),
+        "index": F.col("pos"), "kind": F.lit("message"), "role": F.col("role"), "session": F.col("session"), "source": F.col("source"),
+    }
+    attrs = F.to_json(F.struct(*[known[k].alias(k) for k in sorted(known)]))
     return rows.select(ident.alias("id"), "text", attrs.alias("attrs"))
 
 
 def conversation_documents(turns: DataFrame, titles: DataFrame | None = None) -> DataFrame:
-    """``id, text, messages``: a document per conversation, its turns under
-    role headings below its title (``titles``: source, session, title)."""
+    """``id, text, messages, attrs``: a document per conversation, its turns
+    under role headings below its title (``titles``: source, session, title; else
+    the turns' own)."""
     part = F.concat(F.lit("## "), F.coalesce("role", F.lit("unknown")), F.lit("\n\n"), F.col("text"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", part.alias("p")))), lambda x: x["p"]), "\n\n")
-    out = turns.where(F.col("text").isNotNull()).groupBy("source", "session").agg(body.alias("body"), F.count("*").alias("messages"))
-    head = F.lit("")
+    own = [F.max(_known(turns, n)).alias(n) for n in (*WHOLE, *(["title"] if titles is None else []))]
+    rows = turns.where(F.col("text").isNotNull())
+    out = rows.groupBy("source", "session").agg(body.alias("body"), F.count("*").alias("messages"), *own)
     if titles is not None:
-        out = out.join(titles, ["source", "session"], "left")
-        head = F.when(has_text(F.col("title")), F.concat(F.lit("# "), "title", F.lit("\n\n"))).otherwise(F.lit(""))
-    return out.select(F.concat_ws(":", "source", "session").alias("id"), trim_unicode(F.concat(head, "body")).alias("text"), "messages")
+        out = out.join(titles.select("source", "session", "title"), ["source", "session"], "left")
+    title = F.when(has_text(F.col("title")), F.col("title"))
+    known = {n: F.col(n) for n in (*WHOLE, "messages", "session", "source")} | {"title": title, "kind": F.lit("conversation")}
+    known["created"] = known.pop("started")
+    attrs = F.to_json(F.struct(*[known[k].alias(k) for k in sorted(known)]))
+    head = F.coalesce(F.concat(F.lit("# "), title, F.lit("\n\n")), F.lit(""))
+    return out.select(
+        F.concat_ws(":", "source", "session").alias("id"), trim_unicode(F.concat(head, "body")).alias("text"), "messages", attrs.alias("attrs")
+    )
 
 
 def merged_runs(turns: DataFrame) -> DataFrame:

@@ -60,9 +60,7 @@ def _project_documents(spark: SparkSession, path: str) -> DataFrame | None:
 def _conversations(turns: DataFrame, per: str) -> DataFrame:
     if per == "turn":
         return turn_documents(turns)
-    titles = turns.groupBy("source", "session").agg(F.max("title").alias("title"))
-    docs = conversation_documents(turns, titles)
-    return docs.select("id", "text", F.to_json(F.struct(F.lit("conversation").alias("kind"), "messages")).alias("attrs"))
+    return conversation_documents(turns).select("id", "text", "attrs")
 
 
 def _open(engine: Engine, name: str) -> Namespace:

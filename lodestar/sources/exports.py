@@ -1,7 +1,9 @@
 """Chat exports and agent transcripts as rows of turns.
 
-All readers give ``source, session, title, pos, turn_id, role, text, created``;
-blank turns are left out. JSON is read with explicit schemas; of an export, the
+All readers give ``source, session, title, pos, turn_id, role, text, created``
+and what belongs to the whole conversation: ``started`` (its own time) and
+``project, cwd, branch, forked_from`` where the source has them. Blank turns are
+left out. JSON is read with explicit schemas; of an export, the
 elements that do not parse are kept apart by ``export_elements`` and skipped by
 the readers, each alone.
 """
@@ -42,6 +44,19 @@ BATCH = 1 << 22
 _ORDER = T.ArrayType(T.IntegerType())
 
 
+def _whole(**known: Column) -> list[Column]:
+    """The columns of the whole conversation, null where not known."""
+    names = ("started", "project", "cwd", "branch", "forked_from")
+    filled = {k: F.when(has_text(v), trim_unicode(v)) for k, v in known.items()}
+    return [filled.get(n, F.lit(None).cast("string")).alias(n) for n in names]
+
+
+def _numbered_session(df: DataFrame, *names: str) -> Column:
+    """The first non-empty of the columns, else the element's place in its export."""
+    place = F.concat(F.lit("conversation-"), F.col("element_no").cast("string")) if "element_no" in df.columns else F.lit("")
+    return first_non_empty(*[F.coalesce(F.col(n), F.lit("")) for n in names], place)
+
+
 def walk_order(ids: list[str], parents: list, children: list) -> list[int]:
     """Depth first from the roots in id order, then from nodes whose parent is
     missing, then from nodes not reached; each node once."""
@@ -85,24 +100,31 @@ def _part_text(p: Column) -> Column:
     return trim_unicode(F.coalesce(inner, F.when(~F.ltrim(p).rlike(r'^[{\["]'), p)))
 
 
+def _moment(value: Column) -> Column:
+    """Seconds since 1970, or a time as text."""
+    text = value.cast("string")
+    seconds = text.try_cast("double")
+    return F.when(seconds.isNotNull(), epoch_time(seconds)).otherwise(normalize_time(text))
+
+
 def chatgpt_turns(convs: DataFrame) -> DataFrame:
     """Turns of chat-export records, in graph order."""
     nodes = F.transform(F.map_entries("mapping"), lambda e: F.struct(e["key"].alias("i"), e["value"]["parent"].alias("p"), e["value"]["children"].alias("c")))
-    session = first_non_empty(F.coalesce("conversation_id", F.lit("")), F.coalesce("id", F.lit("")))
+    session = _numbered_session(convs, "conversation_id", "id")
     rows = convs.select(
-        session.alias("session"), F.trim(F.coalesce("title", F.lit(""))).alias("title"), F.map_entries("mapping").alias("e"), _order_udf()(nodes).alias("o")
-    )
-    rows = rows.select("session", "title", F.posexplode("o").alias("pos", "k"), "e").withColumn("n", F.get("e", F.col("k"))).drop("e")
+        session.alias("session"), F.trim(F.coalesce("title", F.lit(""))).alias("title"), _moment(F.col("create_time")).alias("began"),
+        F.map_entries("mapping").alias("e"), _order_udf()(nodes).alias("o"),
+    )
+    rows = rows.select("session", "title", "began", F.posexplode("o").alias("pos", "k"), "e").withColumn("n", F.get("e", F.col("k"))).drop("e")
     m = F.col("n.value.message")
     texts = F.filter(F.transform(F.coalesce(m["content"]["parts"], F.array().cast("array<string>")), _part_text), lambda t: t.rlike(r"(?U)\S"))
     other = F.filter(F.array(*[trim_unicode(m["content"][f]) for f in ("text", "user_profile", "user_instructions")]), lambda t: t.rlike(r"(?U)\S"))
     text = F.array_join(F.when(F.size(texts) > 0, texts).otherwise(other), "\n")
     hidden = F.coalesce(m["metadata"]["is_visually_hidden_from_conversation"] == "true", F.lit(False))
-    created = m["create_time"].cast("string")
-    when = F.when(created.try_cast("double").isNotNull(), epoch_time(created.try_cast("double"))).otherwise(normalize_time(created))
     out = rows.select(
         F.lit("chatgpt").alias("source"), "session", "title", "pos", first_non_empty(F.coalesce(m["id"], F.lit("")), F.col("n.key")).alias("turn_id"),
-        F.coalesce(m["author"]["role"], F.lit("unknown")).alias("role"), text.alias("text"), when.alias("created"), hidden.alias("h"),
+        F.coalesce(m["author"]["role"], F.lit("unknown")).alias("role"), text.alias("text"), _moment(m["create_time"]).alias("created"), hidden.alias("h"),
+        *_whole(started=F.col("began")),
     )
     return out.where(~F.col("h") & has_text(F.col("text"))).drop("h")
 
@@ -158,7 +180,10 @@ def read_chatgpt(spark: SparkSession, path: str) -> DataFrame:
 def claude_turns(convs: DataFrame) -> DataFrame:
     """Turns of the other chat export: content blocks (text and thinking), else
     the flat text, then attachments."""
-    rows = convs.select(F.col("uuid").alias("session"), F.trim(F.coalesce("name", F.lit(""))).alias("title"), F.posexplode("chat_messages").alias("pos", "m"))
+    rows = convs.select(
+        _numbered_session(convs, "uuid").alias("session"), F.trim(F.coalesce("name", F.lit(""))).alias("title"),
+        normalize_time(F.col("created_at")).alias("began"), F.posexplode("chat_messages").alias("pos", "m"),
+    )
     m = F.col("m")
     blocks = F.flatten(F.transform(F.coalesce(m["content"], F.array()), lambda b: F.array(trim_unicode(b["text"]), trim_unicode(b["thinking"]))))
     blocks = F.filter(blocks, lambda t: t.rlike(r"(?U)\S"))
@@ -172,6 +197,7 @@ def claude_turns(convs: DataFrame) -> DataFrame:
         first_non_empty(F.coalesce(m["uuid"], F.lit("")), F.concat(F.lit("m"), F.col("pos").cast("string"))).alias("turn_id"),
         F.when(m["sender"] == "human", "user").otherwise(F.coalesce(m["sender"], F.lit("unknown"))).alias("role"),
         F.array_join(F.concat(body, files), "\n").alias("text"), normalize_time(m["created_at"]).alias("created"),
+        *_whole(started=F.col("began")),
     ).where(has_text(F.col("text")))
 
 
@@ -244,13 +270,18 @@ def block_text(content: Column) -> Column:
 
 def claude_code_turns(lines: DataFrame) -> DataFrame:
     """Turns of transcript lines (``file_path, line_no, type, uuid, sessionId,
-    timestamp, isMeta, isSidechain, summary, aiTitle, message``)."""
+    timestamp, cwd, gitBranch, isMeta, isSidechain, summary, aiTitle, message``).
+    The folder of a transcript names its project; session, working folder and
+    branch are the last that its lines name."""
     base = F.regexp_replace(F.regexp_extract("file_path", r"([^/\\]*)$", 1), r"(?i)\.jsonl$", "")
+    counts = ~F.coalesce(F.col("isMeta"), F.lit(False))
+    at = lambda c: F.when(counts & (F.coalesce(c, F.lit("")) != ""), F.col("line_no"))
     heads = lines.groupBy("file_path").agg(
-        F.max_by("sessionId", F.when(F.coalesce("sessionId", F.lit("")) != "", F.col("line_no"))).alias("sid"),
-        F.max_by("aiTitle", F.when(F.coalesce("aiTitle", F.lit("")) != "", F.col("line_no"))).alias("ai"),
-        F.min_by("summary", F.when(F.coalesce("summary", F.lit("")) != "", F.col("line_no"))).alias("sum"),
-    )
+        F.max_by("sessionId", at("sessionId")).alias("sid"), F.max_by("aiTitle", at("aiTitle")).alias("ai"),
+        F.min_by("summary", at("summary")).alias("sum"), F.max_by("cwd", at("cwd")).alias("folder"),
+        F.max_by("gitBranch", at("gitBranch")).alias("git"), F.min_by("timestamp", at("timestamp")).alias("began"),
+    )
+    project = F.regexp_extract("file_path", r"([^/\\!]*)[/\\][^/\\]*$", 1)
     text = F.when(F.col("type") == "summary", F.col("summary")).otherwise(block_text(F.col("message.content")))
     role = F.when(F.col("type") == "summary", F.lit("summary")).otherwise(F.coalesce("message.role", "type"))
     role = F.when(F.coalesce("isSidechain", F.lit(False)), F.concat(role, F.lit("/subagent"))).otherwise(role)
@@ -263,6 +294,7 @@ def claude_code_turns(lines: DataFrame) -> DataFrame:
         F.lit("claude-code").alias("source"), F.coalesce("sid", base).alias("session"), F.coalesce("ai", "sum", F.lit("")).alias("title"), pos.alias("pos"),
         first_non_empty(F.coalesce("uuid", F.lit("")), F.concat(F.lit("line"), F.col("line_no").cast("string"))).alias("turn_id"),
         role.alias("role"), text.alias("text"), normalize_time(flexible_time(F.coalesce("timestamp", F.lit("")))).alias("created"),
+        *_whole(started=normalize_time(flexible_time(F.col("began"))), project=project, cwd=F.col("folder"), branch=F.col("git")),
     )
 
 
@@ -272,21 +304,28 @@ def read_claude_code(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_codex(spark: SparkSession, path: str) -> DataFrame:
-    """Turns of rollouts: user and agent message events; the first session
-    record names the session, the first user turn is the title."""
+    """Turns of rollouts: user and agent message events. The first session record
+    names the session, its time and working folder (whose last part is the
+    project), a later one where it was forked from; the first user turn is the
+    title."""
     lines = numbered_lines(spark, path).withColumn("j", F.from_json("value", CODEX_LINE)).select("file_path", "line_no", "j.*")
     p = F.col("payload")
     meta = F.when(F.col("type") == "session_meta", F.col("line_no"))
     said = (F.col("type") == "event_msg") & p["type"].isin("user_message", "agent_message") & has_text(p["message"])
     heads = lines.groupBy("file_path").agg(
-        F.min_by(p["id"], meta).alias("sid"),
+        F.min_by(F.struct(p["id"].alias("id"), p["cwd"].alias("cwd"), F.coalesce(p["timestamp"], "timestamp").alias("began")), meta).alias("own"),
+        F.sort_array(F.collect_set(F.when(meta.isNotNull(), F.struct("line_no", p["id"].alias("id"))))).alias("metas"),
         F.min_by(p["message"], F.when(said & (p["type"] == "user_message"), F.col("line_no"))).alias("first"),
     )
     base = F.regexp_replace(F.regexp_extract("file_path", r"([^/\\]*)$", 1), r"(?i)\.jsonl$", "")
     pos = F.row_number().over(Window.partitionBy("file_path").orderBy("line_no")) - 1
     return lines.where(said).join(heads, "file_path").select(
-        F.lit("codex").alias("source"), F.coalesce("sid", base).alias("session"), F.coalesce(truncate(one_line(F.col("first")), 72), F.lit("")).alias("title"),
+        F.lit("codex").alias("source"), F.coalesce("own.id", base).alias("session"), F.coalesce(truncate(one_line(F.col("first")), 72), F.lit("")).alias("title"),
         pos.alias("pos"), F.concat(F.lit("line"), F.col("line_no").cast("string")).alias("turn_id"),
         F.when(p["type"] == "user_message", "user").otherwise("assistant").alias("role"), trim_unicode(p["message"]).alias("text"),
         normalize_time(F.col("timestamp")).alias("created"),
+        *_whole(
+            started=normalize_time(F.col("own.began")), cwd=F.col("own.cwd"), project=F.regexp_extract("own.cwd", r"([^/\\]+)[/\\]*$", 1),
+            forked_from=F.get("metas", F.lit(1))["id"],
+        ),
     )

@@ -167,3 +167,40 @@ def test_stream_ingest(spark, tmp_path):
     ingest_ndjson(spark, str(src), n, str(tmp_path / "cp")).awaitTermination()
     assert sorted(r["id"] for r in n.docs().collect()) == ["a", "b"]
     assert n.query("parsers", mode="keyword").first()["id"] == "a"
+
+
+def _attributes(spark, path, per="turn"):
+    rows = import_documents(spark, str(path), per=per).collect()
+    return {r["id"]: json.loads(r["attrs"]) for r in rows}
+
+
+def test_attributes_of_whole_conversations(spark, tmp_path):
+    gpt = [
+        {"title": "Bread", "create_time": 1650001234, "mapping": {"n": {"message": {"author": {"role": "user"}, "content": {"parts": ["rye"]}}}}},
+        {"conversation_id": "c7", "mapping": {"n": {"message": {"author": {"role": "user"}, "create_time": 1650005678, "content": {"parts": ["oats"]}}}}},
+    ]
+    (tmp_path / "conversations.json").write_text(json.dumps(gpt))
+    got = _attributes(spark, tmp_path / "conversations.json")
+    assert got == {
+        "chatgpt:conversation-0:n": {"created": "2022-04-15T05:40:34Z", "index": 0, "kind": "message", "role": "user", "session": "conversation-0", "source": "chatgpt", "title": "Bread"},
+        "chatgpt:c7:n": {"created": "2022-04-15T06:54:38Z", "index": 0, "kind": "message", "role": "user", "session": "c7", "source": "chatgpt"},
+    }
+    whole = _attributes(spark, tmp_path / "conversations.json", "conversation")
+    assert whole["chatgpt:conversation-0"] == {"created": "2022-04-15T05:40:34Z", "kind": "conversation", "messages": 1, "session": "conversation-0", "source": "chatgpt", "title": "Bread"}
+    home = tmp_path / "cc" / "-srv-bakery"
+    home.mkdir(parents=True)
+    said = lambda n, **m: {"type": "user", "uuid": f"k{n}", "message": {"role": "user", "content": f"t{n}"}, **m}
+    lines = [said(1, cwd="/srv/old", gitBranch="main", timestamp="2022-01-02T03:04:05.6Z"), said(2, cwd="/srv/bakery", gitBranch="rye"), said(3, isMeta=True, cwd="/no")]
+    (home / "s.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    got = _attributes(spark, tmp_path / "cc")
+    assert got["claude-code:s:k2"] == {
+        "branch": "rye", "created": "2022-01-02T03:04:05Z", "cwd": "/srv/bakery", "index": 1, "kind": "message", "project": "-srv-bakery", "role": "user", "session": "s", "source": "claude-code",
+    }
+    (tmp_path / "cx").mkdir()
+    meta = lambda i, **m: {"type": "session_meta", "timestamp": "2022-05-06T07:08:09Z", "payload": {"id": i, **m}}
+    turn = {"type": "event_msg", "payload": {"type": "user_message", "message": "knead the dough"}}
+    (tmp_path / "cx" / "r.jsonl").write_text("\n".join(map(json.dumps, [meta("new", cwd="/srv/bakery/"), meta("old", cwd="/other"), turn])))
+    assert _attributes(spark, tmp_path / "cx", "conversation")["codex:new"] == {
+        "created": "2022-05-06T07:08:09Z", "cwd": "/srv/bakery/", "forked_from": "old", "kind": "conversation", "messages": 1, "project": "bakery", "session": "new", "source": "codex",
+        "title": "knead the dough",
+    }
