@@ -164,7 +164,9 @@ def get_document(spark, d):
 def window_chunks(spark, d):
     """Documents in windows of their namespace's size."""
     docs, conf = load(spark, d, "docs"), load(spark, d, "ns_config").select(F.col("name").alias("ns"), "chunk_size", "chunk_over")
-    rows = docs.join(conf, "ns").select("ns", "id", F.posexplode(chunk(F.col("text"), F.col("chunk_size"), F.col("chunk_over"))).alias("ord", "text"))
+    size, over = F.coalesce("chunk_size", F.lit(0)), F.coalesce("chunk_over", F.lit(-1))  # the defaults where the namespace is not known
+    docs = docs.join(conf, "ns", "left").withColumns({"chunk_size": size, "chunk_over": over})
+    rows = docs.select("ns", "id", F.posexplode(chunk(F.col("text"), F.col("chunk_size"), F.col("chunk_over"))).alias("ord", "text"))
     return rows
 
 
@@ -309,15 +311,11 @@ _TRIM = r"regexp_replace(text, '^[\s\x{00A0}\x{3000}\x{2000}-\x{200A}\x{0085}\x{
 
 @query(f"""WITH t AS (SELECT session, pos, role, {_TRIM} AS x FROM ({_T}) WHERE {_TRIM} <> ''), r AS (SELECT *, CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS n FROM t WINDOW w AS (PARTITION BY session ORDER BY pos)),
     g AS (SELECT *, sum(n) OVER (PARTITION BY session ORDER BY pos) AS run FROM r)
-    SELECT session, CAST(run AS BIGINT) AS run, min(role) AS role, count(*) AS turns, CAST(sum(length(x)) AS BIGINT) AS chars FROM g WHERE session IS NOT NULL GROUP BY session, run""")
+    SELECT session, CAST(run AS BIGINT) AS run, min(role) AS role, string_agg(x, chr(10) || chr(10) ORDER BY pos) AS text FROM g WHERE session IS NOT NULL GROUP BY session, run""")
 def transcript_runs(spark, d):
-    """Runs of one role, with their number of turns and characters."""
+    """Runs of one role with their whole text."""
     turns = _turns(spark, d).where(F.col("session").isNotNull())
-    text = threads.merged_runs(turns).select("session", "run", "role", F.length("text").alias("len"))
-    one = threads.merged_runs(turns.withColumn("text", F.when(F.col("text").rlike(r"(?U)\S"), "x")))
-    n = one.select("session", "run", F.size(F.split("text", "\n\n")).cast("bigint").alias("turns"))
-    chars = (F.col("len") - 2 * (F.col("turns") - 1)).cast("bigint").alias("chars")
-    return text.join(n, ["session", "run"]).select("session", "run", "role", "turns", chars)
+    return threads.merged_runs(turns).select("session", "run", "role", "text")
 
 
 @query(f"SELECT 'chat' AS source, session, arg_min({_TRIM}, pos) AS first_user FROM ({_T}) WHERE lower(role) IN ('user', 'human') AND {_TRIM} <> '' GROUP BY session")
@@ -325,14 +323,17 @@ def first_user_turn(spark, d):
     return threads.first_user_turn(_turns(spark, d))
 
 
-@query("SELECT 'chat:' || session || ':' || doc_id AS id, text FROM documents WHERE session IS NOT NULL")
+@query("""SELECT 'chat:' || session || ':' || doc_id AS id, text, CAST(to_json({'index': doc_id, 'kind': 'message', 'role': coalesce(role, 'unknown'), 'session': session, 'source': 'chat'}) AS VARCHAR) AS attrs
+    FROM documents WHERE session IS NOT NULL""")
 def turn_documents(spark, d):
-    return threads.turn_documents(_turns(spark, d).where(F.col("session").isNotNull())).select("id", "text")
+    return threads.turn_documents(_turns(spark, d).where(F.col("session").isNotNull())).select("id", "text", "attrs")
 
 
-@query("SELECT 'chat:' || session AS id, count(*) AS messages FROM documents WHERE text IS NOT NULL AND session IS NOT NULL GROUP BY session")
+@query(f"""WITH c AS (SELECT session, count(*) AS messages, string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY pos) AS text FROM ({_T}) WHERE text IS NOT NULL AND session IS NOT NULL GROUP BY session)
+    SELECT 'chat:' || session AS id, {_TRIM} AS text, messages, CAST(to_json({{'kind': 'conversation', 'messages': messages, 'session': session, 'source': 'chat'}}) AS VARCHAR) AS attrs FROM c""")
 def conversation_documents(spark, d):
-    return threads.conversation_documents(_turns(spark, d).where(F.col("session").isNotNull())).select("id", "messages")
+    """Every conversation as one document: its whole text and its attributes."""
+    return threads.conversation_documents(_turns(spark, d).where(F.col("session").isNotNull()))
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM documents")
@@ -351,10 +352,11 @@ def fallback_summary(spark, d):
     return load(spark, d, "documents").select("doc_id", scalars.first_words(F.col("text")).alias("summary"))
 
 
-@query("SELECT event_id, strftime(to_timestamp(CAST(floor(value * 1000000) AS BIGINT)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM events WHERE value > 0")
+@query("""SELECT event_id, CASE WHEN x > 0 THEN strftime(to_timestamp(CAST(floor(x) AS BIGINT)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') ELSE '' END AS stamp
+    FROM (SELECT event_id, (value - 50) * 1000000 AS x FROM events)""")
 def epoch_time(spark, d):
-    rows = load(spark, d, "events").where(F.col("value") > 0)
-    return rows.select("event_id", scalars.epoch_time(F.floor(F.col("value") * 1000000)).alias("stamp"))
+    """Values under 50 stand for instants before 1970, which give no time."""
+    return load(spark, d, "events").select("event_id", scalars.epoch_time((F.col("value") - 50) * 1000000).alias("stamp"))
 
 
 @query(r"""SELECT line_id, CASE WHEN regexp_full_match(stamp, '\d{4}-\d\d-\d\d \d\d:\d\d:\d\d|\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)')
