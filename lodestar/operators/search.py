@@ -9,23 +9,28 @@ are partial aggregations; top lists are TakeOrderedAndProject.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.columns import once
-from lodestar.functions.text import index_tokens, plain_tokens, porter_tokens, query_terms
+from lodestar.operators.index import TextIndex, phrases_of, score, tokens_of
+from lodestar.operators.index import postings as index_rows
 
-K1, B = 1.2, 0.75
+#: Rows of a top list up to which it is broadcast.
+FEW = 20_000
 
 
 def postings(chunks: DataFrame, chunk_id: str = "chunk_id", tokenizer: str = "porter") -> DataFrame:
     """``term, chunk_id, tf, positions`` of every token."""
-    tokens = porter_tokens("text") if tokenizer == "porter" else plain_tokens(F.col("text"))
-    rows = chunks.select(F.col(chunk_id).alias("chunk_id"), F.posexplode(tokens).alias("pos", "term"))
-    return rows.groupBy("term", "chunk_id").agg(
-        F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions")
-    )
+    rows = chunks.where(F.col("text").isNotNull()).select(F.lit("").alias("doc_id"), F.col(chunk_id).alias("chunk_id"), tokens_of(F.col("text"), tokenizer).alias("w"))
+    return index_rows(rows, "w").select("term", "chunk_id", F.size("positions").cast("bigint").alias("tf"), "positions")
+
+
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast if a list is known to be short; longer ones are left to the planner."""
+    return F.broadcast(df) if rows <= FEW else df
 
 
 def _occurrences(tokens: Column, phrase: list[str]) -> Column:
@@ -38,56 +43,60 @@ def _occurrences(tokens: Column, phrase: list[str]) -> Column:
 
 
 def bm25(chunks: DataFrame, query: str, tokenizer: str = "porter") -> DataFrame:
-    """``doc_id, chunk_id, text, bm25`` of matching chunks; lower is better.
+    """``doc_id, chunk_id, bm25`` of matching chunks of a frame without index;
+    lower is better.
 
     One scan: token counts of the query's terms per chunk. The statistics are
     one row, joined to the matching chunks."""
-    terms = query_terms(query)
-    if tokenizer == "porter":
-        phrases = [p for p in (index_tokens(t) for t in terms) if p]
-        tokens = porter_tokens("text")
-    else:
-        phrases = [p for p in (t.split("_") for t in terms) if any(p)]
-        tokens = plain_tokens(F.col("text"))
+    phrases = phrases_of(query, tokenizer)
     if not phrases:
-        return chunks.select("doc_id", "chunk_id", "text", F.lit(0.0).alias("bm25")).limit(0)
-    counted = once(chunks.where(F.col("text").isNotNull()).select("doc_id", "chunk_id", "text"), {"__t": tokens})
+        return chunks.select("doc_id", "chunk_id", F.lit(0.0).alias("bm25")).limit(0)
+    counted = once(chunks.where(F.col("text").isNotNull()).select("doc_id", "chunk_id", "text"), {"__t": tokens_of(F.col("text"), tokenizer)})
     counted = counted.select(
-        "doc_id", "chunk_id", "text", F.size("__t").alias("len"), *[_occurrences(F.col("__t"), p).alias(f"f{i}") for i, p in enumerate(phrases)]
+        "doc_id", "chunk_id", F.size("__t").alias("len"), *[_occurrences(F.col("__t"), p).alias(f"f{i}") for i, p in enumerate(phrases)]
     )
     stats = counted.agg(
         F.count("*").alias("n"), F.avg("len").alias("avgdl"), *[F.sum((F.col(f"f{i}") > 0).cast("int")).alias(f"n{i}") for i in range(len(phrases))]
     ).withColumn("__one", F.lit(1))
     hit = sum((F.col(f"f{i}") for i in range(len(phrases))), F.lit(0)) > 0
     rows = counted.where(hit).withColumn("__one", F.lit(1)).join(F.broadcast(stats), "__one")  # one row
-    score = F.lit(0.0)
-    for i in range(len(phrases)):
-        idf = F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
-        idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-        f = F.col(f"f{i}")
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    return rows.select("doc_id", "chunk_id", "text", (-score).alias("bm25"))
-
-
-def keyword_candidates(chunks: DataFrame, query: str, depth: int = 100, eligible: DataFrame | None = None, tokenizer: str = "porter") -> DataFrame:
-    """``doc_id, keyword_rank, keyword_text``: the best ``depth`` documents.
-    ``eligible`` (``doc_id``) filters before the cut, never the statistics."""
-    hits = bm25(chunks, query, tokenizer)
+    return rows.select("doc_id", "chunk_id", score(len(phrases)).alias("bm25"))
+
+
+def keyword_candidates(
+    chunks: DataFrame, query: str, depth: int = 100, eligible: DataFrame | None = None, tokenizer: str = "porter", index: TextIndex | None = None,
+) -> DataFrame:
+    """``doc_id, keyword_rank, keyword_text, bm25``: the best ``depth`` documents,
+    found in ``index`` where there is one. ``eligible`` (``doc_id``) filters before
+    the cut, never the statistics; texts are fetched for the winners only."""
+    hits = index.bm25(query) if index else bm25(chunks, query, tokenizer)
     if eligible is not None:
         hits = hits.join(eligible.select("doc_id"), "doc_id", "left_semi")
-    best = hits.groupBy("doc_id").agg(F.min(F.struct("bm25", "chunk_id", "text")).alias("x"))
-    top = best.select("doc_id", "x.bm25", F.col("x.text").alias("keyword_text")).orderBy("bm25", "doc_id").limit(depth)
+    best = hits.groupBy("doc_id").agg(F.min(F.struct("bm25", "chunk_id")).alias("x"))
+    top = best.select("doc_id", "x.bm25", "x.chunk_id").orderBy("bm25", "doc_id").limit(depth)
     rank = F.row_number().over(Window.orderBy("bm25", "doc_id"))  # at most ``depth`` rows
-    return top.select("doc_id", rank.alias("keyword_rank"), "keyword_text", "bm25")
+    ranked = top.select("doc_id", "chunk_id", rank.alias("keyword_rank"), "bm25")
+    return _with_text(chunks, ranked, depth, "keyword_text").select("doc_id", "keyword_rank", "keyword_text", "bm25")
+
+
+def _with_text(chunks: DataFrame, ranked: DataFrame, depth: int, name: str) -> DataFrame:
+    texts = chunks.select(F.col("chunk_id").alias("__c"), F.col("text").alias(name))
+    return texts.join(_few(ranked, depth), F.col("__c") == F.col("chunk_id"))
 
 
 def cosine_udf(query: list[float]):
-    """Dot product with a fixed vector, in float64."""
+    """Dot product with a fixed vector, in float64, a batch at a time."""
     q = np.asarray(query, np.float64)
 
-    @F.pandas_udf("double")
-    def dot(v: pd.Series) -> pd.Series:
-        return pd.Series([float(np.asarray(x, np.float64) @ q) if x is not None and len(x) == len(q) else None for x in v], dtype="float64")
+    @F.arrow_udf("double")
+    def dot(v: pa.Array) -> pa.Array:
+        out = np.full(len(v), np.nan)
+        fits = (pc.list_value_length(v).to_numpy(zero_copy_only=False) == len(q)) & (np.diff(v.offsets.to_numpy()) == len(q))
+        if fits.any():
+            rows = np.flatnonzero(fits)
+            flat = v.values.to_numpy(zero_copy_only=False)
+            out[rows] = flat[v.offsets.to_numpy()[rows][:, None] + np.arange(len(q))].astype(np.float64) @ q
+        return pa.array(out, mask=np.isnan(out))
 
     return dot
 
@@ -107,10 +116,7 @@ def semantic_candidates(chunks: DataFrame, query: list[float], depth: int = 100,
     top = best.select("doc_id", F.col("x.cosine").alias("cosine"), (-F.col("x.k")).alias("chunk_id"))
     top = top.orderBy(F.desc("cosine"), "doc_id").limit(depth)
     ranked = top.withColumn("semantic_rank", F.row_number().over(Window.orderBy(F.desc("cosine"), "doc_id")))
-    texts = chunks.select(F.col("chunk_id").alias("__c"), F.col("text").alias("semantic_text"))
-    return texts.join(F.broadcast(ranked), F.col("__c") == F.col("chunk_id")).select(
-        "doc_id", "semantic_rank", "semantic_text", "cosine"
-    )  # at most ``depth`` rows are broadcast
+    return _with_text(chunks, ranked, depth, "semantic_text").select("doc_id", "semantic_rank", "semantic_text", "cosine")
 
 
 def fuse(keyword: DataFrame | None, semantic: DataFrame | None, k: int = 60, top: int = 10) -> DataFrame:
@@ -142,6 +148,7 @@ MODES = ("hybrid", "keyword", "semantic")
 def search(
     chunks: DataFrame, query: str, vector: list[float] | None = None, mode: str = "hybrid", top: int = 10, k: int = 60,
     depth: int = 100, eligible: DataFrame | None = None, attributes: DataFrame | None = None, tokenizer: str = "porter",
+    index: TextIndex | None = None,
 ) -> DataFrame:
     """The search pipeline over ``chunks`` (``doc_id, chunk_id, text, vec``).
     ``attributes`` (``doc_id, attributes``) are attached to the final rows."""
@@ -149,11 +156,11 @@ def search(
         raise ValueError("query text is empty")
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
-    kw = keyword_candidates(chunks, query, depth, eligible, tokenizer) if mode != "semantic" else None
+    kw = keyword_candidates(chunks, query, depth, eligible, tokenizer, index) if mode != "semantic" else None
     sem = semantic_candidates(chunks, vector, depth, eligible) if mode != "keyword" and vector is not None else None
     if kw is None and sem is None:
         raise ValueError("a semantic search needs a query vector")
     out = fuse(kw, sem, k if k > 0 else 60, top if top > 0 else 10)
     if attributes is None:
         return out
-    return attributes.join(F.broadcast(out), F.col("doc_id") == F.col("id")).drop("doc_id")  # ``top`` rows
+    return attributes.join(_few(out, top if top > 0 else 10), F.col("doc_id") == F.col("id")).drop("doc_id")

@@ -9,6 +9,8 @@ from lodestar.functions import scalars
 from lodestar.functions.filters import And, Compare, Filter, Glob, In, Or, parse_where
 from lodestar.functions.text import chunk, plain_tokens
 from lodestar.operators import listing, search, threads, upsert
+from lodestar.operators.index import TextIndex, build_index
+from lodestar.session import Kept
 from lodestar.tables import load
 
 QUERIES: dict = {}
@@ -193,38 +195,63 @@ def _chunks(spark, d):
     return load(spark, d, "chunks").select("doc_id", F.col("id").alias("chunk_id"), "text", "vec", "ns")
 
 
+_INDEXES: dict[tuple, TextIndex] = {}
+
+
+def _index(spark, d, table: str, tokenizer: str = "plain") -> TextIndex:
+    """The stored index of a table, built once per session below the shared
+    checkpoint folder and removed with it."""
+    key = (spark.sparkContext.applicationId, d, table, tokenizer)
+    if key not in _INDEXES:
+        chunks = _documents(spark, d) if table == "documents" else _chunks(spark, d)
+        path = Kept(spark).folder("index")
+        _INDEXES[key] = build_index(chunks.select("doc_id", "chunk_id", "text"), path, tokenizer)
+    return _INDEXES[key]
+
+
 def _round(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
 @query(_bm25_sql("doc_id", "doc_id", "documents") + " SELECT doc_id, round(bm25, 6) AS bm25, CAST(row_number() OVER (ORDER BY bm25, doc_id) AS INTEGER) AS keyword_rank FROM b ORDER BY b.bm25, doc_id LIMIT 10")
 def bm25_top10(spark, d):
-    got = search.keyword_candidates(_documents(spark, d), WORDS, 10, tokenizer="plain")
+    got = search.keyword_candidates(_documents(spark, d), WORDS, 10, index=_index(spark, d, "documents"))
     return _round(got, "bm25").select("doc_id", "bm25", "keyword_rank")
 
 
 @query(_bm25_sql("doc_id", "id", "chunks") + " SELECT doc_id, round(bm25, 6) AS bm25, CAST(row_number() OVER (ORDER BY bm25, doc_id) AS INTEGER) AS keyword_rank FROM b ORDER BY b.bm25, doc_id LIMIT 100")
 def bm25_doc_collapse(spark, d):
-    got = search.keyword_candidates(_chunks(spark, d), WORDS, 100, tokenizer="plain")
+    got = search.keyword_candidates(_chunks(spark, d), WORDS, 100, index=_index(spark, d, "chunks"))
     return _round(got, "bm25").select("doc_id", "bm25", "keyword_rank")
 
 
 @query(_bm25_sql("doc_id", "id", "chunks") + f" SELECT doc_id, round(bm25, 6) AS bm25 FROM b WHERE doc_id IN (SELECT id FROM docs WHERE {_RT} = 'user') ORDER BY b.bm25, doc_id LIMIT 100")
 def bm25_filtered(spark, d):
     docs = load(spark, d, "docs").where(Compare("=", "role", "user").column(F.col("attrs"))).select(F.col("id").alias("doc_id"))
-    got = search.keyword_candidates(_chunks(spark, d), WORDS, 100, docs, "plain")
+    got = search.keyword_candidates(_chunks(spark, d), WORDS, 100, docs, index=_index(spark, d, "chunks"))
     return _round(got, "bm25").select("doc_id", "bm25")
 
 
-@query()
+#: Every word whose Porter stem is that of a word of the query below.
+_STEMS = {"cach": "cach(e|es|ed|ing)?", "parser": "parsers?", "import": "import(s|ed|er|ers|ing|ings)?", "twice": "twices?"}
+_PORTER_SQL = (
+    _bm25_sql("doc_id", "id", "chunks")
+    .replace(_TERMS, " UNION ALL ".join(f"SELECT '{t}' AS term, '{p}' AS pattern" for t, p in _STEMS.items()))
+    .replace("x = term", "regexp_full_match(x, pattern)")
+    .replace("lower(text)", "strip_accents(lower(text))")
+)
+
+
+@query(_PORTER_SQL + " SELECT doc_id, round(bm25, 6) AS bm25, CAST(row_number() OVER (ORDER BY bm25, doc_id) AS INTEGER) AS keyword_rank, text AS keyword_text FROM b ORDER BY b.bm25, doc_id LIMIT 10")
 def bm25_porter_top10(spark, d):
-    return search.keyword_candidates(_chunks(spark, d), "cached parsers imported twice", 10)
+    index = _index(spark, d, "chunks", "porter")
+    return _round(search.keyword_candidates(_chunks(spark, d), "cached parsers imported twice", 10, index=index), "bm25")
 
 
 @query(f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM (SELECT id, {_TOK} AS w FROM chunks)) GROUP BY id, term) GROUP BY term")
 def term_statistics(spark, d):
-    p = search.postings(_chunks(spark, d), tokenizer="plain")
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    p = _index(spark, d, "chunks").rows
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("cf"))
 
 
 @query(f"SELECT count(*) AS n, sum(len(w)) / count(*) AS avgdl FROM (SELECT {_TOK} AS w FROM chunks WHERE text IS NOT NULL)")
@@ -274,7 +301,7 @@ def _rrf_sql(k: int, top: int, mode: str = "hybrid") -> str:
 
 
 def _search(spark, d, **kw) -> DataFrame:
-    return _round(search.search(_chunks(spark, d), WORDS, _query_vector(spark, d), tokenizer="plain", **kw), "score")
+    return _round(search.search(_chunks(spark, d), WORDS, _query_vector(spark, d), index=_index(spark, d, "chunks"), **kw), "score")
 
 
 @query(_rrf_sql(60, 10))

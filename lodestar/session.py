@@ -65,12 +65,18 @@ class Kept:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def keep(self, df: DataFrame, stem: str = "kept") -> DataFrame:
+    def folder(self, stem: str) -> str:
+        """A new folder for tables."""
         path = shared_path(self.spark, stem)
         self.paths.append(path)
-        df.write.parquet(path)
         p, fs = self._file(path)
+        fs.mkdirs(p)
         fs.deleteOnExit(p)
+        return path
+
+    def keep(self, df: DataFrame, stem: str = "kept") -> DataFrame:
+        path = f"{self.folder(stem)}/rows"
+        df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:

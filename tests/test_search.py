@@ -12,6 +12,7 @@ from lodestar.functions import scalars
 from lodestar.functions.embed import HashEmbedder, decode_vector, encode_vector, read_safetensors
 from lodestar.functions.text import index_tokens, query_terms, window_chunks
 from lodestar.operators import listing, search, threads
+from lodestar.operators.index import build_index
 from lodestar.plans.engine import Engine, NamespaceNotFound
 
 CORPUS = [
@@ -161,3 +162,19 @@ def test_vectors_and_tensors(tmp_path):
     assert read_safetensors(str(tmp_path / "m")).tolist() == [[1, 2], [3, 4]]
     a, b, c = HashEmbedder(32).embed(["parser files", "parsers file", ""])
     assert abs(float(a @ b) - 1) < 1e-5 and not c.any()
+
+
+def test_index_equals_scan(spark, tmp_path):
+    rows = [(f"d{i % 7}", i, t) for i, (_, t, _) in enumerate(CORPUS * 3)] + [("e", 90, None), ("e", 91, ""), ("f", 92, "water_level high, water level low; level water_level water level")]
+    chunks = spark.createDataFrame(rows, "doc_id string, chunk_id bigint, text string")
+    for tokenizer in ("porter", "plain"):
+        index = build_index(chunks, f"{tmp_path}/{tokenizer}", tokenizer, parts=2)
+        assert index.chunks == 20
+        for q in ("scales and keys", "water_level", "orchards pumping winter", "the of", "nothing_here scales"):
+            want = {r["chunk_id"]: r["bm25"] for r in search.bm25(chunks, q, tokenizer).collect()}
+            got = {r["chunk_id"]: r["bm25"] for r in index.bm25(q).collect()}
+            assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in got), q
+    plan = index.bm25("scales")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(t" in plan and "PushedFilters: [IsNotNull(term)" in plan and "tokens" not in plan
+    empty = build_index(chunks.limit(0), f"{tmp_path}/empty")
+    assert empty.bm25("scales").count() == 0
