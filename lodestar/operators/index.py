@@ -109,7 +109,8 @@ def _times(phrase: list[str], place: dict[str, Column]) -> Column:
     """How often the words of a phrase stand one after the other."""
     starts = place[phrase[0]]
     for k, w in enumerate(phrase[1:], 1):
-        starts = F.array_intersect(starts, F.transform(place[w], lambda x, k=k: x - k))
+        back = F.lit(k)
+        starts = F.array_intersect(starts, F.transform(place[w], lambda x: x - back))  # noqa: B023 (called at once)
     return F.when(starts.isNotNull(), F.size(starts)).otherwise(F.lit(0))
 
 
