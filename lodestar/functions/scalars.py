@@ -13,6 +13,13 @@ def content_hash(text: Column, attrs: Column) -> Column:
     return F.sha2(F.concat(F.encode(text, "UTF-8"), F.unhex(F.lit("00")), F.encode(F.coalesce(attrs, F.lit("{}")), "UTF-8")), 256)
 
 
+def canonical_json(attrs: Column) -> Column:
+    """A JSON object with its keys in order and no spaces between; ``{}`` for
+    null or empty text. Text that is no JSON stays as it is."""
+    some = F.when(attrs != "", attrs)
+    return F.coalesce(F.to_json(F.try_parse_json(some)), some, F.lit("{}"))
+
+
 def one_line(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 

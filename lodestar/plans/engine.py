@@ -1,37 +1,52 @@
 """Namespaces of documents over versioned parquet tables.
 
-Every namespace is a folder of version folders, each with ``docs`` and
-``chunks``; a pointer file names the current one. A write prepares a new
-version aside and moves the pointer last, so readers keep what they opened and
-a failed write leaves nothing visible. Untouched documents are carried over by
-one anti-join, unchanged ones are skipped by content hash.
+A namespace's documents, chunks and index postings lie in buckets by document
+id. A version is a small numbered file that says in which folder each bucket
+lies and what it holds. A write reads and rewrites the buckets that its documents
+fall in and nothing else; unchanged documents are skipped by content hash. The
+version file is written last, aside, and moved into place, after its number has
+been claimed by creating a file that must not exist: of two writers one gets the
+number, the other an error and its documents are to be written again. Readers
+keep what they opened; a failed write leaves nothing visible. Folders that
+neither the last nor the last but one version names are deleted.
 """
 
 from __future__ import annotations
 
 import datetime
+import json
 import re
+import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.columns import has_text
 from lodestar.functions.embed import Embedder, HashEmbedder, embed_column
 from lodestar.functions.filters import Filter, parse_where
-from lodestar.functions.text import chunk
-from lodestar.operators import listing, search, upsert
+from lodestar.functions.scalars import canonical_json
+from lodestar.functions.text import chunk, porter_tokens
+from lodestar.operators import index, listing, search, upsert
+from lodestar.session import Kept
 
 NAME = re.compile(r"[a-zA-Z0-9][a-zA-Z0-9_-]{0,63}")
 DOCS = "ns string, id string, text string, attrs string, hash string"
 CHUNKS = "ns string, doc_id string, ord int, chunk_id bigint, text string, vec array<float>"
+#: Buckets of a namespace. A claim without a version file is given up after so
+#: many seconds.
+BUCKETS, PATIENCE = 16, 600
+TABLES = ("docs", "chunks", "postings")
 
 
 class NamespaceNotFound(LookupError):
     pass
 
 
+class WriteConflict(RuntimeError):
+    """Another writer has made, or is making, the next version."""
+
+
 @dataclass(frozen=True)
 class WriteResult:
     written: int
@@ -56,16 +71,29 @@ class Engine:
         return fs.exists(p)
 
     def put(self, path: str, text: str) -> None:
-        """Writes a small file, then moves it into place."""
-        fs, tmp = self._fs(f"{path}.{uuid.uuid4().hex}")
+        """Writes a small file aside, then moves it to a path that nothing holds."""
+        fs, tmp = self._fs(f"{path}.{uuid.uuid4().hex}.tmp")
         out = fs.create(tmp, True)
         out.write(bytearray(text.encode()))
         out.close()
         _, p = self._fs(path)
-        if not fs.rename(tmp, p):
-            fs.delete(p, False)
-            if not fs.rename(tmp, p):
-                raise OSError(f"cannot move the pointer {path}")
+        if fs.exists(p) or not fs.rename(tmp, p):
+            fs.delete(tmp, False)
+            raise WriteConflict(path)
+
+    def claim(self, path: str) -> bool:
+        """Creates a file, false if it exists already."""
+        fs, p = self._fs(path)
+        fs.mkdirs(p.getParent())
+        return bool(fs.createNewFile(p))
+
+    def names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def remove(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)
 
     def get_text(self, path: str) -> str:
         fs, p = self._fs(path)
@@ -83,7 +111,10 @@ class Engine:
         size = chunk_size if chunk_size > 0 else 1000
         over = chunk_over if 0 <= chunk_over < size else 100
         created = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-        self.put(f"{self.root}/{name}/_CONFIG", "\n".join([self.embedder.ident, str(self.embedder.dims), str(size), str(over), created]))
+        try:
+            self.put(f"{self.root}/{name}/_CONFIG", "\n".join([self.embedder.ident, str(self.embedder.dims), str(size), str(over), created]))
+        except WriteConflict:
+            raise ValueError(f"namespace {name!r} exists") from None
         return Namespace(self, name)
 
     def namespace(self, name: str) -> Namespace:
@@ -93,13 +124,10 @@ class Engine:
 
     def drop_namespace(self, name: str) -> None:
         self.namespace(name)
-        fs, p = self._fs(f"{self.root}/{name}")
-        fs.delete(p, True)
+        self.remove(f"{self.root}/{name}")
 
     def list_namespaces(self) -> DataFrame:
-        fs, p = self._fs(self.root)
-        names = sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
-        spaces = [self.namespace(n) for n in names if self.exists(f"{self.root}/{n}/_CONFIG")]
+        spaces = [self.namespace(n) for n in self.names(self.root) if self.exists(f"{self.root}/{n}/_CONFIG")]
         rows = [(n.name, n.embedder_id, n.dims, n.created_at) for n in spaces]
         config = self.spark.createDataFrame(rows, "name string, embedder_id string, dims int, created_at string")
         docs, chunks = self.spark.createDataFrame([], DOCS), self.spark.createDataFrame([], CHUNKS)
@@ -118,60 +146,131 @@ class Namespace:
         if (ident, self.dims) != (engine.embedder.ident, engine.embedder.dims):
             raise ValueError(f"namespace {name!r} is bound to {ident}, not {engine.embedder.ident}")
 
-    def _table(self, table: str, schema: str) -> DataFrame:
-        if not self.engine.exists(f"{self.home}/_CURRENT"):
+    def version(self) -> tuple[int, dict]:
+        """(number, buckets) of the current version; a bucket's entry has its
+        ``path`` and the numbers of ``docs``, ``chunks`` and ``tokens`` in it."""
+        done = [n for n in self.engine.names(f"{self.home}/_versions") if n.endswith(".json")]
+        if not done:
+            return 0, {}
+        return int(done[-1].removesuffix(".json")), json.loads(self.engine.get_text(f"{self.home}/_versions/{done[-1]}"))
+
+    def _table(self, table: str, schema: str, buckets: dict) -> DataFrame:
+        base = f"{self.home}/{table}"
+        full = {"docs": "docs", "chunks": "chunks", "postings": "tokens"}[table]
+        paths = [f"{base}/v={e['path']}/b={b}" for b, e in sorted(buckets.items()) if e[full]]
+        if not paths:
             return self.engine.spark.createDataFrame([], schema)
-        version = self.engine.get_text(f"{self.home}/_CURRENT").strip()
-        return self.engine.spark.read.schema(schema).parquet(f"{self.home}/{version}/{table}")
-
-    def docs(self) -> DataFrame:
-        return self._table("docs", DOCS)
-
-    def chunks(self) -> DataFrame:
-        return self._table("chunks", CHUNKS)
-
-    def _commit(self, docs: DataFrame, chunks: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        docs.write.parquet(f"{self.home}/{version}/docs")
-        chunks.write.parquet(f"{self.home}/{version}/chunks")
-        self.engine.put(f"{self.home}/_CURRENT", version)
+        rows = self.engine.spark.read.schema(f"{schema}, v string, b int").option("basePath", base).parquet(*paths)
+        return rows.drop("v", "b")
+
+    def docs(self, buckets: dict | None = None) -> DataFrame:
+        return self._table("docs", DOCS, self.version()[1] if buckets is None else buckets)
+
+    def chunks(self, buckets: dict | None = None) -> DataFrame:
+        return self._table("chunks", CHUNKS, self.version()[1] if buckets is None else buckets)
+
+    def index(self, buckets: dict | None = None) -> index.TextIndex:
+        buckets = self.version()[1] if buckets is None else buckets
+        rows = self._table("postings", f"{index.POSTINGS}, t int", buckets)
+        return index.TextIndex(rows, sum(e["chunks"] for e in buckets.values()), sum(e["tokens"] for e in buckets.values()))
+
+    def _commit(self, number: int, buckets: dict) -> None:
+        """Makes ``number`` the current version."""
+        home = f"{self.home}/_versions"
+        name = f"{home}/{number:010d}"
+        if not self.engine.claim(f"{name}.claim"):
+            fs, p = self.engine._fs(f"{name}.claim")
+            old = time.time() - fs.getFileStatus(p).getModificationTime() / 1000 > PATIENCE
+            if self.engine.exists(f"{name}.json") or not old:
+                raise WriteConflict(f"version {number} of {self.name!r} is taken")
+        self.engine.put(f"{name}.json", json.dumps(buckets))
+        versions = [n for n in self.engine.names(home) if n.endswith(".json")]
+        used = {e["path"] for n in versions[-2:] for e in json.loads(self.engine.get_text(f"{home}/{n}")).values()}
+        for n in versions[:-2]:
+            stale = {e["path"] for e in json.loads(self.engine.get_text(f"{home}/{n}")).values()}
+            for path in stale - used:
+                for table in TABLES:
+                    self.engine.remove(f"{self.home}/{table}/v={path}")
+            self.engine.remove(f"{home}/{n}")
+            self.engine.remove(f"{home}/{n.removesuffix('.json')}.claim")
+
+    def _replace(self, number: int, buckets: dict, touched: list[int], docs: DataFrame, chunks: DataFrame, postings: DataFrame) -> None:
+        """Commits the rows of the touched buckets, all other buckets as they are.
+        The frames have a bucket column ``b``, chunks their number of ``tokens``."""
+        path = uuid.uuid4().hex
+        home = {table: f"{self.home}/{table}/v={path}" for table in TABLES}
+        docs.repartition("b").write.partitionBy("b").parquet(home["docs"])
+        sizes = {b: {"path": path, "docs": 0, "chunks": 0, "tokens": 0} for b in touched}
+        written = self.engine.spark.read.schema(f"{DOCS}, b int").parquet(home["docs"])
+        for r in written.groupBy("b").agg(F.count("*").alias("n")).collect():  # a row per bucket
+            sizes[r["b"]]["docs"] = r["n"]
+        chunks.repartition("b").write.partitionBy("b").parquet(home["chunks"])
+        written = self.engine.spark.read.schema(f"{CHUNKS}, tokens int, b int").parquet(home["chunks"])
+        for r in written.groupBy("b").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).collect():
+            sizes[r["b"]] |= {"chunks": r["n"], "tokens": r["tokens"]}
+        index.write_postings(postings, home["postings"], by=("b",))
+        kept = {b: e for b, e in buckets.items() if int(b) not in sizes}
+        self._commit(number + 1, kept | {str(b): e for b, e in sizes.items() if e["docs"]})
+
+    def _bucket(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
+
+    def _in(self, buckets: dict, touched: list[int]) -> dict:
+        return {b: e for b, e in buckets.items() if int(b) in touched}
 
     def write(self, documents: DataFrame, order: str | None = None) -> WriteResult:
-        """Upserts ``id, text, attrs``; of equal ids the last by ``order``
-        (else any one) wins. Equal content is skipped."""
-        rows = documents.withColumn("ns", F.lit(self.name))
-        if rows.where(F.coalesce("id", F.lit("")) == "").limit(1).count():
+        """Upserts ``id, text, attrs``; of equal ids the last by ``order`` (else
+        the last row) wins. Attributes are brought to one form first, so that the
+        order of their keys or spaces is no change; equal content is skipped."""
+        rows = documents.withColumns({"ns": F.lit(self.name), "attrs": canonical_json(F.col("attrs"))})
+        if not rows.where(F.coalesce("id", F.lit("")) == "").isEmpty():
             raise ValueError("document with an empty id")
-        rows = upsert.last_of_each(rows, order) if order else rows.dropDuplicates(["id"])
-        stored = self.docs()
-        actions = upsert.classify(stored, rows)
-        staged = f"{self.home}/_staged-{uuid.uuid4().hex}"
-        actions.write.parquet(staged)
-        actions = self.engine.spark.read.parquet(staged)
-        new = actions.where(F.col("action") == "written").select("ns", "id", "text", "attrs", "hash")
-        pieces = new.select("ns", F.col("id").alias("doc_id"), F.posexplode(chunk(F.col("text"), F.lit(self.size), F.lit(self.over))).alias("ord", "text"))
-        pieces = pieces.withColumn("chunk_id", F.xxhash64("ns", "doc_id", "ord"))
-        pieces = embed_column(pieces, "text", self.engine.embedder).select("ns", "doc_id", "ord", "chunk_id", "text", "vec")
-        staged_chunks = f"{staged}-chunks"
-        pieces.write.parquet(staged_chunks)
-        pieces = self.engine.spark.read.schema(CHUNKS).parquet(staged_chunks)
-        counts = {r["action"]: r["n"] for r in actions.groupBy("action").agg(F.count("*").alias("n")).collect()}  # two rows
-        n_chunks = pieces.count()
-        if counts.get("written"):
-            old = self.chunks().join(new.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select(*pieces.columns)
-            self._commit(upsert.merge(stored, new), old.unionByName(pieces))
-        for p in (staged, staged_chunks):
-            fs, path = self.engine._fs(p)
-            fs.delete(path, True)
+        if order is None:
+            rows, order = rows.withColumn("__row", F.monotonically_increasing_id()), "__row"
+        rows = upsert.last_of_each(rows, order)
+        number, buckets = self.version()
+        work = Kept(self.engine.spark)
+        try:
+            rows = work.keep(rows.withColumn("b", self._bucket("id")), "incoming")
+            met = sorted(r["b"] for r in rows.select("b").distinct().collect())  # at most BUCKETS rows
+            stored = self.docs(self._in(buckets, met))
+            actions = work.keep(upsert.classify(stored, rows), "actions")
+            counts = {r["action"]: r["n"] for r in actions.groupBy("action").agg(F.count("*").alias("n")).collect()}  # two rows
+            new = actions.where(F.col("action") == "written").select("ns", "id", "text", "attrs", "hash").withColumn("b", self._bucket("id"))
+            pieces = new.select("ns", F.col("id").alias("doc_id"), "b", F.posexplode(chunk(F.col("text"), F.lit(self.size), F.lit(self.over))).alias("ord", "text"))
+            pieces = pieces.withColumns({"chunk_id": F.xxhash64("ns", "doc_id", "ord"), "w": porter_tokens("text")})
+            pieces = work.keep(embed_column(pieces, "text", self.engine.embedder), "pieces")
+            n_chunks = pieces.count()
+            if counts.get("written"):
+                touched = sorted(r["b"] for r in new.select("b").distinct().collect())
+                self._merge(number, buckets, touched, new, pieces, new.select("id"))
+        finally:
+            work.drop()
         return WriteResult(counts.get("written", 0), counts.get("skipped", 0), n_chunks)
 
+    def _merge(self, number: int, buckets: dict, touched: list[int], new: DataFrame | None, pieces: DataFrame | None, gone: DataFrame) -> None:
+        """A version in which the documents ``gone`` are replaced by the new ones."""
+        at = self._in(buckets, touched)
+        ids = gone.select(F.col("id").alias("doc_id"))
+        docs = self.docs(at).join(gone, "id", "left_anti").select("ns", "id", "text", "attrs", "hash").withColumn("b", self._bucket("id"))
+        chunks = self._table("chunks", f"{CHUNKS}, tokens int", at).join(ids, "doc_id", "left_anti").withColumn("b", self._bucket("doc_id"))
+        postings = self._table("postings", f"{index.POSTINGS}, t int", at).drop("t").join(ids, "doc_id", "left_anti").withColumn("b", self._bucket("doc_id"))
+        if new is not None:
+            docs = docs.unionByName(new)
+            chunks = chunks.unionByName(pieces.select("ns", "doc_id", "ord", "chunk_id", "text", "vec", F.size("w").alias("tokens"), "b"))
+            postings = postings.unionByName(index.postings(pieces, "w").withColumn("b", self._bucket("doc_id")))
+        self._replace(number, buckets, touched, docs, chunks, postings)
+
     def delete(self, ids: list[str]) -> int:
         """Number of documents that existed."""
         gone = self.engine.spark.createDataFrame([(i,) for i in set(ids)], "id string")
-        docs = self.docs()
-        n = docs.join(gone, "id", "left_semi").count()
+        number, buckets = self.version()
+        met = [r["b"] for r in gone.select(self._bucket("id").alias("b")).distinct().collect()]
+        found = self.docs(self._in(buckets, met)).join(gone, "id", "left_semi").select("id")
+        n = found.count()
         if n:
-            self._commit(upsert.delete_ids(docs, gone).select(*docs.columns), upsert.delete_ids(self.chunks(), gone, "doc_id").select(*self.chunks().columns))
+            touched = [r["b"] for r in found.select(self._bucket("id").alias("b")).distinct().collect()]
+            self._merge(number, buckets, touched, None, None, gone)
         return n
 
     def get(self, ident: str) -> dict:
@@ -183,11 +282,13 @@ class Namespace:
     def query(self, text: str, where: str | Filter | None = None, mode: str = "hybrid", top: int = 10, k: int = 60, depth: int = 100) -> DataFrame:
         """``id, score, text, keyword_rank, semantic_rank, attributes``."""
         f = parse_where(where) if isinstance(where, str) else where
-        docs = self.docs()
+        buckets = self.version()[1]
+        docs = self.docs(buckets)
         eligible = docs.where(f.column(F.col("attrs"))).select(F.col("id").alias("doc_id")) if f else None
         vector = [float(x) for x in self.engine.embedder.embed([text])[0]]
         attributes = docs.select(F.col("id").alias("doc_id"), F.when(~F.col("attrs").isin("", "{}"), F.col("attrs")).alias("attributes"))
-        return search.search(self.chunks(), text, vector, mode, top, k, depth, eligible, attributes).orderBy(F.desc("score"), "id")
+        found = search.search(self.chunks(buckets), text, vector, mode, top, k, depth, eligible, attributes, index=self.index(buckets))
+        return found.orderBy(F.desc("score"), "id")
 
     def list(self, where: str | None = None, **page) -> DataFrame:
         return listing.list_documents(self.docs(), self.chunks(), parse_where(where or ""), **page)
@@ -200,8 +301,3 @@ class Namespace:
 
     def count_groups(self, key: str, where: str | None = None) -> int:
         return listing.count_groups(self.docs(), key, parse_where(where or "")).first()["n"]
-
-
-def searchable(docs: DataFrame) -> DataFrame:
-    """Documents that have something to search."""
-    return docs.where(has_text(F.col("text")))

@@ -13,7 +13,7 @@ from lodestar.functions.embed import HashEmbedder, decode_vector, encode_vector,
 from lodestar.functions.text import index_tokens, query_terms, window_chunks
 from lodestar.operators import listing, search, threads
 from lodestar.operators.index import build_index
-from lodestar.plans.engine import Engine, NamespaceNotFound
+from lodestar.plans.engine import Engine, NamespaceNotFound, WriteConflict
 
 CORPUS = [
     ("n1", "pump seven lost pressure again at dawn", {"state": "closed", "hours": 3}),
@@ -178,3 +178,30 @@ def test_index_equals_scan(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(t" in plan and "PushedFilters: [IsNotNull(term)" in plan and "tokens" not in plan
     empty = build_index(chunks.limit(0), f"{tmp_path}/empty")
     assert empty.bm25("scales").count() == 0
+
+
+def test_versions_touch_their_buckets_only(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"), HashEmbedder(8))
+    n = e.create_namespace("v")
+    n.write(frame(spark, [(f"k{i}", f"barge {i}", {"i": i}) for i in range(60)]))
+    number, before = n.version()
+    assert number == 1 and len(before) > 4 and sum(x["docs"] for x in before.values()) == 60
+    # keys in another order and spaces are no change
+    again = spark.createDataFrame([("k1", "barge 1", ' { "i" :1 }'), ("k2", "barge 2", '{"i":2}')], "id string, text string, attrs string")
+    assert n.write(again).skipped == 2 and n.version()[0] == 1
+    twice = spark.createDataFrame([("k1", "first", None), ("k1", "last lighter", None)], "id string, text string, attrs string").coalesce(1)
+    assert n.write(twice).written == 1 and n.get("k1")["text"] == "last lighter"
+    number, after = n.version()
+    assert number == 2 and sum(before[b] != after[b] for b in before) == 1
+    assert [r["id"] for r in n.query("lighters", mode="keyword").collect()] == ["k1"] and n.query("barges", mode="keyword", top=90).count() == 59
+    for k in range(3):
+        n.write(spark.createDataFrame([("k1", f"lighter {k}", None)], "id string, text string, attrs string"))
+    number, now = n.version()
+    kept = {p.name for p in (tmp_path / "db" / "v" / "docs").iterdir() if p.name.startswith("v=")}
+    assert number == 5 and len(kept) == 3 and {f"v={x['path']}" for x in now.values()} <= kept
+    assert len([p for p in (tmp_path / "db" / "v" / "_versions").iterdir() if p.suffix == ".json"]) == 2
+    assert e.claim(f"{n.home}/_versions/{6:010d}.claim")  # another writer is at it
+    with pytest.raises(WriteConflict):
+        n.write(spark.createDataFrame([("k3", "x", None)], "id string, text string, attrs string"))
+    assert n.version()[0] == 5 and n.get("k3")["text"] == "barge 3"
+    assert n.delete([]) == 0 and n.write(frame(spark).limit(0)).written == 0
