@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,7 +77,7 @@ def yaml_string(text: Column) -> Column:
     return F.when(special, quoted).otherwise(flat)
 
 
-def slug(text: str, most: int) -> str:
+def slug(text: Column, most: int) -> Column:
     """Lower-case ASCII letters and digits, hyphens between, at most ``most``."""
-    s = "-".join(re.findall(r"[a-z0-9]+", text.lower()))
-    return s[:most].strip("-")
+    joined = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.regexp_replace(F.substring(joined, 1, most), "-+$", "")

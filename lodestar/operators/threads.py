@@ -7,11 +7,16 @@ document, which holds that text anyway.
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.columns import has_text, trim_unicode
-from lodestar.functions.scalars import first_words, normalize_time, yaml_string
+from lodestar.columns import has_text, once, trim_unicode
+from lodestar.functions.scalars import normalize_time, slug, yaml_string
+from lodestar.functions.summarize import Summarizer, summary_of
 
 
 #: What the readers know of a whole conversation besides its title.
@@ -83,22 +88,74 @@ def earliest_turn(turns: DataFrame) -> DataFrame:
 
 
 def card_stem(created: Column, source: Column, title: Column, ident: Column) -> Column:
-    """``YYYY-MM-DD-HHMMSS-source-slug`` from a timestamp."""
-    slug = lambda c, n: F.regexp_replace(F.substring(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, n), "-+$", "")
-    name = slug(F.coalesce(title, F.lit("")), 60)
-    return F.concat_ws("-", F.date_format(created, "yyyy-MM-dd-HHmmss"), source, F.when(name != "", name).otherwise(slug(ident, 24)))
-
-
-def cards(turns: DataFrame, titles: DataFrame, summary_words: int = 60) -> DataFrame:
-    """``path, markdown``: a card per conversation with front matter, title and
-    the first words of its first user turn as summary."""
-    base = titles.join(first_user_turn(turns), ["source", "session"], "left").join(earliest_turn(turns), ["source", "session"], "left")
-    title = F.coalesce(F.when(has_text(F.col("title")), F.col("title")), F.col("session"))
-    line = lambda k, v: F.concat(F.lit(f"{k}: "), v, F.lit("\n"))
+    """``YYYY-MM-DD-HHMMSS-source-slug`` from a timestamp (now where null)."""
+    return F.concat_ws("-", card_prefix(created, source), F.coalesce(F.nullif(slug(title, 60), F.lit("")), slug(ident, 24)))
+
+
+def card_prefix(created: Column, source: Column) -> Column:
+    """What the cards of one conversation share, whatever its title."""
+    return F.concat_ws("-", F.date_format(F.coalesce(created, F.current_timestamp()), "yyyy-MM-dd-HHmmss"), source)
+
+
+def cards(turns: DataFrame, titles: DataFrame | None = None, service: Summarizer | None = None) -> DataFrame:
+    """``path, prefix, markdown, failed``: a card per conversation with front
+    matter, title, a summary and a pointer to its document. The summary is the
+    service's; without one, or where it fails, the first words of the first user
+    turn. A card is dated by its conversation, else by its earliest turn."""
+    keys = ["source", "session"]
+    whole = conversation_documents(turns, titles).select("id", F.col("text").alias("body"), "attrs", "messages")
+    base = turns.select(*keys).distinct().withColumn("id", F.concat_ws(":", *keys)).join(whole, "id")
+    base = base.join(first_user_turn(turns), keys, "left").join(earliest_turn(turns), keys, "left")
+    known = {n: F.get_json_object("attrs", f"$.{n}") for n in ("title", "created", "project", "cwd", "branch")}
+    base = base.withColumns({f"k_{n}": c for n, c in known.items()})
+    began = F.coalesce(F.try_to_timestamp(F.col("k_created")), "earliest")
+
+    @F.pandas_udf("summary string, failed boolean")
+    def summary(title: pd.Series, body: pd.Series, first: pd.Series) -> pd.DataFrame:
+        got = [summary_of(service, t or "", b or "", f or "") for t, b, f in zip(title, body, first)]
+        return pd.DataFrame(got, columns=["summary", "failed"])
+
+    title = F.coalesce("k_title", "session")
+    base = once(base, {"s": summary(title, F.col("body"), F.col("first_user"))})
+    line = lambda k, v: F.coalesce(F.concat(F.lit(f"{k}: "), v, F.lit("\n")), F.lit(""))
     text = F.concat(
         F.lit("---\n"), line("title", yaml_string(title)), line("source", F.col("source")), line("session", yaml_string(F.col("session"))),
-        F.coalesce(line("created", F.date_format("earliest", "yyyy-MM-dd'T'HH:mm:ss'Z'")), F.lit("")), F.lit("---\n\n# "), title, F.lit("\n\n"),
-        F.coalesce(first_words(F.col("first_user"), summary_words), F.lit("")), F.lit("\n"),
+        line("created", F.date_format(began, "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        *[line(n, yaml_string(F.col(f"k_{n}"))) for n in ("project", "cwd", "branch")],
+        line("messages", F.col("messages").cast("string")), F.lit("---\n\n# "), title, F.lit("\n\n"), F.col("s.summary"),
+        F.lit("\n\nDocument: "), F.col("id"), F.lit("\n"),
     )
-    stem = card_stem(F.col("earliest"), F.col("source"), F.col("title"), F.col("session"))
-    return base.select(F.concat(stem, F.lit(".md")).alias("path"), text.alias("markdown"))
+    stem = card_stem(began, F.col("source"), F.col("k_title"), F.col("session"))
+    prefix = card_prefix(began, F.col("source"))
+    return base.select(F.concat(stem, F.lit(".md")).alias("path"), F.concat(prefix, F.lit("-")).alias("prefix"), text.alias("markdown"), "s.failed")
+
+
+def write_cards(rows: DataFrame, folder: str) -> dict[str, int]:
+    """Writes every card to a file in a folder that all machines share, where
+    the conversation's card is renamed with its title: cards of the same moment,
+    source and session under another name are removed. Cards are written where
+    they are made; only two sums come back."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(folder, exist_ok=True)
+        there: dict[str, list[str]] = {}  # by date and time, which begin a name
+        for old in os.listdir(folder):
+            if old.endswith(".md") and not old.startswith("."):
+                there.setdefault(old[:17], []).append(old)
+        for b in batches:
+            for path, prefix, text in zip(b["path"], b["prefix"], b["markdown"]):
+                session = next((x for x in text.split("\n") if x.startswith("session: ")), "")
+                for old in there.get(path[:17], []):
+                    if old.startswith(prefix) and old != path and os.path.exists(os.path.join(folder, old)):
+                        with open(os.path.join(folder, old), encoding="utf-8") as f:
+                            same = session in f.read().split("\n---\n", 1)[0].split("\n")
+                        if same:
+                            os.remove(os.path.join(folder, old))
+                aside = os.path.join(folder, f".{path}.tmp")
+                with open(aside, "w", encoding="utf-8") as f:
+                    f.write(text)
+                os.replace(aside, os.path.join(folder, path))
+            yield pd.DataFrame({"written": [len(b)], "failed": [int(b["failed"].sum())]})
+
+    done = rows.mapInPandas(write, "written bigint, failed bigint").agg(F.sum("written").alias("w"), F.sum("failed").alias("f")).first()
+    return {"written": done["w"] or 0, "failed": done["f"] or 0}

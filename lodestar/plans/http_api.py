@@ -2,7 +2,8 @@
 
 ``GET /health``, ``GET /v1/namespaces``, and ``POST /v1/namespaces/<name>/``
 ``write``, ``query`` or ``delete`` with a JSON body. A write creates a missing
-namespace. Unknown namespaces are 404, bad input 400, the rest 500.
+namespace. Unknown namespaces are 404, bad input 400, a write that another one
+overtook 409, the rest 500.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import json
 import re
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
-from lodestar.plans.engine import Engine, NamespaceNotFound
+from lodestar.plans.engine import Engine, NamespaceNotFound, WriteConflict
 
 LARGEST_BODY = 32 * 1024 * 1024
 DOCUMENTS = "id string, text string, attrs string, pos bigint"
@@ -63,6 +64,8 @@ def handle(engine: Engine, method: str, path: str, body: dict) -> tuple[int, obj
         return 200, {"results": results(found)}
     except NamespaceNotFound:
         return 404, {"error": f"namespace {name!r} not found"}
+    except WriteConflict as e:
+        return 409, {"error": str(e)}
     except (ValueError, TypeError) as e:
         return 400, {"error": str(e)}
     except Exception as e:

@@ -23,7 +23,7 @@ ENTRY = "path string, name string, size bigint, modified timestamp, content bina
 def entries(spark: SparkSession, path: str) -> DataFrame:
     """``path, name, size, modified, content`` of every file below ``path``;
     entries of a zip archive have ``archive.zip!entry`` as path. Unreadable
-    archive entries are left out."""
+    archives and entries are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -33,7 +33,11 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
                 if not p.lower().endswith(".zip"):
                     yield pd.DataFrame({"path": [p], "name": [os.path.basename(p)], "size": [n], "modified": [m], "content": [c]})
                     continue
-                with zipfile.ZipFile(io.BytesIO(c)) as z:
+                try:
+                    archive = zipfile.ZipFile(io.BytesIO(c))
+                except zipfile.BadZipFile:
+                    continue
+                with archive as z:
                     for i in z.infolist():
                         if i.is_dir() or i.file_size > LARGEST:
                             continue

@@ -146,6 +146,7 @@ def test_threads_and_scalars(spark):
     titles = spark.createDataFrame([("s", "x", "Café: plans")], "source string, session string, title string")
     card = threads.cards(t, titles).first()
     assert card["path"] == "2025-01-01-000000-s-caf-plans.md" and 'title: "Café: plans"' in card["markdown"]
+    assert "\n\nhi\n\nDocument: s:x\n" in card["markdown"] and "messages: 4" in card["markdown"] and not card["failed"]
     one = spark.createDataFrame([("2025-01-01 10:00:00",), ("soon",)], "s string").select(scalars.normalize_time(F.col("s")).alias("x"), scalars.truncate(F.col("s"), 3).alias("y")).collect()
     assert [r["x"] for r in one] == ["2025-01-01T10:00:00Z", "soon"] and one[1]["y"] == "so…"
     assert spark.range(1).select(scalars.epoch_time(F.lit(1650001234.25))).first()[0] == "2022-04-15T05:40:34Z"
