@@ -26,6 +26,8 @@ Defined results:
 from __future__ import annotations
 
 import base64
+import os
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -41,23 +43,51 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def encoding(vocabulary: str, pattern: str = PATTERN):
+#: A vocabulary file is at most so large; its bytes are broadcast.
+LARGEST_VOCABULARY = 64 << 20
+#: Characters of a text that are encoded together.
+PIECE = 1 << 20
+#: A place where no token of the pattern reaches over: before a line end that
+#: follows something else than white space.
+_SEAM = re.compile(r"(?<=\S)(?=\n)")
+
+
+def encoding(vocabulary: str | bytes, pattern: str = PATTERN):
+    """The encoding of a vocabulary file, by its path or its bytes."""
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if isinstance(vocabulary, str):
+        with open(vocabulary, "rb") as f:
+            vocabulary = f.read()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def pieces(text: str, most: int = PIECE) -> Iterator[str]:
+    """A long text in pieces that give the same tokens as the whole; a stretch
+    without a seam stays in one piece."""
+    start = 0
+    while len(text) - start > most:
+        seam = _SEAM.search(text, start + most)
+        if not seam:
+            break
+        yield text[start : seam.start()]
+        start = seam.start()
+    yield text[start:]
+
+
 def count_tokens(df: DataFrame, ident: str, text: str, source: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``id, src, tokens``; long texts are counted in pieces cut at line ends,
-    which the pattern separates anyway up to white space runs."""
+    """``id, src, tokens``. ``vocabulary`` is read on the driver only."""
     kind = df.schema[ident].dataType.simpleString()
+    if os.path.getsize(vocabulary) > LARGEST_VOCABULARY:
+        raise ValueError(f"{vocabulary} is no vocabulary: over {LARGEST_VOCABULARY} bytes")
+    with open(vocabulary, "rb") as f:
+        shared = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(vocabulary)
+        enc = encoding(shared.value)
         for b in batches:
-            sizes = [len(enc.encode_ordinary(t)) if t else 0 for t in b["t"]]
+            sizes = [sum(len(enc.encode_ordinary(p)) for p in pieces(t)) if t else 0 for t in b["t"]]
             yield pd.DataFrame({"id": b["id"], "src": b["src"], "tokens": sizes})
 
     rows = df.select(F.col(ident).alias("id"), clean_source(F.col(source)).alias("src"), F.col(text).alias("t"))

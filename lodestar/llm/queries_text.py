@@ -10,7 +10,7 @@ from lodestar.llm.mixing import count_tokens, draw, mix_report
 from lodestar.llm.near_duplicates import all_pairs, classes, near_duplicates
 from lodestar.llm.sources import clean_source
 from lodestar.llm.toxicity import labelled_sample, score_toxicity, train
-from lodestar.session import cut
+from lodestar.session import Kept
 from lodestar.tables import load
 
 # TESTDATA.md: three consecutive words, similarity 0.6 or more
@@ -49,7 +49,7 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    return cut(count_tokens(load(spark, d, "documents"), "doc_id", "text", "source"))
+    return Kept(spark).keep(count_tokens(load(spark, d, "documents"), "doc_id", "text", "source"), "tokens")
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:

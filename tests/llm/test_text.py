@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.llm import near_duplicates as nd
 from lodestar.llm import toxicity as tx
 from lodestar.llm.leakage import find_leaks
-from lodestar.llm.mixing import VOCABULARY, count_tokens, draw, encoding, mix_report
+from lodestar.llm.mixing import VOCABULARY, count_tokens, draw, encoding, mix_report, pieces
 from lodestar.llm.near_duplicates import all_pairs, classes, depth_for, near_duplicates
 from lodestar.llm.sources import clean_source
 from lodestar.llm.words import word_spans, words
@@ -143,6 +143,11 @@ def test_token_counts_and_sources(spark):
     got = {r["id"]: (r["src"], r["tokens"]) for r in count_tokens(df, "id", "text", "source").collect()}
     assert got == {1: ("claude-code", 2), 2: ("unknown", 0), 3: ("chatgpt", 0)}
     enc = encoding(VOCABULARY)
+    odd = "word \n\n  two\n\tthree  \n" * 40 + "x" * 300 + "\n" + "日本\r\n語 " * 50
+    for most in (1, 7, 100, 10_000):
+        parts = list(pieces(odd, most))
+        assert "".join(parts) == odd and (most > 5000 or len(parts) > 3)
+        assert [t for p in parts for t in enc.encode_ordinary(p)] == enc.encode_ordinary(odd)
     assert enc.decode(enc.encode_ordinary("Grüße, 日本 🎾")) == "Grüße, 日本 🎾"
     assert df.select(clean_source(df["source"]).alias("s")).where("s = 'unknown'").count() == 1
 
