@@ -14,11 +14,11 @@ import io
 import os
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.columns import has_text, trim_unicode
+from lodestar.columns import has_text, running_total, trim_unicode
 from lodestar.functions.scalars import epoch_time, first_non_empty, flexible_time, normalize_time, one_line, truncate
 from lodestar.sources.files import array_elements, is_zip, names_in, open_in, payload
 
@@ -258,6 +258,14 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(split, "file_path string, line_no int, value string").where(F.trim("value") != "")
 
 
+def _positions(lines: DataFrame) -> DataFrame:
+    """Adds ``pos``, the number of lines before in the file; a file that holds a
+    third of all lines is counted in buckets of lines."""
+    rows = lines.withColumn("__bucket", F.floor(F.col("line_no") / 4096))
+    rows = running_total(rows, ["file_path"], "__bucket", [F.col("line_no")], F.lit(1), "pos")
+    return rows.withColumn("pos", F.col("pos").cast("int")).drop("__bucket")
+
+
 def block_text(content: Column) -> Column:
     """A JSON string, or the text and thinking blocks of a JSON array."""
     v = F.try_parse_json(content)
@@ -288,10 +296,9 @@ def claude_code_turns(lines: DataFrame) -> DataFrame:
     kept = lines.where(
         ~F.coalesce(F.col("isMeta"), F.lit(False)) & (F.coalesce("aiTitle", F.lit("")) == "") & (F.col("message").isNotNull() | (F.col("type") == "summary")) & has_text(text)
     )
-    rows = kept.join(heads, "file_path")
-    pos = F.row_number().over(Window.partitionBy("file_path").orderBy("line_no")) - 1
+    rows = _positions(kept).join(heads, "file_path")
     return rows.select(
-        F.lit("claude-code").alias("source"), F.coalesce("sid", base).alias("session"), F.coalesce("ai", "sum", F.lit("")).alias("title"), pos.alias("pos"),
+        F.lit("claude-code").alias("source"), F.coalesce("sid", base).alias("session"), F.coalesce("ai", "sum", F.lit("")).alias("title"), F.col("pos"),
         first_non_empty(F.coalesce("uuid", F.lit("")), F.concat(F.lit("line"), F.col("line_no").cast("string"))).alias("turn_id"),
         role.alias("role"), text.alias("text"), normalize_time(flexible_time(F.coalesce("timestamp", F.lit("")))).alias("created"),
         *_whole(started=normalize_time(flexible_time(F.col("began"))), project=project, cwd=F.col("folder"), branch=F.col("git")),
@@ -318,10 +325,9 @@ def read_codex(spark: SparkSession, path: str) -> DataFrame:
         F.min_by(p["message"], F.when(said & (p["type"] == "user_message"), F.col("line_no"))).alias("first"),
     )
     base = F.regexp_replace(F.regexp_extract("file_path", r"([^/\\]*)$", 1), r"(?i)\.jsonl$", "")
-    pos = F.row_number().over(Window.partitionBy("file_path").orderBy("line_no")) - 1
-    return lines.where(said).join(heads, "file_path").select(
+    return _positions(lines.where(said)).join(heads, "file_path").select(
         F.lit("codex").alias("source"), F.coalesce("own.id", base).alias("session"), F.coalesce(truncate(one_line(F.col("first")), 72), F.lit("")).alias("title"),
-        pos.alias("pos"), F.concat(F.lit("line"), F.col("line_no").cast("string")).alias("turn_id"),
+        F.col("pos"), F.concat(F.lit("line"), F.col("line_no").cast("string")).alias("turn_id"),
         F.when(p["type"] == "user_message", "user").otherwise("assistant").alias("role"), trim_unicode(p["message"]).alias("text"),
         normalize_time(F.col("timestamp")).alias("created"),
         *_whole(
