@@ -44,30 +44,38 @@ def bucket_of(value: Column, per_octave: int = 64) -> Column:
 def running_total(
     df: DataFrame, keys: list[str], bucket: str, order: list[Column], amount: Column, out: str
 ) -> DataFrame:
-    """Sum of ``amount`` over the rows *before* each row within ``keys``.
+    """Sum of ``amount`` over the rows *before* each row within ``keys``."""
+    return running(df, keys, bucket, order, {out: amount})
 
-    Two levels, so that a hot key never lands in one task: totals per
-    (keys, bucket) are prefix-summed, then each bucket is ordered on its own.
-    ``bucket`` must not decrease along ``order``.
+
+def running(
+    df: DataFrame, keys: list[str], bucket: str, order: list[Column], amounts: dict[str, Column], peak: bool = False
+) -> DataFrame:
+    """Sums over the rows before each row within ``keys``; with ``peak`` the
+    greatest value up to and including each row instead.
+
+    Two levels, so that a hot key never lands in one task: values per
+    (keys, bucket) are carried over the buckets, then each bucket is ordered on its
+    own. ``bucket`` must not decrease along ``order``.
     """
-    per = df.groupBy(*keys, bucket).agg(F.sum(amount).alias("__amt"))
+    fold = F.max if peak else F.sum
+    per = df.groupBy(*keys, bucket).agg(*[fold(a).alias(f"__amt{i}") for i, a in enumerate(amounts.values())])
     upto = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(
         *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
         F.col(bucket).alias("__b"),
-        F.coalesce(F.sum("__amt").over(upto), F.lit(0)).alias("__base"),
+        *[fold(f"__amt{i}").over(upto).alias(f"__base{i}") for i in range(len(amounts))],
     )
     on = F.col("__b").eqNullSafe(F.col(bucket))
     for i, k in enumerate(keys):
         on = on & F.col(f"__k{i}").eqNullSafe(F.col(k))
-    inner = (
-        Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        df.join(per, on)
-        .withColumn(out, F.col("__base") + F.coalesce(F.sum(amount).over(inner), F.lit(0)))
-        .drop("__b", "__base", *[f"__k{i}" for i in range(len(keys))])
-    )
+    inner = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if peak else -1)
+    out = {}
+    for i, (name, amount) in enumerate(amounts.items()):
+        base, here = F.col(f"__base{i}"), fold(amount).over(inner)
+        out[name] = F.greatest(base, here) if peak else F.coalesce(base, F.lit(0)) + F.coalesce(here, F.lit(0))
+    helpers = ["__b", *[f"__base{i}" for i in range(len(amounts))], *[f"__k{i}" for i in range(len(keys))]]
+    return df.join(per, on).withColumns(out).drop(*helpers)
 
 
 def has_text(c: Column) -> Column:
