@@ -39,7 +39,7 @@ def _conversations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     verdicts = a.withColumn("source", F.lit("chatgpt")).select(*cols).unionByName(
         b.withColumn("source", F.lit("claude-code")).select(*cols)
     )
-    cols = ["source", "conv_key", "turn_index", "role", "text"]
+    cols = ["source", "conv_key", "turn_index", "role", "text", "t_ms"]
     turns = at.withColumn("source", F.lit("chatgpt")).select(*cols).unionByName(
         bt.withColumn("source", F.lit("claude-code")).select(*cols)
     )

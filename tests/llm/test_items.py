@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestar.llm.conversations import judge_graph, judge_sessions, rebuild_graphs, rebuild_sessions, solve_offset
+from lodestar.llm.conversations import judge_graph, judge_sessions, rebuild_graphs, rebuild_sessions, session_offsets, solve_offset
 from lodestar.llm import neighbours as nb
 from lodestar.llm.neighbours import neighbours, quantise, tile_top_k
 from lodestar.llm.ranking import Score, borda_rank
@@ -138,6 +138,39 @@ def test_sessions(spark):
     assert judge_sessions(df.limit(0)).count() == 0 and rebuild_sessions(df.limit(0))[1].count() == 0
 
 
+def test_offsets_of_sessions(spark):
+    """Running sums against the solver of single conversations."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for k in range(60):
+        lows = [float(rng.randrange(-400, 400)) for _ in range(rng.randrange(6))]
+        highs = [float(rng.randrange(-400, 400)) for _ in range(rng.randrange(6))]
+        rows += [(f"s{k}", "low", v) for v in lows] + [(f"s{k}", "high", v) for v in highs]
+        if lows or highs:
+            want[f"s{k}"] = solve_offset(lows, highs)
+    got = {r["conv_key"]: (r["offset_ms"], r["clocks_ok"]) for r in session_offsets(spark.createDataFrame(rows, "conv_key string, kind string, v double")).collect()}
+    assert got.keys() == want.keys() and sum(not ok for _, ok in want.values()) > 10
+    for k, (offset, ok) in want.items():
+        assert got[k][1] == ok and abs(got[k][0] - offset) <= 0.002, k
+
+
+def test_subagents_are_merged_by_corrected_time(spark):
+    """The user's clock is an hour ahead; a subagent's lines, written later, were
+    said before the second question."""
+    at = lambda m, h=0: f"2024-05-06T{10 + h}:{m:02d}:00Z"
+    rows = [
+        line(1, "m", 1, "user", "q", stamp=at(0, 1)), line(2, "m", 2, "assistant", "a", stamp=at(9)), line(3, "m", 3, "user", "q2", stamp=at(10, 1)), line(4, "m", 4, "assistant", "a2", stamp=at(20)),
+        line(5, "m", 5, "assistant", "s1", side=True, stamp=at(3)), line(6, "m", 6, "assistant", "s2", side=True), line(7, "m", 7, "assistant", "s3", side=True, stamp=at(15)),
+    ]
+    verdicts, turns = rebuild_sessions(spark.createDataFrame(rows, LINES))
+    (v,) = verdicts.collect()
+    # the first answer asks for at most -51 minutes, the second question for at least -61
+    assert v["reason"] == "" and v["clocks_ok"] and v["offset_ms"] == -51 * 60_000
+    got = [(r["text"], r["role"], r["t_ms"]) for r in turns.orderBy("turn_index").collect()]
+    assert [t for t, _, _ in got] == ["s1", "s2", "q", "a", "s3", "q2", "a2"] and got[1][2] is None
+    assert {r for t, r, _ in got if t.startswith("s")} == {"subagent"}
+
+
 def test_graph_frames(spark):
     schema = (
         "rec_id bigint, conversation_id string, id string, device_id string, exported_at timestamp, mapping map<string, struct<message: struct<id: string, "
