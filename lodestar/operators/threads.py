@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.columns import has_text, once, running_total, trim_unicode
+from lodestar.columns import before, has_text, once, running_total, trim_unicode
 from lodestar.functions.scalars import normalize_time, slug, yaml_string
 from lodestar.functions.summarize import Summarizer, summary_of
 
@@ -73,19 +73,13 @@ def merged_runs(turns: DataFrame) -> DataFrame:
     """``source, session, run, role, text``: consecutive turns of one role
     joined by a blank line; blank turns are left out.
 
-    Turns are counted in buckets of positions and meet their predecessor by their
-    number, so a session that holds a third of all rows spreads over many tasks."""
+    Turns meet their predecessor and are counted in buckets of positions, so a session that holds a third of all rows spreads over many tasks."""
     keys = ["source", "session"]
     rows = turns.where(has_text(F.col("text"))).select(*keys, "pos", "role", trim_unicode(F.col("text")).alias("t"))
     rows = rows.withColumn("b", F.floor(F.col("pos") / POSITIONS))
-    rows = running_total(rows, keys, "b", [F.col("pos")], F.lit(1), "n")
-    # who spoke before: each turn under its own number and under the next
-    said = rows.select(*keys, "n", F.lit(True).alias("own"), F.struct("role", "pos", "b", "t").alias("x"))
-    none = F.lit(None).cast(said.schema["x"].dataType)
-    before = rows.select(*keys, (F.col("n") + 1).alias("n"), F.lit(False).alias("own"), none.alias("x"), F.col("role").alias("last"))
-    both = said.withColumn("last", F.lit(None).cast("string")).unionByName(before)
-    met = both.groupBy(*keys, "n").agg(F.max_by("x", "own").alias("x"), F.max("last").alias("last"), F.max("own").alias("own")).where("own")
-    rows = met.select(*keys, "x.*", (~F.col("last").eqNullSafe(F.col("x.role"))).cast("int").alias("new"))
+    rows = before(rows, keys, "b", [F.col("pos")], ["role"], "last")
+    again = F.col("last").isNotNull() & F.col("last.role").eqNullSafe(F.col("role"))
+    rows = rows.withColumn("new", (~again).cast("int")).drop("last")
     rows = running_total(rows, keys, "b", [F.col("pos")], F.col("new"), "run").withColumn("run", (F.col("run") + F.col("new")).cast("bigint"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "\n\n")
     return rows.groupBy(*keys, "run").agg(F.min("role").alias("role"), text.alias("text"))
