@@ -80,6 +80,25 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(docs, "text", "size", "overlap").select("ns", "id", "ord", "piece", "piece_bytes", "n_pieces")
 
 
+def p3_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Per document: whether all pieces keep to the limit, stand in the text, lose
+    nothing but white space between them and overlap by no more than asked."""
+    size, over = F.coalesce("size", F.lit(1000)), F.coalesce("overlap", F.lit(0))
+    docs = load(spark, d, "docs").select("ns", "id", "text").join(_limits(spark, d), "ns", "left")
+    rows = split_oversized(docs, "text", "size", "overlap")
+    squeezed = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    bare = F.length(squeezed(F.col("text")))
+    per = rows.groupBy("ns", "id").agg(
+        F.max("piece_bytes").alias("most"), F.bool_and(F.instr("text", F.col("piece")) > 0).alias("inside"), F.count("*").alias("n"),
+        F.sum(F.length(squeezed(F.col("piece")))).alias("letters"), F.max(bare).alias("bare"), F.max(size).alias("size"), F.max(over).alias("over"),
+    )
+    return per.select(
+        "ns", "id", (F.col("most") <= F.col("size")).alias("within"), "inside",
+        F.col("letters").between(F.col("bare"), F.col("bare") + (F.col("n") - 1) * F.col("over")).alias("covered"),
+        (F.col("n") > 1).alias("split"),
+    )
+
+
 def p4_similar(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar other chunks of every usable chunk."""
     return neighbours(load(spark, d, "chunks"), "id", "vec", k=10, dims=64)
@@ -95,7 +114,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "other").alias("chunk_a"), F.greatest("id", "other").alias("chunk_b")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_ranking, p1_found, p2_found, p2_turns, p2_clocks, p3_found, p3_pieces, p4_found, p4_neighbours)}
+QUERIES = {f.__name__: f for f in (p1_ranking, p1_found, p2_found, p2_turns, p2_clocks, p3_found, p3_pieces, p3_limits, p4_found, p4_neighbours)}
 
 _P1 = """WITH r AS (SELECT query_id, id, arg_max({'bm25': bm25, 'cosine': cosine, 'score': score}, (logged_at, bm25, cosine, score)) AS s
         FROM search_results GROUP BY ALL),
@@ -116,6 +135,8 @@ ORACLE = {
             CAST(ra AS INTEGER) AS rank_bm25, CAST(rb AS INTEGER) AS rank_cosine, CAST(rc AS INTEGER) AS rank_score FROM p""",
     "p3_found": r"""SELECT c.id AS chunk_id FROM chunks c JOIN ns_config n ON c.ns = n.name
         WHERE octet_length(encode(regexp_replace(c.text, '^\s+|\s+$', '', 'g'))) > n.chunk_size""",
+    "p3_limits": r"""SELECT d.ns, d.id, true AS within, true AS inside, true AS covered, octet_length(encode(regexp_replace(d.text, '^\s+|\s+$', '', 'g'))) > coalesce(n.chunk_size, 1000) AS split
+        FROM docs d LEFT JOIN ns_config n ON d.ns = n.name WHERE regexp_matches(d.text, '\S')""",
     "p4_found": _P4 + """ SELECT a.id AS chunk_a, b.id AS chunk_b FROM u a JOIN u b ON a.id < b.id
         WHERE list_cosine_similarity(a.v, b.v) >= 0.95""",
     "p4_neighbours": _P4 + """, s AS (SELECT a.id, b.id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS c FROM u a JOIN u b ON a.id <> b.id),

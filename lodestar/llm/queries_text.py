@@ -107,9 +107,37 @@ ORACLE = {
         dg AS (SELECT doc_id, hash(array_to_string(w[k:k+9], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS k FROM d)),
         ig AS (SELECT item_id, hash(array_to_string(w[k:k+9], ' ')) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS k FROM i))
         SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    "p8_items": rf"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        i AS (SELECT item_id, {_WORDS} AS w, {_WORDS.replace("text", "answer")} AS a FROM eval_items),
+        dg AS (SELECT doc_id, k, hash(array_to_string(w[k:k+9], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS k FROM d)),
+        ig AS (SELECT item_id, hash(array_to_string(w[k:k+9], ' ')) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS k FROM i)),
+        sizes AS (SELECT DISTINCT len(a) AS n FROM i WHERE len(a) >= 3),
+        da AS (SELECT doc_id, n, k, hash(array_to_string(w[k:k+n-1], ' ')) AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)),
+        hits AS (SELECT DISTINCT doc_id, item_id, 'text' AS kind, k, 10 AS n FROM dg JOIN ig USING (g)
+            UNION ALL SELECT doc_id, item_id, 'answer', k, da.n FROM da JOIN i ON da.n = len(a) AND da.g = hash(array_to_string(a, ' '))),
+        cut AS (SELECT *, CASE WHEN k <= lag(k + n) OVER r THEN 0 ELSE 1 END AS new FROM hits WINDOW r AS (PARTITION BY doc_id, item_id, kind ORDER BY k)),
+        runs AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id, kind ORDER BY k) AS run FROM cut),
+        found AS (SELECT doc_id, item_id, kind, max(k + n) - min(k) AS words FROM runs GROUP BY doc_id, item_id, kind, run)
+        SELECT item_id, kind, count(DISTINCT doc_id) AS n_docs, CAST(max(words) AS INTEGER) AS longest FROM found GROUP BY item_id, kind""",
     "p7_found": rf"""WITH d AS (SELECT id, {_WORDS} AS w FROM docs),
         s AS (SELECT DISTINCT id, hash(array_to_string(w[k:k+2], ' ')) AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS k FROM d)),
         n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
         c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
         SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.6 * (x.n + y.n - c)""",
 }
+
+
+def _classes_sql(table: str) -> str:
+    return rf"""WITH RECURSIVE d AS (SELECT id, {_WORDS} AS w FROM {table}),
+        s AS (SELECT DISTINCT id, hash(array_to_string(w[k:k+2], ' ')) AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS k FROM d)),
+        m AS (SELECT id, min(id) OVER (PARTITION BY list_g) AS rep FROM (SELECT id, list(g ORDER BY g) AS list_g FROM s GROUP BY id)),
+        h AS (SELECT s.* FROM s JOIN m USING (id) WHERE id = rep), n AS (SELECT id, count(*) AS n FROM h GROUP BY id),
+        c AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM h a JOIN h b ON a.g = b.g AND a.id <> b.id GROUP BY ALL),
+        l AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c >= 0.6 * (x.n + y.n - c)),
+        r(id, c) AS (SELECT a, a FROM l UNION SELECT r.id, l.b FROM r JOIN l ON r.c = l.a),
+        k AS (SELECT id, min(c) AS class_id FROM r GROUP BY id), g AS (SELECT a AS id, count(*) AS n_links FROM l GROUP BY a)
+        SELECT m.id, coalesce(k.class_id, m.rep) AS class_id, coalesce(g.n_links, 0) AS n_links FROM m LEFT JOIN k ON k.id = m.rep LEFT JOIN g ON g.id = m.rep"""
+
+
+ORACLE["p7_classes"] = _classes_sql("docs")
+ORACLE["p7_chunk_classes"] = _classes_sql("chunks")
