@@ -54,6 +54,32 @@ def p5_part_objects(spark: SparkSession, d: str) -> DataFrame:
     return got["part"].select("parent_sk", *[c for c in ("content_type", "asset_pointer", "text") if c in got["part"].columns])
 
 
+def _child(spark: SparkSession, d: str, name: str, column: str) -> DataFrame:
+    """A child table of the unfolded part objects: parent, ordinal and a column."""
+    got = unfold_json(_flat(spark, d)["parts"], "part", "part").get(name)
+    if got is None or column not in got.columns:
+        return spark.createDataFrame([], f"parent_sk string, ord int, {column} string")
+    return got.select("parent_sk", F.col("ord").cast("int").alias("ord"), column)
+
+
+def p5_part_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Array elements two levels below a message, linked by key and ordinal."""
+    return _child(spark, d, "part.frames_asset_pointers", "asset_pointer")
+
+
+def p5_part_refs(spark: SparkSession, d: str) -> DataFrame:
+    return _child(spark, d, "part.refs", "id")
+
+
+def p5_places(spark: SparkSession, d: str) -> DataFrame:
+    """References per scheme, with and without repeated exports: how the found
+    files divide."""
+    files = chat_files(load(spark, d, "chatgpt_convs"))
+    return files.groupBy(F.coalesce(F.nullif("scheme", F.lit("")), F.lit("none")).alias("scheme")).agg(
+        F.count("*").alias("n"), F.count_distinct("file_id").alias("n_files")
+    )
+
+
 def stamps(spark: SparkSession, d: str) -> DataFrame:
     """Every stamp of the three sources with its device's zone."""
     devices = load(spark, d, "devices").groupBy("device_id").agg(F.min("tz_name").alias("tz"))
@@ -108,12 +134,15 @@ def p6_readings(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p5_found, p5_conversations, p5_nodes, p5_messages, p5_parts, p5_metadata, p5_children, p5_part_objects,
+        p5_found, p5_conversations, p5_nodes, p5_messages, p5_parts, p5_metadata, p5_children, p5_part_objects, p5_part_frames,
+        p5_part_refs, p5_places,
         p6_found, p6_readings,
     )
 }
 
 _NODE = """WITH n AS (SELECT rec_id, unnest(map_entries(mapping)) AS e FROM chatgpt_convs)"""
+_PARTS = _NODE + """, v AS (SELECT rec_id || '/mapping/' || e.key AS m, e.value.message.content.parts AS parts, unnest(range(len(e.value.message.content.parts))) AS i FROM n),
+    p AS (SELECT m || '/message_content_parts/' || i AS sk, parts[i + 1] AS part FROM v WHERE parts[i + 1] LIKE '{%')"""
 
 ORACLE = {
     "p5_conversations": "SELECT CAST(rec_id AS VARCHAR) AS sk, rec_id, conversation_id, id, title, create_time, device_id FROM chatgpt_convs",
@@ -134,6 +163,17 @@ ORACLE = {
             coalesce(map_values(e.value.message.metadata), []))) AS j FROM n),
         s AS (SELECT rec_id, node_id, unnest(regexp_extract_all(j, '"(?:[A-Za-z][A-Za-z0-9+.-]*://)?file-[A-Za-z0-9]{20}"')) AS r FROM v)
         SELECT DISTINCT rec_id, node_id, regexp_extract(r, '(file-[A-Za-z0-9]{20})"$', 1) AS file_id FROM s""",
+    "p5_places": _NODE + """, v AS (
+        SELECT rec_id, e.key AS node_id, unnest(list_concat(
+            list_filter(coalesce(e.value.message.content.parts, []), lambda x: x LIKE '{%' OR x LIKE '[%'),
+            coalesce(map_values(e.value.message.metadata), []))) AS j FROM n),
+        s AS (SELECT rec_id, node_id, unnest(regexp_extract_all(j, '"(?:[A-Za-z][A-Za-z0-9+.-]*://)?file-[A-Za-z0-9]{20}"')) AS r FROM v),
+        f AS (SELECT rec_id, node_id, regexp_extract(r, '(file-[A-Za-z0-9]{20})"$', 1) AS file_id, min(regexp_extract(r, '^"(?:([^:]*)://)?', 1)) AS scheme FROM s GROUP BY ALL)
+        SELECT CASE WHEN scheme = '' THEN 'none' ELSE scheme END AS scheme, count(*) AS n, count(DISTINCT file_id) AS n_files FROM f GROUP BY 1""",
+    "p5_part_frames": _PARTS + """ SELECT sk || '/json' AS parent_sk, CAST(o AS INTEGER) AS ord, part ->> ('$.frames_asset_pointers[' || o || '].asset_pointer') AS asset_pointer
+        FROM (SELECT *, unnest(range(CAST(json_array_length(part, '$.frames_asset_pointers') AS BIGINT))) AS o FROM p)""",
+    "p5_part_refs": _PARTS + """ SELECT sk || '/json' AS parent_sk, CAST(o AS INTEGER) AS ord, part ->> ('$.refs[' || o || '].id') AS id
+        FROM (SELECT *, unnest(range(CAST(json_array_length(part, '$.refs') AS BIGINT))) AS o FROM p)""",
     "p5_part_objects": _NODE + """, v AS (SELECT rec_id || '/mapping/' || e.key AS m, e.value.message.content.parts AS parts, unnest(range(len(e.value.message.content.parts))) AS i FROM n)
         SELECT m || '/message_content_parts/' || i AS parent_sk, parts[i + 1] ->> '$.content_type' AS content_type, parts[i + 1] ->> '$.asset_pointer' AS asset_pointer, parts[i + 1] ->> '$.text' AS text
         FROM v WHERE parts[i + 1] LIKE '{%'""",
