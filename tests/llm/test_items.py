@@ -5,6 +5,7 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestar.llm.conversations import judge_graph, judge_sessions, rebuild_graphs, rebuild_sessions, session_offsets, solve_offset
 from lodestar.llm import neighbours as nb
@@ -135,6 +136,8 @@ def test_sessions(spark):
     assert got == {"ok": "", "none": "empty", "meta": "empty", "cut": "broken", "leaf": "broken", "late": "unanswered", "open": "unanswered", "side": ""}
     turns = [(r["conv_key"], r["turn_index"], r["role"], r["text"]) for r in rebuild_sessions(df)[1].orderBy("conv_key", "turn_index").collect()]
     assert turns == [("ok", 0, "user", "q"), ("ok", 1, "assistant", "t"), ("side", 0, "user", "q"), ("side", 1, "subagent", "a"), ("side", 2, "assistant", "a")]
+    lost = spark.createDataFrame([line(1, "x", None, "user", "q"), line(2, "x", 1, "assistant", "a")], LINES).withColumn("file_path", F.lit(None).cast("string"))
+    assert [(r["conv_key"], r["role"]) for r in rebuild_sessions(lost)[1].orderBy("turn_index").collect()] == [("", "user"), ("", "assistant")]
     assert judge_sessions(df.limit(0)).count() == 0 and rebuild_sessions(df.limit(0))[1].count() == 0
 
 
