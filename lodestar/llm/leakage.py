@@ -6,9 +6,9 @@ least ``min_answer_words`` words. Each document is scanned once, as words; what
 is found is mapped back to character offsets of the original text. The scan is
 a map over the documents: nothing of them is shuffled or collected.
 
-Held-out items are few by nature; their number of words is checked against
-``max_item_words`` and larger sets are scanned in several automata of at most
-that many words each.
+Held-out items are few by nature. Their size is checked against
+``LARGEST_ITEMS`` (more is an error); over ``max_item_words`` words they are
+scanned in several automata of at most that many words each.
 
 Defined results:
 * null and blank documents, and items under ``min_words`` words, match nothing;
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.words import word_spans, words
 
+#: Bytes of held-out items that the driver holds.
+LARGEST_ITEMS = 1 << 30
 SCHEMA = "doc string, item bigint, kind string, n_words int, start int, stop int"
 
 
@@ -110,8 +112,12 @@ def find_leaks(
     """``doc_id, item_id, kind ('text' or 'answer'), n_words, start, stop``;
     start and stop are character offsets in the document's own text."""
     rows = items.select(
-        F.col(item_id).cast("bigint"), item_text, F.col(answer) if answer else F.lit(None).cast("string")
-    ).collect()  # held-out items only: fixed in number, scanned in blocks of bounded size
+        F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t"), (F.col(answer) if answer else F.lit(None).cast("string")).alias("a")
+    )
+    size = F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + F.coalesce(F.octet_length("a"), F.lit(0)))
+    if (rows.agg(size.alias("s")).first()["s"] or 0) > LARGEST_ITEMS:
+        raise ValueError(f"held-out items of over {LARGEST_ITEMS} bytes: split them and scan once for each part")
+    rows = rows.collect()  # bounded by the check above, scanned in blocks
     kind = docs.schema[doc_id].dataType
     sc = docs.sparkSession.sparkContext
     found = []
