@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.operators.instants import CONVENTIONS, normalize_timestamps
+from lodestar.operators.instants import CANONICAL, CONVENTIONS, NUMBER, SHAPES, ZONE_LETTERS, normalize_timestamps
 from lodestar.operators.nested import chat_export_tables, chat_files, unfold_json
 from lodestar.tables import load
 
@@ -178,3 +178,38 @@ ORACLE = {
         SELECT m || '/message_content_parts/' || i AS parent_sk, parts[i + 1] ->> '$.content_type' AS content_type, parts[i + 1] ->> '$.asset_pointer' AS asset_pointer, parts[i + 1] ->> '$.text' AS text
         FROM v WHERE parts[i + 1] LIKE '{%'""",
 }
+
+
+def _p6_sql() -> str:
+    """The instants in SQL: the same notations, other functions."""
+    plain = lambda x: x.replace("'", "''")
+    shape = " ".join(f"WHEN regexp_matches(t, '{plain(p)}') THEN '{k}'" for k, (p, _) in SHAPES.items())
+    cut = " ".join(f"WHEN '{k}' THEN regexp_replace(t, '{plain(p)}', '{r.replace('$', chr(92))}')" for k, (p, r) in SHAPES.items())
+    letters = "MAP {" + ", ".join(f"'{k}': [{', '.join(str(int(h * 60)) for h in v)}]" for k, v in ZONE_LETTERS.items()) + "}"
+    months = "['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec']"
+    return f"""WITH dv AS (SELECT device_id, min(tz_name) AS tz FROM devices GROUP BY device_id),
+        st AS (SELECT 'cc' AS src, CAST(line_id AS VARCHAR) AS rec_key, stamp, device_id FROM cc_lines
+            UNION ALL SELECT 'conv', CAST(rec_id AS VARCHAR), create_time, device_id FROM chatgpt_convs
+            UNION ALL SELECT 'msg', rec_id || '/' || e.key, e.value.message.create_time, device_id FROM (SELECT rec_id, device_id, unnest(map_entries(mapping)) AS e FROM chatgpt_convs)),
+        tr AS (SELECT src, rec_key, stamp, coalesce(tz, 'UTC') AS tz, regexp_replace(stamp, '^\s+|\s+$', '', 'g') AS t FROM st LEFT JOIN dv USING (device_id) WHERE stamp IS NOT NULL),
+        sh AS (SELECT *, CASE {shape} WHEN regexp_matches(t, '{NUMBER}') THEN 'number' END AS shape FROM tr),
+        pt AS (SELECT *, string_split(CASE shape {cut} END, '|') AS p, CASE WHEN shape = 'number' THEN TRY_CAST(t AS DECIMAL(38, 9)) END AS n FROM sh WHERE shape IS NOT NULL),
+        nm AS (SELECT *, TRY_CAST(p[4] AS INT) AS h0, lower(p[8]) AS half, TRY_CAST(p[6] AS INT) AS sec,
+            CASE shape WHEN 'dotted' THEN TRY_CAST(p[3] AS INT) WHEN 'named' THEN list_position({months}, lower(p[2])[1:3]) WHEN 'http' THEN list_position({months}, lower(p[2])[1:3]) ELSE TRY_CAST(p[2] AS INT) END AS mon,
+            CASE shape WHEN 'dotted' THEN TRY_CAST(p[2] AS INT) ELSE TRY_CAST(p[3] AS INT) END AS dom FROM pt),
+        hr AS (SELECT *, CASE WHEN half = '' THEN h0 WHEN h0 NOT BETWEEN 1 AND 12 THEN NULL WHEN half = 'a' THEN h0 % 12 ELSE h0 % 12 + 12 END AS hour FROM nm),
+        wl AS (SELECT *, CASE WHEN hour < 24 AND sec < 60 AND TRY_CAST(p[5] AS INT) < 60 THEN TRY_CAST(printf('%04d-%02d-%02d %02d:%02d:%02d', TRY_CAST(p[1] AS INT), mon, dom, hour, TRY_CAST(p[5] AS INT), sec) AS TIMESTAMP) END AS wall FROM hr),
+        lc AS (SELECT *, timezone(tz, wall) AS loc FROM wl),
+        fx AS (SELECT *, epoch_ms(wall) AS wall_ms, CASE WHEN timezone(tz, loc - INTERVAL 1 HOUR) = wall THEN epoch_ms(loc - INTERVAL 1 HOUR)
+            WHEN timezone(tz, loc) <> wall THEN epoch_ms(wall) - (epoch_ms(timezone(tz, loc - INTERVAL 3 HOUR)) - epoch_ms(loc - INTERVAL 3 HOUR)) ELSE epoch_ms(loc) END AS local_ms,
+            regexp_replace(upper(p[9]), '^(UTC|GMT)([+-])', '\2') AS zone FROM lc),
+        zn AS (SELECT *, regexp_replace(zone, '[^0-9]', '', 'g') AS dg, (wall_ms - local_ms) // 60000 AS own FROM fx),
+        ut AS (SELECT *, CASE WHEN shape = 'number' THEN CASE WHEN n <= 0 THEN NULL WHEN n < 1e11 THEN CAST(floor(n * 1000) AS BIGINT) WHEN n < 1e14 THEN CAST(floor(n) AS BIGINT) WHEN n < 1e17 THEN CAST(floor(n / 1000) AS BIGINT) END
+            WHEN zone = '' THEN local_ms
+            WHEN zone[1] IN ('+', '-') THEN wall_ms - (CASE WHEN zone[1] = '-' THEN -1 ELSE 1 END) * (coalesce(TRY_CAST(dg[1:2] AS INT), 0) * 60 + coalesce(TRY_CAST(dg[3:4] AS INT), 0)) * 60000
+            ELSE coalesce(wall_ms - list_sort(list_transform({letters}[zone], lambda m: {{'far': abs(m - own), 'm': m}}))[1].m * 60000, local_ms) END AS ms FROM zn)
+        SELECT src, rec_key, CAST(ms + CASE WHEN shape = 'number' THEN 0 ELSE TRY_CAST((p[7] || '000')[1:3] AS INT) END AS BIGINT) AS utc_ms FROM ut
+        WHERE ms IS NOT NULL AND NOT regexp_matches(stamp, '{CANONICAL}')"""
+
+
+ORACLE["p6_found"] = _p6_sql()
