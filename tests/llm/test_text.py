@@ -282,3 +282,30 @@ def test_one_id_with_two_texts_is_one_record(spark):
     df = spark.createDataFrame(rows, "id string, text string")
     pairs, members = near_duplicates(df, "id", "text", words=3, threshold=0.6)
     assert pairs.count() == 0 and sorted(r["id"] for r in members.collect()) == ["a", "b"]
+
+
+def test_min_hashes_of_long_and_short_sets():
+    """Sets that lie across blocks of elements, against one set at a time."""
+    rng = np.random.default_rng(4)
+    sizes = [1, 9_000, 2, 4_095, 1, 4_096, 3, 12_289, 1]
+    elements = rng.integers(0, 2**32, sum(sizes), dtype=np.uint32)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    a, b = nd._functions(12)
+    got = nd.min_hashes(elements, starts, a, b)
+    for i, (s, n) in enumerate(zip(starts, sizes)):
+        h = elements[s : s + n, None] * a + b
+        h ^= h >> np.uint32(15)
+        assert (got[i] == (h * np.uint32(0x2C1B3C6D)).min(0)).all()
+
+
+def test_signatures_agree_as_sets_do():
+    """Shares of equal min-hashes are near the Jaccard similarity."""
+    rng = np.random.default_rng(6)
+    a, b = nd._functions(2000)
+    for s in (0.3, 0.6, 0.9):
+        n = 300
+        common = int(2 * n * s / (1 + s))
+        x = rng.integers(0, 2**32, 2 * n - common, dtype=np.uint32)
+        m = nd.min_hashes(np.concatenate([x[:n], x[n - common :]]), np.array([0, n]), a, b)
+        true = common / (2 * n - common)
+        assert abs((m[0] == m[1]).mean() - true) < 0.04
