@@ -187,7 +187,7 @@ def _p6_sql() -> str:
     cut = " ".join(f"WHEN '{k}' THEN regexp_replace(t, '{plain(p)}', '{r.replace('$', chr(92))}')" for k, (p, r) in SHAPES.items())
     letters = "MAP {" + ", ".join(f"'{k}': [{', '.join(str(int(h * 60)) for h in v)}]" for k, v in ZONE_LETTERS.items()) + "}"
     months = "['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec']"
-    return f"""WITH dv AS (SELECT device_id, min(tz_name) AS tz FROM devices GROUP BY device_id),
+    return rf"""WITH dv AS (SELECT device_id, min(tz_name) AS tz FROM devices GROUP BY device_id),
         st AS (SELECT 'cc' AS src, CAST(line_id AS VARCHAR) AS rec_key, stamp, device_id FROM cc_lines
             UNION ALL SELECT 'conv', CAST(rec_id AS VARCHAR), create_time, device_id FROM chatgpt_convs
             UNION ALL SELECT 'msg', rec_id || '/' || e.key, e.value.message.create_time, device_id FROM (SELECT rec_id, device_id, unnest(map_entries(mapping)) AS e FROM chatgpt_convs)),
