@@ -172,6 +172,24 @@ def window_chunks(spark, d):
     return rows
 
 
+@query(r"""SELECT d.ns, d.id, true AS within, true AS inside, true AS covered, octet_length(encode(regexp_replace(d.text, '^\s+|\s+$', '', 'g'))) > coalesce(n.chunk_size, 1000) AS several
+    FROM docs d LEFT JOIN ns_config n ON d.ns = n.name WHERE regexp_matches(d.text, '\S')""")
+def window_limits(spark, d):
+    """Per document: whether all windows keep to the size, stand in the text, lose
+    nothing but white space and overlap by no more than asked."""
+    docs = load(spark, d, "docs").select("ns", "id", F.col("text").alias("whole"))
+    conf = load(spark, d, "ns_config").select(F.col("name").alias("ns"), "chunk_size", "chunk_over")
+    rows = window_chunks(spark, d).join(docs, ["ns", "id"]).join(conf, "ns", "left")
+    size, over = F.coalesce("chunk_size", F.lit(1000)), F.coalesce("chunk_over", F.lit(100))
+    letters = lambda c: F.length(F.regexp_replace(c, r"(?U)\s+", ""))
+    per = rows.groupBy("ns", "id").agg(
+        F.bool_and(F.octet_length("text") <= size).alias("within"), F.bool_and(F.instr("whole", F.col("text")) > 0).alias("inside"),
+        F.count("*").alias("n"), F.sum(letters(F.col("text"))).alias("letters"), F.max(letters(F.col("whole"))).alias("bare"), F.max(over).alias("over"),
+    )
+    covered = F.col("letters").between(F.col("bare"), F.col("bare") + (F.col("n") - 1) * F.col("over"))
+    return per.select("ns", "id", "within", "inside", covered.alias("covered"), (F.col("n") > 1).alias("several"))
+
+
 WORDS = "parser queue flaky timeout importer"
 _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 _TERMS = " UNION ALL ".join(f"SELECT '{t}' AS term" for t in WORDS.split())
