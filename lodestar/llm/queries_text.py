@@ -62,6 +62,16 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(_tokens(spark, d), load(spark, d, "mix_targets"))
 
 
+def p9_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every source of every mix reached what it was to give, to within 2 %
+    or one large document, and no document was repeated too often."""
+    targets = load(spark, d, "mix_targets")
+    caps = targets.select(F.col("mix_name").alias("m"), clean_source(F.col("source")).alias("s"), "max_repeats")
+    rows = mix_report(_tokens(spark, d), targets).join(caps, (F.col("mix") == F.col("m")) & (F.col("src") == F.col("s")))
+    near = F.abs(F.col("tokens") - F.col("wanted_tokens")) <= F.greatest(F.col("wanted_tokens") * 0.02, F.lit(3000))
+    return rows.select("mix", "src", near.alias("near"), (F.col("most_copies") <= F.col("max_repeats")).alias("capped"))
+
+
 #: At most so many reviewed documents fit the classifiers.
 MAX_LABELLED = 3000
 
@@ -97,7 +107,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p7_found, p7_classes, p7_chunk_classes, p8_found, p8_leaks, p8_items, p9_mix, p9_report, p10_found, p10_scores, p10_rates,
+        p7_found, p7_classes, p7_chunk_classes, p8_found, p8_leaks, p8_items, p9_mix, p9_report, p9_limits, p10_found, p10_scores, p10_rates,
     )
 }
 
@@ -139,5 +149,6 @@ def _classes_sql(table: str) -> str:
         SELECT m.id, coalesce(k.class_id, m.rep) AS class_id, coalesce(g.n_links, 0) AS n_links FROM m LEFT JOIN k ON k.id = m.rep LEFT JOIN g ON g.id = m.rep"""
 
 
+ORACLE["p9_limits"] = "SELECT mix_name AS mix, source AS src, true AS near, true AS capped FROM mix_targets"
 ORACLE["p7_classes"] = _classes_sql("docs")
 ORACLE["p7_chunk_classes"] = _classes_sql("chunks")
