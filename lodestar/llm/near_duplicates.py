@@ -101,7 +101,7 @@ def _hashed_sets(texts: list, words: int, seen: dict[str, int]) -> tuple:
 
 def _few(pdf: pd.DataFrame, letters: int = 4_000_000) -> Iterator[pd.DataFrame]:
     """Parts of a batch with at most so many letters (or one long text) each."""
-    size = pdf["t"].str.len().fillna(0).to_numpy().cumsum() // letters
+    size = np.cumsum([len(t) if t else 0 for t in pdf["t"]]) // letters
     for _, part in pdf.groupby(size, sort=True):
         yield part
 

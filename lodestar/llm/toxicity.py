@@ -94,7 +94,7 @@ _RUN = re.compile(r"(.)\1+")
 _SQUEEZED = {_RUN.sub(r"\1", w): w for w in reversed(LEXICON) if len(w) >= 4}
 _ENDS = {".", "!", "?", "。", "！", "？", "\n", "\r"}
 #: Words of a window, and the step between windows of a long sentence.
-WINDOW, STRIDE = 18, 9
+WINDOW, STRIDE = 12, 6
 #: Weights are kept by hash of word and word pair.
 SLOTS = 1 << 18
 
@@ -397,7 +397,7 @@ class Design:
         return _sigmoid(self.dot(w) + self.groups @ g + before @ c + b)
 
 
-def fit_chain(rows: Design, labels: np.ndarray, weight: np.ndarray, fold: np.ndarray, rounds: int = 45) -> tuple[dict, np.ndarray]:
+def fit_chain(rows: Design, labels: np.ndarray, weight: np.ndarray, fold: np.ndarray, rounds: int = 30) -> tuple[dict, np.ndarray]:
     """(model, out-of-fold probabilities). ``labels`` has a column per link of the
     chain; rows of one ``fold`` are predicted by the others' models."""
     before = np.zeros((rows.n, 0))
@@ -451,7 +451,7 @@ def _seed_rows() -> tuple[list[str], np.ndarray, np.ndarray]:
     return texts, np.array(y), np.array([1.0] * (len(texts) - 1) + [50.0])
 
 
-def train(labelled: list[tuple[str, int]], rounds: int = 3, folds: int = 3) -> dict:
+def train(labelled: list[tuple[str, int]], rounds: int = 2, folds: int = 3) -> dict:
     """Fits the chain on the seeds and reviewed (text, abusive) pairs."""
     words = Words()
     texts, seed_y, seed_w = _seed_rows()

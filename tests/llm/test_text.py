@@ -163,8 +163,8 @@ def test_disguises_are_undone():
 def test_passages():
     long = " ".join(f"w{i}" for i in range(40))
     p = tx.Passages(["One. Two two! 3.5 and a.b", None, "", f"{long}\nend"], tx.Words())
-    assert p.doc.tolist() == [0, 0, 0, 3, 3, 3, 3, 3]
-    assert (p.end - p.start).tolist() == [1, 2, 3, 18, 18, 18, 13, 1] and (p.start[4:7] - p.start[3:6] == tx.STRIDE).all()
+    assert p.doc.tolist() == [0, 0, 0, 3, 3, 3, 3, 3, 3, 3] and tx.WINDOW == 2 * tx.STRIDE == 12
+    assert (p.end - p.start).tolist() == [1, 2, 3, 12, 12, 12, 12, 12, 10, 1] and (np.diff(p.start[3:9]) == tx.STRIDE).all()
     assert len(tx.Passages([], tx.Words())) == 0 and tx.predict(tx.train([]), tx.Passages([None], tx.Words())).shape == (0, len(tx.CHAIN))
 
 
