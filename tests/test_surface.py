@@ -31,10 +31,10 @@ def test_http(spark, tmp_path):
     url = _serve(server)
     space = f"{url}/v1/namespaces/n"
     assert _post(f"{space}/query", b'{"text": "x"}')[0] == 404
-    docs = {"documents": [{"id": "a", "text": "old"}, {"id": "a", "text": "one parser", "attributes": {"status": "merged"}}]}
+    docs = {"documents": [{"id": "a", "text": "old"}, {"id": "a", "text": "one parser", "attributes": {"state": "shut"}}]}
     assert _post(f"{space}/write", json.dumps(docs).encode()) == (200, {"written": 1, "skipped": 0, "chunks": 1})
-    status, got = _post(f"{space}/query", json.dumps({"text": "parser", "top_k": 5, "where": "status=merged"}).encode())
-    assert status == 200 and [(r["id"], r["attributes"]) for r in got["results"]] == [("a", {"status": "merged"})]
+    status, got = _post(f"{space}/query", json.dumps({"text": "parser", "top_k": 5, "where": "state=shut"}).encode())
+    assert status == 200 and [(r["id"], r["attributes"]) for r in got["results"]] == [("a", {"state": "shut"})]
     for raw in (b"{", b"[]"):
         assert _post(f"{space}/query", raw)[0] == 400
     assert _post(f"{space}/query", b'{"text": " "}')[0] == 400 and _post(f"{space}/write", b'{"documents": [{"id": 1}]}')[0] == 400
