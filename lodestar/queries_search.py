@@ -386,6 +386,39 @@ def one_line(spark, d):
     return load(spark, d, "documents").select("doc_id", scalars.one_line(F.col("text")).alias("flat"))
 
 
+_SHORT = "CASE WHEN length(t) > 40 THEN left(t, 39) || '…' ELSE t END"
+
+
+@query(rf"SELECT doc_id, {_SHORT} AS line FROM (SELECT doc_id, trim(regexp_replace(split_part(trim(text), chr(10), 1), '\s+', ' ', 'g')) AS t FROM documents)")
+def first_lines(spark, d):
+    return load(spark, d, "documents").select("doc_id", scalars.first_line(F.col("text"), 40).alias("line"))
+
+
+@query("SELECT doc_id, rtrim(left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60), '-') AS slug FROM documents")
+def slugs(spark, d):
+    return load(spark, d, "documents").select("doc_id", scalars.slug(F.col("text"), 60).alias("slug"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN t = '' OR regexp_matches(t, '[:#\[\]{}&*!|>''"%@`,?-]|^\s|\s$') THEN '"' || regexp_replace(t, '(["\\])', '\\\1', 'g') || '"' ELSE t END AS quoted
+    FROM (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents)""")
+def yaml_strings(spark, d):
+    return load(spark, d, "documents").select("doc_id", scalars.yaml_string(F.col("text")).alias("quoted"))
+
+
+@query("SELECT id, count(*) > 0 AS same FROM docs WHERE json_valid(attrs) GROUP BY id")
+def canonical_attributes(spark, d):
+    """Attributes written with their keys turned round and spaces between have the
+    same canonical form."""
+    docs = load(spark, d, "docs").where(F.try_parse_json("attrs").isNotNull())
+    values = F.try_variant_get(F.try_parse_json("attrs"), "$", "map<string, variant>")
+    parts = F.transform(
+        F.reverse(F.map_keys(values)), lambda k: F.concat(F.lit('"'), k, F.lit('" : '), F.to_json(F.try_element_at(values, k)))
+    )
+    turned = F.concat(F.lit("{ "), F.array_join(parts, " , "), F.lit(" }"))
+    same = scalars.canonical_json(turned) == scalars.canonical_json(F.col("attrs"))
+    return docs.select("id", same.alias("same"))
+
+
 @query("SELECT doc_id, CASE WHEN length(text) > 40 THEN left(text, 39) || '…' ELSE text END AS short FROM documents")
 def truncate(spark, d):
     return load(spark, d, "documents").select("doc_id", scalars.truncate(F.col("text"), 40).alias("short"))

@@ -36,17 +36,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         base = os.path.join(tempfile.gettempdir(), "lodestar-checkpoints")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
     return base
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shared_path(spark: SparkSession, stem: str) -> str:
     """A fresh path below the shared checkpoint folder for a written table."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"

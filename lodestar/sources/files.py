@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.scalars import is_binary
+
 LARGEST = 10 * 1024 * 1024
 EXTENSIONS = (".md", ".txt")
 ENTRY = "path string, name string, size bigint, modified timestamp, content binary"
@@ -56,12 +58,10 @@ def file_documents(spark: SparkSession, path: str, extensions: tuple[str, ...] =
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keep = [0 not in c[:8192] for c in b["content"]]
-            b = b[keep]
             yield pd.DataFrame({"id": b["path"], "text": [c.decode("utf-8", "replace") for c in b["content"]], "name": b["name"], "size": b["size"], "modified": b["modified"]})
 
     dot = F.regexp_extract("name", r"(\.[^.]*)$", 1)
-    rows = entries(spark, path).where(dot.isin(*extensions) & (F.col("size") <= LARGEST))
+    rows = entries(spark, path).where(dot.isin(*extensions) & (F.col("size") <= LARGEST) & ~is_binary(F.col("content")))
     rows = rows.mapInPandas(texts, "id string, text string, name string, size bigint, modified timestamp")
     attrs = F.to_json(F.struct(F.lit("file").alias("kind"), F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified"), "name", F.col("id").alias("path"), "size"))
     return rows.select("id", "text", attrs.alias("attrs"))
