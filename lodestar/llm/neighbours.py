@@ -10,6 +10,15 @@ side are recomputed in float, from codes and remainders, and merged into both
 lists. The lists of a vector's tiles are merged last. Nothing is lost, so recall is
 1; the price is quadratic work, in BLAS, each product made once.
 
+Where only others of a least similarity are asked for (``least``), vectors meet in
+near tiles instead: several tables of random rotations, in each of which a vector
+lies in the cell of its greatest rotated coordinates. Cells grow in number with the
+table, so a tile stays of one size and the work is in proportion to the vectors.
+Codes are multiplied and bounded as above, pairs that may reach ``least`` are
+recomputed in float. A pair at ``least`` exactly is met with probability 1 - ``MISS``
+or more, a nearer one more surely; no found similarity is inexact. Where that would
+need more than ``TABLES`` tables, all pairs of blocks are multiplied.
+
 Vectors of equal direction (to six decimals) are searched once and expanded
 afterwards, so many copies do not flood the lists.
 
@@ -42,6 +51,9 @@ BLOCKS, LEAST, MOST = 4, 8_192, 262_144
 SUB_ROWS, SUB_COLS = 512, 4_096
 #: Scales are powers of this ratio; codes reach 127 at the scale.
 STEP = 2.0 ** (1 / 8)
+#: Near tiles: vectors a tile, chance to miss a pair at the least similarity, most
+#: tables, bytes a task.
+ROOM, MISS, TABLES, SHARE = 2_048, 1e-4, 32, 16 << 20
 
 
 def quantise(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,6 +66,12 @@ def quantise(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q.astype(np.int8), r.astype(np.int16), power
 
 
+def rebuilt(q: np.ndarray, r: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """Float32 vectors of codes, remainders and exponents."""
+    unit = (STEP ** power.astype(np.float64) / 127)[:, None]
+    return ((q + r / 65534) * unit).astype(np.float32)
+
+
 class Block:
     """One side of a tile, ordered by scale: ``ids``, whole-number ``codes``, the
     vectors ``u`` rebuilt from codes and remainders, and the codes' ``error``."""
@@ -66,7 +84,7 @@ class Block:
         self.power = power[order]
         unit = (STEP ** self.power.astype(np.float64) / 127)[:, None]
         self.codes = q[order].astype(np.float32)
-        self.u = ((q[order] + r[order] / 65534) * unit).astype(np.float32)
+        self.u = rebuilt(q[order], r[order], self.power)
         # rebuilding and the six decimals round: a small allowance on top
         self.error = np.linalg.norm(self.u - self.codes * unit.astype(np.float32), axis=1) + np.float32(4e-6)
 
@@ -213,11 +231,16 @@ def _pack(df: DataFrame) -> DataFrame:
     return df.mapInPandas(run, "block int, ids binary, codes binary")
 
 
+def _opened(codes: list[bytes], dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, remainders, exponents) of their bytes."""
+    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(-1, 3 * dims + 1)
+    r = np.ascontiguousarray(raw[:, dims : 3 * dims]).view(np.int16)
+    return raw[:, :dims].view(np.int8), r, np.ascontiguousarray(raw[:, -1]).view(np.int8)
+
+
 def _block(parts: list[pd.DataFrame], dims: int) -> Block:
     ids = np.frombuffer(b"".join(x for p in parts for x in p["ids"]), "<i8")
-    raw = np.frombuffer(b"".join(x for p in parts for x in p["codes"]), np.uint8).reshape(-1, 3 * dims + 1)
-    r = np.ascontiguousarray(raw[:, dims : 3 * dims]).view(np.int16)
-    return Block(ids, raw[:, :dims].view(np.int8), r, np.ascontiguousarray(raw[:, -1]).view(np.int8))
+    return Block(ids, *_opened([x for p in parts for x in p["codes"]], dims))
 
 
 def tile_lists(heads: DataFrame, n: int, k: int, dims: int) -> DataFrame:
@@ -260,16 +283,150 @@ def _on_diagonal(tile: int, blocks: int) -> bool:
     return tile in {low * blocks - low * (low - 1) // 2 for low in range(blocks)}
 
 
-def neighbours(df: DataFrame, ident: str, vector: str, k: int = 10, dims: int = 64) -> DataFrame:
+def meeting_chance(cosine: float, top: int, dims: int) -> float:
+    """How often two vectors of that cosine have their greatest of ``top`` rotated
+    coordinates, and its sign, in common: simulated, less three standard errors."""
+    rng, n = np.random.default_rng(top), 20_000
+    x, z = rng.standard_normal((2, n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-30)
+    y = cosine * x + math.sqrt(max(1 - cosine * cosine, 0.0)) * z
+    p = float((_corner(x[:, :top]) == _corner(y[:, :top])).mean())
+    return p - 3 * math.sqrt(p * (1 - p) / n)
+
+
+def _corner(y: np.ndarray) -> np.ndarray:
+    """The place of a row's greatest coordinate and its sign as one number."""
+    at = np.abs(y).argmax(1)
+    return 2 * at + (y[np.arange(len(y)), at] < 0)
+
+
+def near_plan(n: int, dims: int, least: float) -> tuple[list[int], int]:
+    """(coordinates of each rotation that names a cell, number of tables) for ``n``
+    vectors; no table where too many would be needed."""
+    tops, cells, chance = [], n / ROOM, 1.0
+    while cells > 1:
+        tops.append(min(2 ** max(math.ceil(math.log2(cells)) - 1, 0), 2 ** int(math.log2(dims))))
+        cells /= 2 * tops[-1]
+        chance *= max(meeting_chance(least, tops[-1], dims), 0.0)
+    if chance >= 1:
+        return tops, 1
+    tables = math.ceil(math.log(MISS) / math.log1p(-chance)) if chance > 0 else TABLES + 1
+    return tops, tables if tables <= TABLES else 0
+
+
+def _rotations(tops: list[int], tables: int, dims: int) -> list[list[np.ndarray]]:
+    rng = np.random.default_rng(11)
+    turn = lambda top: np.linalg.qr(rng.standard_normal((dims, dims)))[0][:, :top].astype(np.float32)
+    return [[turn(top) for top in tops] for _ in range(tables)]
+
+
+def near_in_tile(ids: np.ndarray, codes: np.ndarray, power: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, others): pairs of a tile whose product plus error may reach ``least``
+    and, of a vector with more than ``k`` of them, its ``k`` best."""
+    if len(np.unique(ids)) < len(ids):  # repeated rows of one id
+        rows = np.concatenate([ids.view(np.uint8).reshape(-1, 8), codes.view(np.uint8), power.view(np.uint8)[:, None]], 1)
+        first = np.unique(rows, axis=0, return_index=True)[1]
+        ids, codes, power = ids[first], codes[first], power[first]
+    n, dims = codes.shape
+    unit = (STEP ** power.astype(np.float64) / 127).astype(np.float32)
+    x = codes.astype(np.float32) * unit[:, None]
+    error = np.float32(0.5 * math.sqrt(dims)) * unit + np.float32(1e-5)
+    slack = error + (1 + error) * error.max()
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    step = max((1 << 21) // n, 1)
+    for a in range(0, n, step):
+        p = x[a : a + step] @ x.T
+        hit = p >= np.float32(least) - slack[a : a + step, None]
+        rows, cols = np.divmod(np.flatnonzero(hit), n)
+        apart = ids[rows + a] != ids[cols]
+        rows, cols = rows[apart], cols[apart]
+        count = np.bincount(rows, minlength=len(p))
+        if (count > k).any():
+            product = p[rows, cols]
+            order = np.lexsort((-product, rows))
+            rows, cols, product = rows[order], cols[order], product[order]
+            first = np.cumsum(count) - count
+            floor = np.where(count > k, product[np.minimum(first + k - 1, len(product) - 1)] - 2 * slack[a : a + step], -np.inf)
+            good = product >= floor[rows]
+            rows, cols = rows[good], cols[good]
+        out.append((ids[rows + a], ids[cols]))
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
+def near_lists(heads: DataFrame, n: int, k: int, dims: int, least: float, plan: tuple[list[int], int]) -> DataFrame:
+    """``id, other, sim`` (millionths): others of at least that similarity, among
+    them the ``k`` best of every vector."""
+    tops, tables = plan
+    width = 8 + 8 + dims + 1  # tile, id, codes, exponent
+    tasks = max(math.ceil(n * tables * width / SHARE), 2 * heads.sparkSession.sparkContext.defaultParallelism)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turns = _rotations(tops, tables, dims)
+        for b in batches:
+            q, r, power = _opened(list(b["code"]), dims)
+            u = rebuilt(q, r, power)
+            rows = np.empty((len(b), width), np.uint8)
+            rows[:, 8:16] = np.ascontiguousarray(b["id"].to_numpy("<i8")).view(np.uint8).reshape(-1, 8)
+            rows[:, 16 : 16 + dims], rows[:, -1] = q.view(np.uint8), power.view(np.uint8)
+            for t, table in enumerate(turns):
+                tile = np.zeros(len(b), "<i8")
+                for turn in table:
+                    tile = tile * (2 * turn.shape[1]) + _corner(u @ turn)
+                tile = tile * tables + t
+                rows[:, :8] = tile.view(np.uint8).reshape(-1, 8)
+                task = ((tile.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(tasks)
+                order = np.argsort(task, kind="stable")
+                ends = np.flatnonzero(np.append(np.diff(task[order]) != 0, True)) + 1
+                starts = np.append(0, ends[:-1])
+                sent = rows[order]
+                yield pd.DataFrame({"task": task[order][starts].astype(np.int32), "part": [sent[i:j].tobytes() for i, j in zip(starts, ends)]})
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        raw = np.frombuffer(b"".join(x for b in batches for x in b["part"]), np.uint8).reshape(-1, width)
+        tile = np.ascontiguousarray(raw[:, :8]).view("<i8").ravel()
+        order = np.argsort(tile, kind="stable")
+        ends = np.flatnonzero(np.append(np.diff(tile[order]) != 0, True)) + 1 if len(order) else []
+        start = 0
+        for end in ends:
+            rows, start = raw[order[start:end]], end
+            if len(rows) > 1:
+                ids = np.ascontiguousarray(rows[:, 8:16]).view("<i8").ravel()
+                a, b = near_in_tile(ids, rows[:, 16 : 16 + dims].view(np.int8), np.ascontiguousarray(rows[:, -1]).view(np.int8), k, least)
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x, y = (rebuilt(*_opened(list(b[c]), dims)) for c in ("x", "y"))
+            sim = np.rint(np.einsum("ij,ij->i", x, y, dtype=np.float64) * 1e6).astype(np.int32)
+            both = pd.DataFrame({"id": np.append(b["a"], b["b"]), "other": np.append(b["b"], b["a"]), "sim": np.append(sim, sim)})
+            yield both[both["sim"] >= round(least * 1e6)]
+
+    kept = Kept(heads.sparkSession)
+    dealt = heads.select("id", "code").mapInPandas(deal, "task int, part binary").repartitionById(tasks, F.col("task"))
+    pairs = kept.keep(dealt.mapInPandas(meet, "a bigint, b bigint").distinct(), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    vectors = kept.keep(heads.select("id", "code").join(ids, "id", "left_semi"), "vectors")
+    sides = pairs.join(vectors.toDF("a", "x"), "a").join(vectors.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    found = sides.mapInPandas(exact, "id bigint, other bigint, sim int")
+    return found.groupBy("id", "other").agg(F.max("sim").alias("sim"))
+
+
+def neighbours(df: DataFrame, ident: str, vector: str, k: int = 10, dims: int = 64, least: float | None = None) -> DataFrame:
     """``id, other, cosine, rank``: the ``k`` most similar others of every
-    usable vector."""
+    usable vector; with ``least``, those among them of at least that cosine."""
     kept = Kept(df.sparkSession)
     units = kept.keep(usable(df, ident, vector, dims), "units")
     keyed = units.select("id", "h1", "h2")
     groups = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where(F.col("n") > 1)
     copies = kept.keep(keyed.join(groups, ["h1", "h2"]).select("id", "rep").distinct(), "copies")
     others = copies.where(F.col("id") != F.col("rep")).select("id")
-    rows = tile_lists(units.select("id", "code").join(others, "id", "left_anti"), units.count(), k, dims)
+    heads, n = units.select("id", "code").join(others, "id", "left_anti"), units.count()
+    plan = near_plan(n, dims, least) if least is not None else ([], 0)
+    rows = near_lists(heads, n, k, dims, least, plan) if plan[1] else tile_lists(heads, n, k, dims)
+    if least is not None:
+        rows = rows.where(F.col("sim") >= round(least * 1e6))
     if not copies.isEmpty():
         rows = _expanded(rows, copies, k)
     best = Window.partitionBy("id").orderBy(F.col("sim").desc(), "other")

@@ -115,8 +115,9 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of chunks with cosine 0.95 or more among the ten most similar."""
-    near = p4_similar(spark, d).where(F.col("cosine") >= 0.95)
+    """Pairs of chunks with cosine 0.95 or more among the ten most similar, which are
+    searched for under that limit."""
+    near = neighbours(load(spark, d, "chunks"), "id", "vec", k=10, dims=64, least=0.95)
     return near.select(F.least("id", "other").alias("chunk_a"), F.greatest("id", "other").alias("chunk_b")).distinct()
 
 

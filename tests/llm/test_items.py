@@ -1,5 +1,6 @@
 import itertools
 import json
+import math
 import random
 
 import numpy as np
@@ -280,3 +281,30 @@ def test_neighbours_frame(spark):
     assert neighbours(df.limit(0), "id", "vec", k=5, dims=8).count() == 0
     few = neighbours(df.where("id in (0, 3, 7)"), "id", "vec", k=5, dims=8).collect()
     assert len(few) == 6
+
+
+def test_others_of_a_least_similarity_meet_in_near_tiles(spark, monkeypatch):
+    monkeypatch.setattr(nb, "ROOM", 64)  # some 30 tiles a table
+    rng = np.random.default_rng(12)
+    x = _unit(rng, 3000, 16, 1)
+    x[1500:] = x[:1500] + 0.06 * rng.standard_normal((1500, 16))  # cosines about 0.97
+    x[200:230] = x[200] + 0.02 * rng.standard_normal((30, 16))  # a group larger than k
+    x[300:303] = x[300]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, vec array<float>")
+    assert nb.near_plan(3000, 16, 0.95)[1] > 1
+    rows = lambda least: {tuple(r) for r in neighbours(df, "id", "vec", k=7, dims=16, least=least).where("cosine >= 0.95").collect()}
+    assert rows(0.95) == rows(None) and len(rows(0.95)) > 2000
+    assert neighbours(df.limit(0), "id", "vec", k=7, dims=16, least=0.95).count() == 0
+    # too many tables would be needed: all pairs are multiplied
+    assert nb.near_plan(3000, 16, 0.1)[1] == 0
+    small = df.where("id < 100")
+    assert neighbours(small, "id", "vec", k=7, dims=16, least=-1.0).count() == neighbours(small, "id", "vec", k=7, dims=16).count() == 700
+
+
+def test_work_of_near_tiles_grows_with_the_vectors():
+    """Products and sent bytes a vector, at tables of 0.09, 6.3 and 30 GB."""
+    for n in (151_000, 11_500_000, 55_000_000):
+        tops, tables = nb.near_plan(n, 64, 0.95)
+        cells = math.prod(2 * t for t in tops)
+        assert n / cells <= nb.ROOM and 0 < tables <= 28
