@@ -9,10 +9,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestar.llm.conversations import judge_graph, judge_sessions, rebuild_graphs, rebuild_sessions, session_offsets, solve_offset
+from lodestar.llm import conversations, queries_items
 from lodestar.llm import neighbours as nb
 from lodestar.llm.neighbours import neighbours, quantise, tile_top_k
 from lodestar.llm.ranking import Score, borda_rank
 from lodestar.llm.splitting import split_oversized, split_text
+from lodestar.tables import load
 
 SCORES = [Score("a"), Score("b", higher=False, weight=2.0)]
 
@@ -175,6 +177,40 @@ def test_subagents_are_merged_by_corrected_time(spark):
     assert {r for t, r, _ in got if t.startswith("s")} == {"subagent"}
 
 
+def test_sessions_are_judged_in_the_merged_order(spark, monkeypatch):
+    """By the senders' own clocks the answer came first; corrected, the question did.
+    Turns without time, or before 1970, keep their line's order."""
+    rows = [
+        line(1, "a", 1, "user", "q", stamp="2024-05-06T11:00:00Z"), line(2, "a", 2, "assistant", "r", stamp="2024-05-06T10:00:00Z"),
+        line(3, "b", 1, "user", "q"), line(4, "b", 2, "assistant", "r", stamp="1965-05-06T10:00:00Z"), line(5, "b", 3, "user", "q2", stamp="1965-05-06T11:00:00Z"),
+        line(6, "c", 1, "user", "s", side=True, stamp="2024-05-06T10:00:00Z"), line(7, "c", 2, "user", "q"), line(8, "c", 3, "assistant", "r", stamp="2024-05-06T09:00:00Z"),
+        line(9, "d", 1, "user", "s", side=True, stamp="2024-05-06T10:00:00Z"),
+    ]
+    seen = []
+    merge = conversations.merge_times
+    monkeypatch.setattr(conversations, "merge_times", lambda df: seen.append(merge(df)) or seen[-1])
+    df = spark.createDataFrame(rows, LINES)
+    assert {r["conv_key"]: r["reason"] for r in judge_sessions(df).collect()} == {"a": "", "b": "unanswered", "c": "", "d": "empty"}
+    order = {}
+    for r in seen[0].orderBy("conv_key", "said", "line_no").collect():
+        order.setdefault(r["conv_key"], []).append(r["line_no"])
+    assert order == {"a": [1, 2], "b": [1, 2, 3], "c": [1, 2, 3], "d": [1]}
+
+
+def test_dropped_conversations_come_out_of_the_whole_method(spark, monkeypatch, tmp_path):
+    """p2_found merges sessions by corrected time as p2_turns does."""
+    lines = spark.createDataFrame([line(1, "x", 1, "user", "q"), line(2, "y", 1, "user", "q"), line(3, "y", 2, "assistant", "a")], LINES)
+    lines.write.parquet(str(tmp_path / "cc_lines.parquet"))
+    for name in ("chatgpt_convs", "devices"):
+        load(spark, "/root/testdata/sf0.001", name).limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    steps = []
+    for name in ("session_offsets", "merge_times"):
+        step = getattr(conversations, name)
+        monkeypatch.setattr(conversations, name, lambda df, name=name, step=step: steps.append(name) or step(df))
+    assert [tuple(r) for r in queries_items.p2_found(spark, str(tmp_path)).collect()] == [("claude-code", "x")]
+    assert steps == ["session_offsets", "merge_times"]
+
+
 def test_graph_frames(spark):
     schema = (
         "rec_id bigint, conversation_id string, id string, device_id string, exported_at timestamp, mapping map<string, struct<message: struct<id: string, "
