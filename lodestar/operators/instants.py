@@ -9,15 +9,18 @@ contributes its likelihood under each valid reading (an instant before 1990, aft
 likelihood patterns per source (one partial aggregation), and the posterior picks
 the reading or marks it unresolved.
 
-Where readings are agreed beforehand (``conventions``), the agreed one of a value
-is its only one if it is valid; what data then decide is the rest. Rows are parsed
-once and kept in the shared folder between counting and choosing.
+Where an order of day and month is agreed beforehand (``conventions``), the mixture
+gives the contrary reading no share, whatever the counts: its posterior chooses the
+agreed reading of a value that fits both and leaves none for one that fits only the
+contrary. What data then decide is the rest. Rows are parsed once and kept in the
+shared folder between counting and choosing.
 
 Defined results:
 * null, blank, zero, negative and unreadable stamps: ``utc_ms`` null,
   ``reading`` null;
 * impossible dates or times (30 February, hour 24, second 60): unreadable;
 * numbers that no reading puts before the year 10000: unreadable;
+* dates that fit only a reading contrary to the agreed one: unreadable;
 * no zone: wall clock of ``tz`` (UTC where ``tz`` is null or unknown); a wall
   time that occurs twice is the first, one that is skipped counts with the
   offset before the change;
@@ -211,11 +214,12 @@ def instant_ms(df: DataFrame, stamp: str, tz: str | None, out: str) -> DataFrame
 _LEVELS = {"0": 0.0, "1": 1e-3, "2": 1.0}
 
 
-def fit_mixture(patterns: pd.DataFrame, rounds: int = 50) -> pd.DataFrame:
+def fit_mixture(patterns: pd.DataFrame, rounds: int = 50, barred: tuple[str, ...] = ()) -> pd.DataFrame:
     """EM over the readings of one source. ``patterns`` has a row per likelihood
     pattern ``sig`` (shape and the levels of its readings) with its count ``n``;
     added are the posteriors ``p0, p1, p2`` of the shape's readings. Shares have one
-    pseudo-count per reading."""
+    pseudo-count per reading; those in ``barred`` have none. A pattern that only
+    they explain has posteriors of zero."""
     part = patterns["sig"].str.split(":", expand=True)
     names: dict[str, int] = {}
     at = np.full((len(part), 3), -1)
@@ -225,13 +229,14 @@ def fit_mixture(patterns: pd.DataFrame, rounds: int = 50) -> pd.DataFrame:
             at[row, k] = names.setdefault(reading, len(names))
             lik[row, k] = _LEVELS[levels[k]]
     n = patterns["n"].to_numpy(float)[:, None]
-    theta = np.full(len(names), 1.0 / len(names))
+    free = np.array([name not in barred for name in names], float)
+    theta = free / max(free.sum(), 1.0)
     for _ in range(rounds):
         post = lik * theta[at]
         total = post.sum(1, keepdims=True)
         post = np.divide(post, total, out=np.zeros_like(post), where=total > 0)
-        new = 1.0 + np.bincount(at[at >= 0], (post * n)[at >= 0], len(names))
-        new /= new.sum()
+        new = free + np.bincount(at[at >= 0], (post * n)[at >= 0], len(names))
+        new /= max(new.sum(), 1.0)
         done = np.abs(new - theta).max() < 1e-12
         theta = new
         if done:
@@ -253,7 +258,7 @@ def normalize_timestamps(
 
     ``source`` names the column whose values share a mixture of readings (all
     rows are one source without it). ``conventions`` agrees on readings by shape
-    (see ``CONVENTIONS``); ``near_ms`` is an optional column with a reference
+    (see ``CONVENTIONS``; of dates, the contrary reading then has no share); ``near_ms`` is an optional column with a reference
     instant (arrival time): a reading after it, by more than a day, is 1000
     times less likely. ``posterior`` below ``sure`` with readings that give
     different instants marks a row ``ambiguous``; it keeps its likeliest reading.
@@ -264,11 +269,14 @@ def normalize_timestamps(
     df = parse_readings(df, stamp, tz)
     day = 86_400_000
     values = [F.col("__r0"), F.col("__r1"), F.col("__r2")]
-    # the place of the agreed reading, null where none is agreed or it is not valid
+    # readings without a share, and the place of the one that a number's magnitude says
+    barred: tuple[str, ...] = ()
     place = F.lit(None).cast("int")
     for shape, order in agreed.items():
-        here = F.col("__unit") if order == "magnitude" else F.lit(("dmy", "mdy").index(order))
-        place = F.when(F.col("__shape") == shape, here).otherwise(place)
+        if order == "magnitude":
+            place = F.when(F.col("__shape") == shape, F.col("__unit")).otherwise(place)
+        else:
+            barred += (READINGS[shape][1 - ("dmy", "mdy").index(order)],)
     place = F.when(F.get(F.array(*values), place).isNotNull(), place)
 
     def level(k: int) -> Column:
@@ -286,15 +294,15 @@ def normalize_timestamps(
     counts = df.where(F.col("__sig").isNotNull()).groupBy("__src", "__sig").agg(F.count("*").alias("n"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        done = fit_mixture(pdf.rename(columns={"__sig": "sig"}), rounds)
+        done = fit_mixture(pdf.rename(columns={"__sig": "sig"}), rounds, barred)
         done.columns = [{"__src": "__s", "sig": "__g"}.get(c, f"__{c}") for c in done.columns]
         return done[["__s", "__g", "__p0", "__p1", "__p2"]]
 
     posts = counts.groupBy("__src").applyInPandas(fit, "__s string, __g string, __p0 double, __p1 double, __p2 double")
     df = df.join(posts, (F.col("__src") == F.col("__s")) & (F.col("__sig") == F.col("__g")), "left")
     best = F.greatest("__p0", "__p1", "__p2")
-    # of equal posteriors the first reading
-    at = F.when(F.col("__p0") == best, 0).when(F.col("__p1") == best, 1).when(F.col("__p2") == best, 2)
+    # of equal posteriors the first reading; none where no reading has a share
+    at = F.when(best > 0, F.when(F.col("__p0") == best, 0).when(F.col("__p1") == best, 1).when(F.col("__p2") == best, 2))
     ms = F.get(F.array(*values), at)
     names = F.expr("map(" + ", ".join(f"'{k}', array({', '.join(repr(x) for x in v)})" for k, v in READINGS.items()) + ")")
     reading = F.coalesce(F.get(F.try_element_at(names, F.col("__shape")), at), F.col("__shape"))

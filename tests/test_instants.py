@@ -115,3 +115,21 @@ def test_shares_follow_the_data():
     p = pd.DataFrame({"sig": ["slashed:2:2:0", "slashed:0:2:0", "slashed:2:0:0", "iso:2:0:0"], "n": [100, 90, 10, 500]})
     got = fit_mixture(p, 2000)
     assert abs(got["p1"][0] - 0.9) < 0.01 and got["p0"][3] == 1 and got["p1"][1] == 1 and got["p0"][2] == 1
+
+
+def test_an_agreed_order_is_the_mixtures_doing(spark):
+    """Every valid reading reaches the mixture; its posterior chooses, and leaves no
+    instant to a date that fits only the contrary order."""
+    p = pd.DataFrame({"sig": ["slashed:2:2:0", "slashed:2:1:0", "slashed:2:0:0", "iso:2:0:0"], "n": [10, 5, 10_000, 5]})
+    got = fit_mixture(p, barred=("slashed-dmy",))
+    assert got[["p0", "p1"]].to_numpy().tolist() == [[0, 1], [0, 1], [0, 0], [1, 0]]
+    free = fit_mixture(p)
+    assert (free["p0"] > 0.9).all()
+    only = fit_mixture(p[2:3], barred=("slashed-dmy",))
+    assert only[["p0", "p1", "p2"]].to_numpy().tolist() == [[0, 0, 0]]
+    rows = [("05/06/2025 10:00:00", "slashed-mdy"), ("25/06/2025 10:00:00", None), ("05.06.2025 10:00:00", "dotted-dmy"), ("06.25.2025 10:00:00", None)]
+    df = spark.createDataFrame(rows, "stamp string, want string")
+    got = normalize_timestamps(df, "stamp", conventions=CONVENTIONS).collect()
+    assert [(r["reading"], r["utc_ms"] is None, r["ambiguous"]) for r in got if r["want"] is None] == [(None, True, False)] * 2
+    assert all(r["reading"] == r["want"] for r in got)
+    assert {r["reading"] for r in normalize_timestamps(df, "stamp").where("want is null").collect()} == {"slashed-dmy", "dotted-mdy"}
